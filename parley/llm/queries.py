@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, pii, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_simhash": simhash.op2_simhash,
+        "op3_pii": pii.op3_pii,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_packing": packing.op7_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.OP4_SQL}
