@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, pii, simhash, url_filter
+from . import bpe, exact_dedup, packing, pii, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
+        "op8_warc": warc.op8_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.OP4_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.OP4_SQL, "op8_warc": warc.OP8_SQL}
