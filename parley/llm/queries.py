@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, pii, simhash, url_filter, warc
+from . import bpe, exact_dedup, packing, pii, quality_rules, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
         "op8_warc": warc.op8_warc,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
 
