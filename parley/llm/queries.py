@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, pii, quality_rules, simhash, url_filter, warc
+from . import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_packing": packing.op7_packing,
         "op8_warc": warc.op8_warc,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
