@@ -124,7 +124,7 @@ def rated_sample(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
     sample = rated_sample(docs, labels).mapInArrow(_featurise, "doc_id long, grade int, weight double, features array<int>, counts array<int>")
-    found = sample.groupBy(F.lit(1)).applyInArrow(_fit_group, "weights binary, low double, high double").collect()
+    found = sample.groupBy().applyInArrow(_fit_group, "weights binary, low double, high double").collect()
     if not found:
         return fit([], [], np.zeros(0, int), np.zeros(0))
     return np.frombuffer(found[0]["weights"], np.float32), found[0]["low"], found[0]["high"]
