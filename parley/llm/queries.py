@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
+from . import bpe, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_pii": pii.op3_pii,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
         "op8_warc": warc.op8_warc,
