@@ -1,0 +1 @@
+"""The engine is a batch engine: every order-dependent operator needs whole meetings, so there is no streaming form."""
