@@ -41,25 +41,34 @@ def resolve_references(acts: DataFrame, words: DataFrame) -> DataFrame:
     return got.withColumn("ref_flags", flags).drop("w", "low", "high", "resolved")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once: inside a lambda function, anything but a lambda's variable is computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns whose values are computed once: the optimizer does not copy them into the expressions that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def pipe_boundaries(words: str, rendering: Column, parts: Column) -> Column:
     """For each pipe of a rendering the count of words before it, null where the rendering does not align.
 
     The words' lexical text up to a boundary equals the rendering's up to the pipe, letters and digits only; of equal places the last counts.
     """
-    pieces = F.transform(F.split(rendering, "[|]"), T.alignment_text)
-    lexical = F.transform(F.col(words), lambda w: F.when(w["kind"] == "w", T.alignment_text(w["text"])).otherwise(""))
     joined = lambda array, n: F.array_join(F.slice(array, F.lit(1), n), "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: joined(lexical, i))
-    wanted = F.filter(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: joined(pieces, i)), lambda _, i: i < F.size(pieces) - 1)
+    lexical = F.transform(F.col(words), lambda w: F.when(w["kind"] == "w", T.alignment_text(w["text"])).otherwise(""))
 
-    def last_place(prefix):
-        # place 0 counts only for an empty prefix, which is what the empty prefix of no words equals
-        return F.array_max(F.filter(F.transform(prefixes, lambda p, i: F.when(p == prefix, i)), lambda i: i.isNotNull()))
+    def aligned(pieces):
+        # place 0 counts only for an empty prefix, which is what the text of no words equals
+        prefixes = let(lexical, lambda lex: F.transform(F.sequence(F.lit(0), F.size(lex)), lambda i: joined(lex, i)))
+        wanted = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: joined(pieces, i + 1))
+        last = lambda ps, prefix: F.array_max(F.filter(F.transform(ps, lambda p, i: F.when(p == prefix, i)), lambda i: i.isNotNull()))
+        found = let(prefixes, lambda ps: F.transform(wanted, lambda prefix: last(ps, prefix)))
+        ordered = lambda f: f == F.array_sort(f)
+        return let(found, lambda f: F.when((F.size(pieces) == parts) & ~F.exists(f, lambda x: x.isNull()) & ordered(f), f))
 
-    found = F.transform(wanted, last_place)
-    ordered = F.forall(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.coalesce(F.get(found, i) <= F.get(found, i + 1), F.lit(True)))
-    good = (F.size(pieces) == parts) & ~F.exists(found, lambda x: x.isNull()) & ordered
-    return F.when(parts == 1, F.expr("cast(array() as array<int>)")).when(good, found)
+    return let(F.transform(F.split(rendering, "[|]"), T.alignment_text), aligned)
 
 
 def split_words(words: str, boundaries: Column, parts: Column) -> Column:
@@ -74,20 +83,21 @@ def part_times(df: DataFrame, start: str = "src_start", end: str = "src_end", pa
     A boundary is the end of the last word before it, else the start of the first word after it, clamped to stay in order within the
     act. If any boundary has neither, all follow from word counts, or are even without words.
     """
-    n = F.size(parts)
-    pairs = F.filter(F.transform(parts, lambda _, i: F.struct(F.get(parts, i).alias("a"), F.get(parts, i + 1).alias("b"), i.alias("i"))), lambda x: x["i"] < n - 1)
-    by_word = F.transform(pairs, lambda x: F.coalesce(F.get(x["a"], F.size(x["a"]) - 1)["end"], F.get(x["b"], F.lit(0))["start"]))
-    df = df.withColumns({"_n": n, "_by_word": by_word, "_counts": F.transform(parts, F.size)})
-    total = F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
-    before = F.transform(F.filter("_counts", lambda _, i: i < F.col("_n") - 1), lambda _, i: F.aggregate(F.slice("_counts", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) / total)
-    even = F.filter(F.transform("_counts", lambda _, i: (i + 1) / F.col("_n")), lambda _, i: i < F.col("_n") - 1)
-    df = df.withColumns({"_timed": ~F.exists("_by_word", lambda x: x.isNull()), "_shares": F.when(total == 0, even).otherwise(before)})
-    clamp = F.aggregate("_by_word", F.expr("cast(array() as array<double>)"), lambda a, x: F.concat(a, F.array(F.least(F.col(end), F.greatest(F.coalesce(F.try_element_at(a, F.lit(-1)), F.col(start)), x)))))
+    df = bind(df, _parts=F.col(parts), _counts=F.transform(parts, F.size))
+    n, counts = F.size("_counts"), F.col("_counts")
+    inner = F.sequence(F.lit(0), n - 2)  # boundaries, if there are two parts at least
+    edge = lambda i: F.coalesce(F.get(F.get("_parts", i), F.size(F.get("_parts", i)) - 1)["end"], F.get(F.get("_parts", i + 1), F.lit(0))["start"])
+    none = F.expr("cast(array() as array<double>)")
+    upto = lambda i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
+    df = bind(df, _by_word=F.when(n > 1, F.transform(inner, edge)).otherwise(none), _total=F.aggregate(counts, F.lit(0), lambda a, x: a + x))
+    shares = F.transform(inner, lambda i: F.when(F.col("_total") == 0, (i + 1) / n).otherwise(upto(i) / F.greatest("_total", F.lit(1))))
+    df = bind(df, _timed=~F.exists("_by_word", lambda x: x.isNull()), _shares=F.when(n > 1, shares).otherwise(none))
+    clamp = F.aggregate("_by_word", none, lambda a, x: F.concat(a, F.array(F.least(F.col(end), F.greatest(F.coalesce(F.get(a, F.size(a) - 1), F.col(start)), x)))))
     spread = F.transform("_shares", lambda s: F.col(start) + (F.col(end) - F.col(start)) * s)
-    df = df.withColumn("_ends", F.concat(F.array(start), F.when(F.col("_timed"), clamp).otherwise(spread), F.array(end)))
-    times = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(F.get("_ends", i).alias("start"), F.get("_ends", i + 1).alias("end")))
-    method = F.when(F.col("_n") == 1, "element").when(F.col("_timed"), "transcript_word_boundary").otherwise("transcript_proportional")
-    return df.withColumns({"times": times, "timing_method": method}).drop("_n", "_by_word", "_counts", "_timed", "_shares", "_ends")
+    df = bind(df, _ends=F.concat(F.array(start), F.when(F.col("_timed"), clamp).otherwise(spread), F.array(end)))
+    times = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("_ends", i).alias("start"), F.get("_ends", i + 1).alias("end")))
+    method = F.when(n == 1, "element").when(F.col("_timed"), "transcript_word_boundary").otherwise("transcript_proportional")
+    return bind(df, times=times, timing_method=method).drop("_parts", "_counts", "_by_word", "_total", "_timed", "_shares", "_ends")
 
 
 def act_types(acts: DataFrame) -> DataFrame:
@@ -118,9 +128,9 @@ def parse_rows(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> Dat
     df = df.withColumn("key", T.transcript_key(F.col("meeting"), F.col("channel"), F.col("ms0"), F.col("ms1"))).join(transcripts, "key", "left")
     multi = (F.col("n_parts") > 1) & ~F.array_contains("ref_flags", "no_word_ref")
     tried = F.filter(F.transform(F.coalesce("renderings", F.expr("cast(array() as array<string>)")), lambda r: pipe_boundaries("words", r, F.col("n_parts"))), lambda x: x.isNotNull())
-    df = df.withColumn("boundaries", F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(multi, F.get(tried, F.lit(0))))
+    df = bind(df, boundaries=F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(multi, F.get(tried, F.lit(0))))
     blank = F.expr(f"transform(sequence(1, n_parts), i -> cast(array() as {WORDS}))")
-    df = df.withColumn("parts", F.when(F.col("boundaries").isNotNull(), split_words("words", F.col("boundaries"), F.col("n_parts"))).otherwise(blank))
+    df = bind(df, parts=F.when(F.col("boundaries").isNotNull(), split_words("words", F.col("boundaries"), F.col("n_parts"))).otherwise(blank))
     df = part_times(df)
     unaligned = multi & F.col("boundaries").isNull()
     flags = F.array_distinct(F.concat("ref_flags", "type_flags", F.array_compact(F.array(F.when(unaligned, "ref_unresolved")))))
