@@ -24,8 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []  # paths that this driver has handed out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/parley-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_folder(spark)}/parley-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Delete what operators have written to the shared folder so far; for callers whose results are stored elsewhere by now."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from parley.llm import bpe, components, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
+from parley.llm import bpe, common, components, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp string, bin string"
 
@@ -49,6 +49,12 @@ def test_exact_dedup(spark, corpus):
     assert set(kept.values()) == {1} and kept.keys() == by_sha.keys()
 
 
+def test_tables_can_be_removed(spark):
+    df = common.materialize(spark.range(3), "range")
+    assert df.count() == 3 and common.remove_tables(spark) >= 1
+    assert common.remove_tables(spark) == 0
+
+
 def test_chunks_are_content_defined_and_verified(spark, monkeypatch):
     rng = np.random.default_rng(1)
     tail = rng.bytes(60_000)
