@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, materialize, table, text_or_empty
+from .common import SPACE, SPACE_CLASS, materialize, skew_join, table, text_or_empty
 
 LEAST_WORDS, MOST_REPEATED = 50, 50  # base rules: words, per cent of words in repeated windows
 SUPPORT, STEPS, LEAST_GROUP = 0.75, 4, 200
@@ -147,7 +147,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = _with_distance(rows.join(estimate, "g")).select("g", *FEATURES, F.floor(F.log2(F.col("d2") + 1e-6) * BINS).cast("int").alias("bin"))
         limits = _quantiles(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], (SUPPORT,))
-        estimate = materialize(_estimates(near.join(limits, "g").filter("bin <= q0")), "estimates")
+        estimate = materialize(_estimates(skew_join(near, limits, ["g"], "inner").filter("bin <= q0")), "estimates")
     return estimate
 
 
