@@ -65,12 +65,11 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> Iterator[np.ndarray]:
 
 
 def _keys(data: bytes, order: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) - order
-    key = np.zeros(n, np.uint64)
-    for j in range(order + 1):
-        key = key << np.uint64(8) | raw[j : j + n]
-    return key[raw[order:] != START]  # a start mark is context only
+    n = len(data) - order
+    # eight bytes from each place on, read at once; the first order + 1 of them are the gram
+    windows = np.ndarray((n,), ">u8", data + bytes(8), strides=(1,))
+    key = windows.astype(np.uint64) >> np.uint64(64 - 8 * (order + 1))
+    return key[(key & np.uint64(255)) != START]  # a start mark is context only
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +103,9 @@ def _block_rows(block: int, ids: list, texts: list[str]) -> Iterator[pa.RecordBa
         counts.update(own)
     counts[END_WORD] = sum(learn)
     for own in (d.split() for d, known in zip(data, learn) if not known):
-        for word in set(own).difference(counts):
-            counts[word] = 0
+        for word in own:
+            if word not in counts:  # not a set's difference: that would walk the whole Counter for each document
+                counts[word] = 0
     parts = _tally([d for d, known in zip(data, learn) if known], ORDER, 1) + _tally([d for d, known in zip(data, learn) if not known], ORDER, 0)
     grams, n = _merge(*map(np.concatenate, zip(*parts)))
 
