@@ -138,13 +138,16 @@ def links(distinct: DataFrame, n: int, large_bucket: int = LARGE_BUCKET) -> Data
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, content, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
+    """One row per row of docs: doc_id, content, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), root.
+
+    root is the least fingerprint of the component: it names one component only, while a doc_id may be null or stand for several texts.
+    """
     prints = materialize(fingerprints(docs), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fp"), classes.count()))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"], "inner").select("fp", "component_id")
-    return skew_join(prints, named, ["fp"], "inner").select("doc_id", "content", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"], "inner").select("fp", "component_id", "root")
+    return skew_join(prints, named, ["fp"], "inner").select("doc_id", "content", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

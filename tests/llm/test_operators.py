@@ -401,3 +401,13 @@ def test_pipeline(spark, tmp_path):
     assert len(ids) == len(set(ids)) and set(range(3, 40)) <= set(ids) and not {50, 60, 61} & set(ids)
     assert kept.filter("text LIKE '%a@b.co%'").count() == 0
     assert pipeline.STAGES[-1][1](spark, kept, "").select("doc_id").distinct().count() == len(ids)
+
+
+def test_near_stage_keeps_unrelated_texts_of_one_doc_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(10)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    rows = [(None, text()) for _ in range(4)] + [(5, text()), (5, text()), (6, text())]
+    rows += [(7, rows[-1][1])]
+    got = pipeline.near(spark, make(spark, rows), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows[:-1])
