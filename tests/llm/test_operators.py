@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from parley.llm import bpe, common, components, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
+from parley.llm import bpe, common, components, exact_dedup, lm_score, minhash, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, fp string, bin string"
 
@@ -411,3 +411,51 @@ def test_near_stage_keeps_unrelated_texts_of_one_doc_id(spark):
     rows += [(7, rows[-1][1])]
     got = pipeline.near(spark, make(spark, rows), "").collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows[:-1])
+
+
+def test_near_stage_links_similarity_of_four_fifths(spark, corpus):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = list(corpus)
+    for k in range(60):  # each changed word takes five of 200 shingles
+        base = [word() for _ in range(204)]
+        rows.append((1000 + 10 * k, " ".join(base)))
+        for c in range(1, 4):
+            places = rng.sample(range(5, 200, 8), 2 * c)
+            rows.append((1000 + 10 * k + c, " ".join(word() if i in places else w for i, w in enumerate(base))))
+
+    def shingles(t):
+        words = (t or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+                linked += 1
+    assert linked > 150
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (doc is None, doc or 0))
+    got = pipeline.near(spark, make(spark, rows), "").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(None if none else doc for none, doc in least.values())
+
+
+def test_near_pairs_across_components_are_compared(spark):
+    """A chain in one bucket: neither the least nor the greatest class is similar to all."""
+    sets = {i: np.arange(10 * i, 10 * i + 100, dtype=np.uint64) for i in range(12)}
+    members = spark.createDataFrame([(0, 7, i, 100) for i in sets], "t int, key long, fp long, n long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "fp long, shingles binary")
+    found = {r["node"]: r["root"] for r in components.connected_components(minhash.links(members, table)).collect()}
+    assert found == dict.fromkeys(range(1, 12), 0)
