@@ -4,7 +4,7 @@ Each text gives a vector of transformed statistics. For each language and source
 estimate says where the bulk lies: from coordinatewise medians, concentration steps take the mean and covariance of the
 share SUPPORT of rows with the least Mahalanobis distance so far, which never enlarges the determinant. Rows whose distance from
 the last estimate exceeds the cutoff are rejected. A group of under LEAST_GROUP rows is judged by its language's pooled estimate, and a
-language of under LEAST_GROUP rows by that of all rows.
+language of under LEAST_GROUP rows by that of all rows. Pooled estimates are made from all rows of the language or of the table.
 
 Distances are compared in fine logarithmic bins, so shares are found by counting bins: no group is collected or sorted,
 every aggregate combines before its shuffle, and the results do not depend on how rows are dealt out.
@@ -133,12 +133,22 @@ def _initial(df: DataFrame) -> DataFrame:
 
 
 def _with_groups(stats: DataFrame, counted: Column) -> DataFrame:
-    """stats with g: the language and source, or the language, or everything, whichever first has LEAST_GROUP counted rows."""
+    """stats with g: the language and source, or the language, or everything, whichever first has LEAST_GROUP counted rows.
+
+    levels are those of a row's language and source, its language and everything that are some row's g: each is estimated from all rows
+    that name it. A digit tells the levels apart, and nulls are written out.
+    """
+    named = lambda level, *by: F.concat(F.lit(level), F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
     pairs = stats.groupBy("lang", "source").agg(F.count_if(counted).alias("n"))
-    langs = pairs.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
-    g = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= LEAST_GROUP, F.to_json(F.struct("lang"))).otherwise("{}")
-    named = pairs.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"))
-    return stats.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    langs = pairs.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    small = langs.agg(F.coalesce(F.min("n_lang"), F.lit(0)).alias("n_small"))
+    own, pooled, everything = F.col("n") >= LEAST_GROUP, F.col("n_lang") >= LEAST_GROUP, F.col("n_small") < LEAST_GROUP
+    one, two, three = named("2", "lang", "source"), named("1", "lang"), F.lit("0")
+    # a language and source of enough rows has a language of enough
+    g = F.when(own, one).when(pooled, two).otherwise(three)
+    levels = F.array_compact(F.array(F.when(own, one), F.when(pooled & (F.col("n_least") < LEAST_GROUP), two), F.when(everything, three)))
+    known = pairs.join(langs, F.col("lang").eqNullSafe(F.col("l"))).crossJoin(F.broadcast(small)).select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"), levels.alias("levels"))
+    return stats.join(known, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
@@ -158,8 +168,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     stats = with_features(text_statistics(source, "doc_id", "content", "lang", "source")).withColumn("base_failed", failed)
     stats = materialize(stats, "statistics")
     grouped = _with_groups(stats, ~F.col("base_failed"))
-    estimate = minimum_covariance(grouped.filter(~F.col("base_failed")).select("g", *FEATURES))
-    judged = _with_distance(grouped.join(estimate, "g", "left"))
+    estimate = minimum_covariance(grouped.filter(~F.col("base_failed")).select(F.explode("levels").alias("g"), *FEATURES))
+    judged = _with_distance(grouped.drop("levels").join(estimate, "g", "left"))
     return judged.withColumn("distance", F.col("d2")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
 
 

@@ -459,3 +459,26 @@ def test_near_pairs_across_components_are_compared(spark):
     table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "fp long, shingles binary")
     found = {r["node"]: r["root"] for r in components.connected_components(minhash.links(members, table)).collect()}
     assert found == dict.fromkeys(range(1, 12), 0)
+
+
+def test_quality_rules_pool_small_groups(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    clean = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() for _ in range(rng.randint(6, 40)))
+    junk = lambda: " ".join(rng.choice(words) + "%%%" for _ in range(100))
+    rows = [(i, clean(), "en", "a") for i in range(300)]
+    rows += [(1000 + i, junk(), "en", "b") for i in range(5)] + [(2000, clean(), "en", "b"), (1100, junk(), "xx", "c"), (2100, clean(), "xx", "c")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in (*range(1000, 1005), 1100)) and all(got[i] for i in (*range(300), 2000, 2100))
+
+
+def test_quality_levels_are_not_mixed_up(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_GROUP", 2)
+    rows = [("en", None), ("en", None), ("en", "a"), (None, "b"), (None, "b"), (None, None), ("fr", "a")]
+    df = spark.createDataFrame(rows, "lang string, source string")
+    got = {(r["lang"], r["source"]): (r["g"], set(r["levels"])) for r in quality_rules._with_groups(df, quality_rules.F.lit(True)).collect()}
+    en, none = got["en", "a"][0], got[None, None][0]
+    assert len({x[0] for x in got.values()}) == 5 and got["en", None][0] != en and got[None, "b"][0] != none
+    everything = got["fr", "a"][0]
+    assert all(everything in x[1] for x in got.values()) and en in got["en", None][1] and none in got[None, "b"][1]
+    assert got["fr", "a"][1] == {everything} and got["en", "a"][1] == {en, everything}
