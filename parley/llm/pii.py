@@ -4,7 +4,7 @@ The plain form is matched on the text as it is. For disguises, a cascade of tran
 each character it emits, the range of source characters that it stands for: look-alike letters and digits of other
 scripts become ASCII and invisible characters vanish, runs of spelled digits become digits, and at/dot disguises become
 "@" and ".". The same detectors read the last tape, and what they find is mapped back to source characters.
-Plain spans always stay; a disguised span is added where it overlaps none of them.
+Plain spans always stay; a disguised span is added unless a plain span of its kind covers it.
 
 Every detector is linear in the text. Offsets count code points, ends are exclusive.
 
@@ -15,6 +15,7 @@ table; other columns are ignored (detect) or passed through (redact).
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -189,19 +190,22 @@ _BARE = re.compile(r"(?<![0-9+])[0-9]{7,15}(?![0-9])")
 
 
 def find_disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the normalised text shows; none overlaps a plain span or another of them."""
+    """Spans that the normalised text shows and no plain span of their kind covers; those of one kind do not overlap."""
     tape = normalise(text)
     if tape is None:
         return []
     found = find_plain(tape.text)
     # a spelled number needs no plus sign: nobody spells other digits out one by one
     found += [("phone", m.start(), m.end()) for m in _BARE.finditer(tape.text) if tape.ends[m.end() - 1] - tape.starts[m.start()] >= 3 * (m.end() - m.start())]
-    taken, out = sorted((s, e) for _, s, e in plain), []
-    for kind, s, e in found:
-        low, high = tape.starts[s], tape.ends[e - 1]
-        if not any(a < high and low < b for a, b in taken):
-            taken.append((low, high))
-            out.append((kind, low, high))
+    out = []
+    for kind in KINDS:
+        own = [(s, e) for k, s, e in plain if k == kind]
+        floor = 0
+        for low, high in sorted((tape.starts[s], tape.ends[e - 1]) for k, s, e in found if k == kind):
+            i = bisect_right(own, low, key=lambda x: x[0]) - 1
+            if low >= floor and not (i >= 0 and high <= own[i][1]):
+                out.append((kind, low, high))
+                floor = high
     return out
 
 

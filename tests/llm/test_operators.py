@@ -482,3 +482,20 @@ def test_quality_levels_are_not_mixed_up(spark, monkeypatch):
     everything = got["fr", "a"][0]
     assert all(everything in x[1] for x in got.values()) and en in got["en", None][1] and none in got[None, "b"][1]
     assert got["fr", "a"][1] == {everything} and got["en", "a"][1] == {en, everything}
+
+
+FRAGMENTS = ["jane.d\u043ee@example.com", "john.smith@mail.ex\u0430mple.com", "jo\u200bhn@example.com", "j\u043ehn@example.com"]
+
+
+@pytest.mark.parametrize("address", FRAGMENTS)
+def test_pii_disguised_spans_are_whole(address):
+    text = f"mail {address} now"
+    plain = pii.find_plain(text)
+    assert plain and ("email", address) in [(k, text[s:e]) for k, s, e in pii.find_disguised(text, plain)]
+    assert pii.redact_text(text) == "mail [EMAIL] now"
+
+
+def test_pii_disguised_spans_repeat_no_plain_span():
+    text = "a@b.co, j\u043ehn [at] c [dot] org, +1 555 123 4567"
+    plain = pii.find_plain(text)
+    assert pii.find_disguised(text, plain) == [("email", 8, 29)] and len(plain) == 2
