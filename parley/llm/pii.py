@@ -6,6 +6,9 @@ scripts become ASCII and invisible characters vanish, runs of spelled digits bec
 "@" and ".". The same detectors read the last tape, and what they find is mapped back to source characters.
 Plain spans always stay; a disguised span is added unless a plain span of its kind covers it.
 
+A transducer runs wherever its own pattern matches. "name at host.label" and "name at host dot label" are addresses where the last
+label is in LAST_LABELS (all country codes, the common generic ones), so "look at example.com" is masked too; other last labels are left as prose.
+
 Every detector is linear in the text. Offsets count code points, ends are exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows each get their own row; an empty table gives an empty
@@ -38,8 +41,16 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: Digit words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 REPEATS = {"double": 2, "triple": 3}
+#: Country codes.
+COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp "
+    "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om "
+    "pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
 #: Last labels that make "name at host dot label" an address rather than prose.
-LAST_LABELS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "me", "tv", "us", "uk", "ca", "au", "nz", "ie", "in", "jp", "cn", "br", "mx", "ru", "eu", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi")
+LAST_LABELS = (*"com org net edu gov mil int info biz name pro mobi coop aero jobs travel museum arpa asia cat tel app dev xyz online site shop store tech cloud blog email live club world space website agency digital company network systems solutions academy media news page link wiki design studio group team one top vip".split(), *COUNTRIES)
 
 # The digit-range detectors start only where no digit precedes: a later start in a run of digits has the same continuation.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -131,16 +142,16 @@ _UNIT = rf"(?:(?:double|triple)[\x20-]+)?(?:{_WORD}|[0-9])"
 # Only a run of at least three is rewritten, so that "one two" in prose stays as it is.
 _SPELLED = re.compile(rf"(?i)\b(?:plus[\x20]+)?{_UNIT}(?:(?:[\x20,-]+|,[\x20]+){_UNIT}){{2,}}\b")
 _TOKEN = re.compile(rf"(?i)double|triple|plus|{_WORD}|[0-9]")
-_SPEAKS = {*DIGIT_WORDS, *REPEATS}
+_DIGIT_WORD = re.compile(rf"(?i){_WORD}")
 _AT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?")
 _DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?|(?<=[0-9])[\x20]+dot[\x20]+(?=[0-9])")
 _LABEL = r"[A-Za-z0-9-]++"
-_SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[\x20]+at[\x20]+|@){_LABEL}(?:(?:[\x20]+dot[\x20]+|\.){_LABEL})*?(?:[\x20]+dot[\x20]+|\.)(?:{'|'.join(LAST_LABELS)})\b")
+_SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[\x20]+at[\x20]+|@){_LABEL}(?:(?:[\x20]+dot[\x20]+|\.){_LABEL})*(?:[\x20]+dot[\x20]+|\.)(?:{'|'.join(LAST_LABELS)})\b")
 _GAP_AT, _GAP_DOT = re.compile(r"(?i)[\x20]+at[\x20]+"), re.compile(r"(?i)[\x20]+dot[\x20]+")
 
 
 def _digits(m: re.Match) -> str:
-    if not re.search(rf"(?i){_WORD}", m[0]):
+    if not _DIGIT_WORD.search(m[0]):
         return m[0]  # plain digits are no disguise
     out, times = "", 1
     for token in _TOKEN.findall(m[0].lower()):
@@ -165,10 +176,12 @@ def normalise(text: str) -> Tape | None:
     """The last tape of the cascade, or None where no transducer has anything to rewrite."""
     odd = _has_odd(text)
     low = text.lower()
-    brackets = any(x in low for x in ("at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "dot]", "dot)", "dot}", "dot>", "dot ]", "dot )", "[.]", "(.)"))
-    words = low.replace(",", " ").replace("-", " ").split()
-    spelled = sum(map(_SPEAKS.__contains__, words)) >= 2 and _SPELLED.search(text) is not None
-    if not (odd or brackets or spelled or " dot " in low):
+    # each first test is one that the pattern's matches pass
+    brackets = any(map(text.__contains__, "[({<")) and bool(_AT.search(text) or _DOT.search(text))
+    dotted = " dot " in low and _DOT.search(text) is not None
+    spelled = any(map(low.__contains__, DIGIT_WORDS)) and any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(text))
+    said = (" at " in low or " dot " in low) and _SAID.search(text) is not None
+    if not (odd or brackets or dotted or spelled or said):
         return None
     tape = Tape.of(text)
     if odd:

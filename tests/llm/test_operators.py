@@ -499,3 +499,12 @@ def test_pii_disguised_spans_repeat_no_plain_span():
     text = "a@b.co, j\u043ehn [at] c [dot] org, +1 555 123 4567"
     plain = pii.find_plain(text)
     assert pii.find_disguised(text, plain) == [("email", 8, 29)] and len(plain) == 2
+
+
+ALONE = ["john at example.com", "john at example dot co", "john at example dot xyz", "john at example dot ai", "john@example dot za", "+5 5 5 1 two 3 4 5"]
+ALONE += [f"john{at}example.com" for at in ("{@}", "<@>", "[ @ ]", "( at }", "<at >", "[at]", "(AT)")] + [f"john@example{dot}com" for dot in ("{.}", "<.>", "[ . ]", "<dot >", "( dot }", "[DOT]")]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_pii_each_disguise_alone(text):
+    assert pii.redact_text(f"write: {text}") in ("write: [EMAIL]", "write: [PHONE]")
