@@ -118,11 +118,11 @@ def adjacency_pieces(raw: Column) -> Column:
 
 
 def window_letter(index: Column) -> Column:
-    """A to Z, then AA, AB and on: speakers by order of appearance. index counts from 0."""
-    last = F.chr(65 + index % 26)
-    second = F.chr(65 + F.floor(index / 26 - 1) % 26)
-    third = F.chr(65 + F.floor(F.floor(index / 26 - 1) / 26 - 1) % 26)
-    return F.when(index < 26, last).when(index < 26 + 26 * 26, F.concat(second, last)).otherwise(F.concat(third, second, last))
+    """A to Z, then AA, AB and on: speakers by order of appearance. index counts from 0, up to a 32-bit integer's greatest."""
+    start = F.struct(F.lit("").alias("name"), (index.cast("bigint") + 1).alias("left"))
+    letter = lambda z: F.concat(F.chr(65 + (z["left"] - 1) % 26), z["name"])
+    step = lambda z, _: F.when(z["left"] > 0, F.struct(letter(z).alias("name"), F.floor((z["left"] - 1) / 26).alias("left"))).otherwise(z)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda z: z["name"])  # 26 ** 7 is over 2 ** 32
 
 
 def distance_bucket(distance: Column) -> Column:
@@ -138,9 +138,15 @@ def render_context(left: Column, target: Column, right: Column, sep: str = " [SE
     return F.concat(F.array_join(F.concat(F.reverse(left), F.array(F.concat(F.lit(opening), target, F.lit(closing))), right), sep), F.lit(suffix))
 
 
-def acceptable_responses(chains: Column, responders: str = "all", segments: str = "first") -> Column:
-    """Segments that count as an answer: of all chains or the first, their first segments or any."""
+def acceptable_responses(chains: Column, responders: str = "all", segments: str = "first", status: Column | None = None) -> Column:
+    """Segments that count as an answer: of all chains or the first, their first segments or any.
+
+    With a status, a link that is neither ok nor no_pair, or whose status and chains disagree, is an error at run time.
+    """
     if responders not in ("all", "first") or segments not in ("first", "any"):
         raise ValueError("responders is all or first, segments is first or any")
+    if status is not None:
+        odd = F.when(~status.isin("ok", "no_pair"), F.concat(F.lit("no gold in a link that is "), status)).when((status == "ok") != (F.size(chains) > 0), F.concat(F.lit("chains do not fit the status "), status))
+        chains = F.when(odd.isNull(), chains).otherwise(F.raise_error(odd).cast("array<array<string>>"))
     used = chains if responders == "all" else F.slice(chains, 1, 1)
     return F.array_distinct(F.transform(used, lambda c: F.get(c, F.lit(0))) if segments == "first" else F.flatten(used))

@@ -44,11 +44,12 @@ def train_batches(items: DataFrame, batch_size: int, chunk_batches: int, key: st
     """
     if batch_size < 1 or chunk_batches < 1:
         raise ValueError("batch_size and chunk_batches are at least 1")
-    ranked = global_rank(items.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), [F.col("_h"), F.col(key)])
+    drawn = lambda start, *by: F.sha2(F.concat_ws(":", F.lit(str(start)), *by), 256)
+    ranked = global_rank(items.withColumn("_h", drawn(seed, F.col(key).cast("string"))), [F.col("_h"), F.col(key)])
     chunked = ranked.withColumn("_chunk", F.floor(F.col("rank") / (batch_size * chunk_batches)))
     w = Window.partitionBy("_chunk").orderBy(length, "_h", key)
     cut = chunked.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_b": F.floor(F.col("_i") / batch_size), "place": (F.col("_i") % batch_size).cast("int")})
-    names = cut.select("_chunk", "_b").distinct().withColumn("_o", F.xxhash64(F.lit(seed + 1), "_chunk", "_b"))
+    names = cut.select("_chunk", "_b").distinct().withColumn("_o", drawn(seed + 1, F.col("_chunk").cast("string"), F.col("_b").cast("string")))
     order = global_rank(names, [F.col("_o"), F.col("_chunk"), F.col("_b")], "batch")
     return cut.join(order.select("_chunk", "_b", "batch"), ["_chunk", "_b"]).drop("_h", "rank", "_chunk", "_i", "_b")
 
@@ -101,8 +102,10 @@ def before_after(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return count(before, "before").join(count(after, "after"), column, "full_outer").fillna(0, ["before", "after"])
 
 
-def markdown_table(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report section from an aggregate of at most limit rows. Triggers a job."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report section from an aggregate; more than most rows are an error. Triggers a job."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{title}: more than {most} rows are no report")
     head = [f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns)]
     return "\n".join([f"## {title}", "", *head, *[f"| {' | '.join(map(str, r))} |" for r in sorted(rows, key=str)], ""])

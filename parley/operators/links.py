@@ -52,11 +52,15 @@ def grouped_tokens(rows: DataFrame) -> DataFrame:
 
 
 def pair_groups(rows: DataFrame) -> DataFrame:
-    """One row for each group: its KEY and group_no, group_id, is ambiguous, and chains (position of the head, first token, segments)."""
+    """One row for each group: its KEY and group_no, group_id, is_ambiguous, chains (position of the head, first token, segments) and acts.
+
+    acts are those whose a tokens open or continue the group, with the first such token's place in the act.
+    """
     read = grouped_tokens(rows).filter("group_no > 0")
     named = F.concat(F.col("meeting"), F.lit(":"), F.col("number").cast("string"), F.repeat(F.lit("_"), F.col("underscores")), F.lit("@"), F.col("at").cast("string"))
     heads = read.groupBy(*KEY, "group_no").agg(
-        F.min(F.when((F.col("side") == "a"), F.struct("at", "i", named.alias("group_id")))).alias("head"), F.max(F.col("orphan") | F.col("unclear")).alias("is_ambiguous")
+        F.min(F.when((F.col("side") == "a"), F.struct("at", "i", named.alias("group_id")))).alias("head"), F.max(F.col("orphan") | F.col("unclear")).alias("is_ambiguous"),
+        F.collect_list(F.when(F.col("side") == "a", F.struct("source_da_id", "i"))).alias("acts"),
     )
     members = read.filter("chain IS NOT NULL").select(*KEY, "group_no", "chain", "at", "i", F.posexplode("segments").alias("j", "seg_id"))
     once = members.groupBy(*KEY, "group_no", "chain", "seg_id").agg(F.min(F.struct("at", "i", "j")).alias("first"))
@@ -64,15 +68,15 @@ def pair_groups(rows: DataFrame) -> DataFrame:
     chains = lists.groupBy(*KEY, "group_no").agg(
         F.array_sort(F.collect_list(F.struct(F.col("m")[0]["first"].alias("first"), F.transform("m", lambda x: x["seg_id"]).alias("segments")))).alias("chains")
     )
-    return heads.join(chains, [*KEY, "group_no"], "left").select(*KEY, "group_no", "head.group_id", "is_ambiguous", "chains")
+    return heads.join(chains, [*KEY, "group_no"], "left").select(*KEY, "group_no", "head.group_id", "is_ambiguous", "chains", "acts")
 
 
 def build_links(rows: DataFrame) -> DataFrame:
     """One link for each proposal row, see schemas.LINK."""
     groups = pair_groups(rows)
-    acts = grouped_tokens(rows).filter("side = 'a'").groupBy("meeting", "source_da_id", "epoch", "number", "underscores", "group_no").agg(F.min("i").alias("i"))
+    acts = groups.select("meeting", "group_id", "is_ambiguous", "chains", F.explode("acts").alias("act")).groupBy("meeting", "act.source_da_id", "group_id", "is_ambiguous", "chains").agg(F.min("act.i").alias("i"))
     # a chain is ordered by its head's position; ties by the group's place in the act and the chain's first token
-    joined = acts.join(groups, [*KEY, "group_no"]).groupBy("meeting", "source_da_id").agg(F.array_sort(F.collect_list(F.struct("i", "group_id", "is_ambiguous", "chains"))).alias("groups"))
+    joined = acts.groupBy("meeting", "source_da_id").agg(F.array_sort(F.collect_list(F.struct("i", "group_id", "is_ambiguous", "chains"))).alias("groups"))
     flat = F.flatten(F.transform(F.filter("groups", lambda g: g["chains"].isNotNull()), lambda g: F.transform(g["chains"], lambda c: F.struct(c["first"]["at"].alias("at"), g["i"].alias("g"), c["first"].alias("first"), c["segments"].alias("segments")))))
     linked = joined.select("meeting", "source_da_id", F.transform(F.array_sort(flat), lambda c: c["segments"]).alias("chains"), F.col("groups")[0]["group_id"].alias("pair_group"), F.exists("groups", lambda g: g["is_ambiguous"]).alias("unclear"))
     proposals = rows.filter("is_layer2_proposal").join(linked, ["meeting", "source_da_id"], "left")

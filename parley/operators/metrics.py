@@ -36,6 +36,19 @@ def pair_counts(gold: DataFrame, predictions: DataFrame, key: str = "seg_id") ->
     return joined.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def subset_counts(gold: DataFrame, predictions: DataFrame, key: str = "seg_id") -> DataFrame:
+    """gold, pred, n of all gold ids; predictions may have more. A gold id without a prediction is an error at run time."""
+    joined = gold.select(key, F.col("label").alias("gold")).join(predictions.select(key, F.col("label").alias("pred")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast("string")
+    return joined.select("gold", F.coalesce("pred", missing).alias("pred")).groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mean_loss(history: DataFrame, by: list[str], loss: str = "loss", weight: str | None = None) -> DataFrame:
+    """by and mean_loss: over steps, or over windows if weight says how many each step had; null where there are none."""
+    total = F.sum(F.col(loss) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0)) if weight else F.avg(loss)
+    return history.groupBy(*by).agg(total.alias("mean_loss"))
+
+
 def confusion(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """gold, pred, n for each pair of labels, zeros included."""
     dim = label_table(counts, labels)
@@ -96,9 +109,10 @@ def softmax(scores: str) -> Column:
 def combine_stages(stage1: DataFrame, stage2: DataFrame, key: str = "seg_id") -> DataFrame:
     """Scores of two stages to seven: p(other) from the first, p(target) times the rest from the second; the first maximum wins.
 
-    stage1 has p_other and p_target, stage2 p (six probabilities in label order). Both must have the same ids, see check_coverage.
+    stage1 has p_other and p_target, stage2 p (six probabilities in label order). An id that one of them lacks is an error at run time.
     """
-    joined = stage1.join(stage2, key)
+    one, two = stage1.withColumn("_one", F.lit(True)), stage2.withColumn("_two", F.lit(True))
+    joined = one.join(two, key, "full_outer").withColumn("p_other", F.when(F.col("_one") & F.col("_two"), F.col("p_other")).otherwise(F.raise_error(F.concat(F.lit("only one stage has "), F.col(key).cast("string"))).cast("double")))
     scores = F.concat(F.transform("p", lambda x: x * F.col("p_target")), F.array("p_other"))
     best = F.array(*map(F.lit, LABELS))[(F.array_position(scores, F.array_max(scores)) - 1).cast("int")]
     return joined.select(key, scores.alias("scores"), best.alias("label"))

@@ -22,15 +22,15 @@ def split_href(acts: DataFrame) -> DataFrame:
 def resolve_references(acts: DataFrame, words: DataFrame) -> DataFrame:
     """acts (with a unique act_id and split_href's columns) with words, their inclusive range in document order, and ref_flags.
 
-    words: file, idx, norm_id, text, kind, start, end. Two equi joins find the ends; the range join is keyed by file.
+    words: file, idx, norm_id, text, kind, start, end. Two equi joins find the ends, a third the words of each place between them.
     """
     ids = words.groupBy("file", "norm_id").agg(F.max("idx").alias("idx"))
     ends = acts.join(ids.select("file", F.col("norm_id").alias("first"), F.col("idx").alias("low")), ["file", "first"], "left")
     ends = ends.join(ids.select("file", F.col("norm_id").alias("last"), F.col("idx").alias("high")), ["file", "last"], "left")
     good = F.col("low").isNotNull() & F.col("high").isNotNull() & (F.col("low") <= F.col("high"))
     ends = ends.withColumn("resolved", F.coalesce(good, F.lit(False)))
-    ranges = ends.filter("resolved").select("act_id", "file", "low", "high")
-    inside = ranges.join(words, "file").filter("idx BETWEEN low AND high")
+    places = ends.filter("resolved").select("act_id", "file", F.explode(F.sequence("low", "high")).alias("idx"))
+    inside = places.join(words, ["file", "idx"])
     lists = inside.groupBy("act_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "kind", "start", "end"))).alias("w"))
     got = ends.join(lists, "act_id", "left").withColumn("words", F.coalesce(F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), F.expr(f"cast(array() as {WORDS})")))
     untimed = F.exists("words", lambda w: w["start"].isNull() | w["end"].isNull())

@@ -33,7 +33,7 @@ def allocate(sizes: Mapping[str, int], counts: Mapping[str, int]) -> dict[str, d
     while any(n > 0 for n in left.values()):
         open_cells = [(s, x) for s in given if sum(given[s].values()) < sizes[s] for x in SPLITS if left[x]]
         if not open_cells:
-            raise ValueError("could not satisfy requested split counts")
+            raise ValueError("every series is used up before the splits are full")
         s, x = max(open_cells, key=lambda c: quota[c[0]][c[1]] - given[c[0]][c[1]])  # max keeps the first of equals
         given[s][x] += 1
         left[x] -= 1

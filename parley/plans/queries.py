@@ -163,10 +163,18 @@ def coverage_diff(spark, sf_dir):
     return found.select("side", "n", F.array_join("examples", ",").alias("examples"))
 
 
-@query("SELECT l.doc_id AS seg_id FROM labels l JOIN documents d USING (doc_id)")
+@query(f"SELECT gold, pred, count(*) AS n FROM (SELECT l.quality, c.* FROM ({GP_SQL}) c JOIN labels l ON l.doc_id = c.seg_id) WHERE quality = 1 GROUP BY ALL")
 def gold_subset(spark, sf_dir):
-    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seg_id"))
-    return gold.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seg_id")), "seg_id", "left_semi")
+    gold, predictions = gold_and_predictions(spark, sf_dir)
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("seg_id"))
+    return metrics.subset_counts(gold.join(good, "seg_id", "left_semi"), predictions)
+
+
+@query("SELECT event_type, avg(value) AS mean_loss, sum(value * user_id) / sum(user_id) AS weighted_loss FROM events GROUP BY event_type")
+def mean_loss(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    weighted = metrics.mean_loss(df, ["event_type"], "value", "user_id").withColumnRenamed("mean_loss", "weighted_loss")
+    return metrics.mean_loss(df, ["event_type"], "value").join(weighted, "event_type")
 
 
 _STAGE_SQL = """SELECT doc_id AS seg_id, (1 + quality) / 4.0::DOUBLE AS t, list_transform([1, 2, 3, 4, 5, 6], lambda i: ((doc_id * i) % 13 + toxic)::DOUBLE / 64) AS p FROM labels"""
@@ -257,10 +265,13 @@ def times_and_transcript_keys(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", ms.alias("ms"), key.alias("key"))
 
 
-@query("""SELECT event_id, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i // 26) || chr(65 + i % 26) ELSE chr(64 + (i // 26 - 1) // 26) || chr(65 + (i // 26 - 1) % 26) || chr(65 + i % 26) END AS letters
-FROM (SELECT event_id, (event_id % 2000)::INT AS i FROM events)""")
+_LETTER_SQL = "CASE WHEN {0} > 0 THEN chr(65 + (({0} - 1) % 26)::INT) ELSE '' END"
+
+
+@query(f"""WITH n AS (SELECT event_id, event_id * 7 + 1 AS a FROM events), b AS (SELECT *, (a - 1) // 26 AS b FROM n), c AS (SELECT *, CASE WHEN b > 0 THEN (b - 1) // 26 ELSE 0 END AS c FROM b), d AS (SELECT *, CASE WHEN c > 0 THEN (c - 1) // 26 ELSE 0 END AS d FROM c),
+e AS (SELECT *, CASE WHEN d > 0 THEN (d - 1) // 26 ELSE 0 END AS e FROM d) SELECT event_id, {' || '.join(_LETTER_SQL.format(x) for x in 'edcba')} AS letters FROM e""")
 def window_letters(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", T.window_letter(F.col("event_id") % 2000).alias("letters"))
+    return read(spark, sf_dir, "events").select("event_id", T.window_letter(F.col("event_id") * 7).alias("letters"))
 
 
 # Splits
@@ -293,23 +304,52 @@ def series_sha_order(spark, sf_dir):
 def _acts(spark, sf_dir):
     """events as acts of one segment: user as meeting, tokens derived from event_id."""
     e = F.col("event_id")
-    h = F.pmod(F.xxhash64("event_id"), F.lit(1 << 20))
+    h = (e * 2654435761) % 1048573
     token = F.concat((h % 3 + 1).cast("string"), F.when(h % 11 == 0, "_").otherwise(""), F.when(h % 5 < 2, "a").otherwise("b"), F.when(h % 7 == 0, F.concat(F.lit("-"), (h % 4 + 1).cast("string"))).otherwise(""), F.when(h % 13 == 0, "+").otherwise(""))
     rows = annotate.assign_positions(read(spark, sf_dir, "events").select(F.col("user_id").alias("meeting"), e, "ts"), "meeting", ("meeting", "ts", "event_id"))
-    return rows.select(F.col("meeting").cast("string").alias("meeting"), "position", e.cast("string").alias("seg_id"), e.cast("string").alias("source_da_id"), F.when(h % 17 != 0, token).alias("adjacency_raw"), (h % 2 == 0).alias("is_layer2_proposal"))
-
-
-@query()
+    raw = F.when(h % 17 != 0, F.when(h % 19 == 0, F.concat(token, F.lit("?"))).otherwise(token))
+    return rows.select(F.col("meeting").cast("string").alias("meeting"), "position", e.cast("string").alias("seg_id"), e.cast("string").alias("source_da_id"), raw.alias("adjacency_raw"), (h % 2 == 0).alias("is_layer2_proposal"))
+
+
+#: The recipe of the links in SQL, for acts of one token: restarts, groups, explicit and bare chains, and the groups' chains.
+_LINKS_SQL = """WITH a AS (SELECT user_id::VARCHAR AS meeting, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS position, (event_id * 2654435761) % 1048573 AS h FROM events),
+p AS (SELECT *, h % 2 = 0 AS proposal, CASE WHEN h % 17 <> 0 THEN (h % 3 + 1)::VARCHAR || CASE WHEN h % 11 = 0 THEN '_' ELSE '' END || CASE WHEN h % 5 < 2 THEN 'a' ELSE 'b' END || CASE WHEN h % 7 = 0 THEN '-' || (h % 4 + 1)::VARCHAR ELSE '' END
+  || CASE WHEN h % 13 = 0 THEN '+' ELSE '' END || CASE WHEN h % 19 = 0 THEN '?' ELSE '' END END AS raw FROM a),
+t AS (SELECT *, h % 3 + 1 AS number, (h % 11 = 0)::INT AS under, h % 5 < 2 AS a_side, CASE WHEN h % 7 = 0 THEN h % 4 + 1 END AS speaker, h % 13 = 0 AS plus FROM p WHERE raw IS NOT NULL AND h % 19 <> 0),
+o AS (SELECT *, a_side AND NOT plus AND coalesce(speaker, 1) = 1 AS opens FROM t),
+u AS (SELECT *, sum((a_side AND under = 0 AND number > 1)::INT) OVER (PARTITION BY meeting ORDER BY position) AS higher FROM o),
+v AS (SELECT *, opens AND under = 0 AND number = 1 AS first_again FROM u),
+w AS (SELECT *, first_again AND higher > coalesce(max(CASE WHEN first_again THEN higher END) OVER (PARTITION BY meeting ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS restart FROM v),
+x AS (SELECT *, sum(restart::INT) OVER (PARTITION BY meeting ORDER BY position) AS epoch FROM w),
+y AS (SELECT *, a_side AND NOT opens AND coalesce(sum(a_side::INT) OVER (PARTITION BY meeting, epoch, number, under ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS orphan FROM x),
+z AS (SELECT *, sum((opens OR orphan)::INT) OVER (PARTITION BY meeting, epoch, number, under ORDER BY position) AS group_no FROM y),
+e AS (SELECT *, CASE WHEN NOT a_side AND group_no > 0 AND (speaker IS NOT NULL OR NOT plus) THEN coalesce(speaker, 0) END AS explicit FROM z),
+k AS (SELECT *, min(explicit) OVER s AS low, max(explicit) OVER s AS high, NOT a_side AND group_no > 0 AND explicit IS NULL AS bare FROM e WINDOW s AS (PARTITION BY meeting, epoch, number, under, group_no ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, coalesce(explicit, CASE WHEN bare AND low = 0 THEN 0 WHEN bare AND low = high THEN low END) AS chain, coalesce(bare AND low <> 0 AND low <> high, false) AS unclear, bare AND low IS NULL AS lost FROM k),
+c AS (SELECT meeting, epoch, number, under, group_no, chain, string_agg(event_id::VARCHAR, ',' ORDER BY position) AS members, min(position) AS head FROM r WHERE chain IS NOT NULL GROUP BY ALL),
+g AS (SELECT meeting, epoch, number, under, group_no, min(CASE WHEN a_side THEN position END) AS at, bool_or(orphan OR unclear) AS unclear FROM r WHERE group_no > 0 GROUP BY ALL),
+l AS (SELECT g.*, string_agg(members, ';' ORDER BY head) AS chains FROM g LEFT JOIN c USING (meeting, epoch, number, under, group_no) GROUP BY ALL),
+links AS (SELECT p.meeting, p.position, p.event_id::VARCHAR AS proposal_id, coalesce(l.chains, '') AS chains, l.chains IS NOT NULL AS has_response,
+  CASE WHEN p.raw LIKE '%?' THEN 'malformed' WHEN l.unclear THEN 'ambiguous' WHEN l.chains IS NOT NULL THEN 'ok' ELSE 'no_pair' END AS status, coalesce(p.raw, '') AS tokens, l.meeting || ':' || l.number || repeat('_', l.under) || '@' || l.at AS pair_group
+  FROM p LEFT JOIN r ON r.event_id = p.event_id AND r.a_side LEFT JOIN l ON l.meeting = r.meeting AND l.epoch = r.epoch AND l.number = r.number AND l.under = r.under AND l.group_no = r.group_no WHERE p.proposal)"""
+
+
+@query(_LINKS_SQL + " SELECT * FROM links")
 def adjacency_links(spark, sf_dir):
-    return links.build_links(_acts(spark, sf_dir))
+    found = links.build_links(_acts(spark, sf_dir))
+    chains = F.array_join(F.transform("responder_chains", lambda c: F.array_join(c, ",")), ";")
+    return found.select("meeting", "position", "proposal_id", chains.alias("chains"), "has_response", "status", F.array_join("adjacency_tokens", ".").alias("tokens"), "pair_group")
 
 
-@query()
+@query(_LINKS_SQL + """ SELECT count(*) FILTER (restart) AS numbering_restarts, count(*) FILTER (orphan) AS a_continuation_without_group, count(*) FILTER (NOT a_side AND group_no = 0) AS b_without_group,
+ count(*) FILTER (unclear) AS b_continuation_ambiguous, count(*) FILTER (lost) AS b_continuation_without_chain FROM r""")
 def adjacency_notes(spark, sf_dir):
     return links.notes(_acts(spark, sf_dir))
 
 
-@query()
+@query(_LINKS_SQL + """, h AS (SELECT proposal_id, position, unnest(string_split(chains, ';')) AS chain FROM links WHERE status = 'ok'),
+n AS (SELECT h.proposal_id, min(CASE WHEN p.position > h.position THEN p.position - h.position END) AS d FROM h JOIN p ON p.event_id::VARCHAR = split_part(h.chain, ',', 1) GROUP BY h.proposal_id)
+SELECT CASE WHEN d IS NULL THEN 'none' WHEN d <= 5 THEN '<=5' WHEN d <= 10 THEN '<=10' WHEN d <= 50 THEN '<=50' ELSE '>50' END AS bucket, count(*) AS n FROM n GROUP BY ALL""")
 def reply_distances(spark, sf_dir):
     rows = _acts(spark, sf_dir)
     return links.nearest_reply(links.build_links(rows), rows).groupBy(T.distance_bucket(F.col("distance")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -345,10 +385,12 @@ def prune_chains(spark, sf_dir):
     return annotate.prune_chains(found, dropped).select("proposal_id", F.array_join(F.transform("responder_chains", lambda c: F.array_join(c, ",")), ";").alias("chains"), "has_response", "status")
 
 
-@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey::VARCHAR AS proposal_id FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
 def clean_links_anti(spark, sf_dir):
-    gone = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").join(gone, "o_orderkey", "left_anti").select("o_orderkey")
+    gone = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("seg_id")).distinct()
+    none = F.expr("cast(array() as array<array<string>>)")
+    found = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("proposal_id"), none.alias("responder_chains"), F.lit(False).alias("has_response"), F.lit("no_pair").alias("status"))
+    return annotate.prune_chains(found, gone).select("proposal_id")
 
 
 @query("""WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 2 AS i FROM lineitem), h AS (SELECT l_orderkey, i, min(l_linenumber) AS head FROM k GROUP BY ALL), f AS (SELECT l_orderkey, min(i) AS i FROM h GROUP BY l_orderkey)
@@ -371,7 +413,7 @@ def _stream(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, lead(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events),
-a AS (SELECT * FROM s WHERE event_id % 20 = 0),
+a AS (SELECT * FROM s),
 r AS (SELECT a.event_id, string_agg(b.event_type, ' ' ORDER BY b.i) AS text, bool_or(b.event_id % 50 = 0) AS untimed FROM a JOIN s b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 3 WHERE a.l IS NOT NULL AND a.event_id % 100 <> 0 GROUP BY ALL)
 SELECT a.event_id::VARCHAR AS act_id, coalesce(r.text, '') AS text, CASE WHEN a.event_id % 100 = 0 THEN 'ref_malformed' WHEN a.l IS NULL THEN 'ref_unresolved' WHEN untimed THEN 'word_time_missing' ELSE '' END AS flags FROM a LEFT JOIN r USING (event_id)""")
 def range_slice(spark, sf_dir):
@@ -379,7 +421,7 @@ def range_slice(spark, sf_dir):
 
     words = _stream(spark, sf_dir)
     ahead = F.lead("norm_id", 3).over(Window.partitionBy("file").orderBy("idx"))
-    acts = words.withColumn("l", ahead).filter("event_id % 20 = 0")
+    acts = words.withColumn("l", ahead)
     href = F.when(F.col("event_id") % 100 == 0, "no reference").otherwise(F.concat("file", F.lit("#id("), "norm_id", F.lit(")..id("), F.coalesce("l", F.lit("none")), F.lit(")")))
     acts = parse.split_href(acts.select(F.col("norm_id").alias("act_id"), href.alias("href")))
     return parse.resolve_references(acts, words.drop("event_id")).select("act_id", T.build_text(F.col("words")).alias("text"), F.array_join("ref_flags", ",").alias("flags"))
@@ -479,7 +521,12 @@ def eval_batches(spark, sf_dir):
     return batching.eval_batches(items, 32, "doc_id").drop("text")
 
 
-@query()
+@query("""WITH k AS (SELECT conv_id, turn, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+c AS (SELECT a.conv_id || '-' || a.turn AS id, sum(b.n)::BIGINT AS chars FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.i BETWEEN a.i - 2 AND a.i + 1 GROUP BY ALL),
+r AS (SELECT *, sha256('42:' || id) AS h FROM c), s AS (SELECT *, (row_number() OVER (ORDER BY h, id) - 1) // 128 AS chunk FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY chars, h, id) - 1 AS i FROM s), n AS (SELECT DISTINCT chunk, i // 16 AS b FROM t),
+o AS (SELECT *, row_number() OVER (ORDER BY sha256('43:' || chunk || ':' || b), chunk, b) - 1 AS batch FROM n)
+SELECT id, chars, (i % 16)::INT AS place, batch FROM t JOIN o ON o.chunk = t.chunk AND o.b = t.i // 16""")
 def train_batches(spark, sf_dir):
     items = batching.with_length(context.with_windows(meetings(spark, sf_dir), 2, 1).withColumn("id", F.concat_ws("-", "meeting", "position")), ("text",), ("left", "right"))
     return batching.train_batches(items.select("id", "chars"), 16, 8, "id", seed=42)
@@ -502,16 +549,24 @@ def distance_buckets(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type", T.distance_bucket(F.when(raw < 80, raw)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'the label is outside' AS rule WHERE false""")
-def predictions_valid(spark, sf_dir):
-    gold, _ = gold_and_predictions(spark, sf_dir)
-    full = gold.withColumn("scores", F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[F.when(F.col("label") == x, 0.4).otherwise(0.1) for x in LABELS])))
-    return checks.violations(full, "seg_id", checks.prediction_rules()).select("rule")
+#: What is wrong with the prediction of each doc_id modulo their number; nothing with the last two.
+FAULTS = ("label", "key", "range", "null", "sum", "id", "none", "fine")
 
 
-@query("SELECT l.* FROM (SELECT DISTINCT o_custkey AS key FROM orders) l")
-def distinct_keys(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+@query("""WITH p AS (SELECT doc_id, doc_id % 8 AS k FROM labels)
+SELECT 'label is outside the label set' AS rule, doc_id::VARCHAR AS id FROM p WHERE k = 0 UNION ALL SELECT 'scores has wrong keys', doc_id::VARCHAR FROM p WHERE k = 1 UNION ALL SELECT 'a score is no number in [0, 1]', doc_id::VARCHAR FROM p WHERE k IN (2, 3)
+UNION ALL SELECT 'scores do not sum to one', doc_id::VARCHAR FROM p WHERE k IN (3, 4) UNION ALL SELECT 'seg_id must be a non-empty string', '' FROM p WHERE k = 5""")
+def predictions_valid(spark, sf_dir):
+    fault = lambda name: F.col("doc_id") % len(FAULTS) == FAULTS.index(name)
+    # 1/8 six times and 1/4; a fault moves the first or the last of them
+    first = F.when(fault("range"), -0.25).when(fault("null"), F.lit(None)).when(fault("sum"), 0.5).otherwise(0.125)
+    last = F.when(fault("range"), 0.625).otherwise(0.25)
+    keys = F.array(*map(F.lit, LABELS[:-1]), F.when(fault("key"), "another").otherwise(LABELS[-1]))
+    scores = F.map_from_arrays(keys, F.array(first, *[F.lit(0.125)] * 5, last))
+    rows = read(spark, sf_dir, "labels").select(
+        F.when(fault("id"), "").otherwise(F.col("doc_id").cast("string")).alias("seg_id"), F.when(fault("label"), "zz").otherwise("cs").alias("label"), F.when(~fault("none"), scores).alias("scores")
+    )
+    return checks.violations(rows, "seg_id", checks.prediction_rules())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,12 +96,12 @@ def verify_checksums(folder: str) -> None:
     for line in (root / "checksums.sha256").read_text(encoding="utf-8").splitlines():
         m = re.fullmatch(r"([0-9a-f]{64})  (\S+)", line)
         if not m or m[2] not in CONTENT or m[2] in seen:
-            raise ValueError(f"invalid checksum line: {line!r}")
+            raise ValueError(f"no line of a checksum file: {line!r}")
         seen.append(m[2])
         if file_sha256(root / m[2]) != m[1]:
-            raise ValueError(f"checksum mismatch for {m[2]}")
+            raise ValueError(f"{m[2]} is not the file that was released")
     if tuple(seen) != CONTENT:
-        raise ValueError("checksums.sha256 must list exactly the four content files, sorted")
+        raise ValueError(f"checksums.sha256 names {seen}, not {list(CONTENT)}")
 
 
 def load_release(spark: SparkSession, folder: str) -> dict:

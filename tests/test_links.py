@@ -1,97 +1,117 @@
-"""Pair groups by windows against a sequential reading of the same rules."""
+"""Adjacency pairs: for each rule a stream with its links written out by hand, and properties that hold for any stream."""
 
 import random
-import re
 
-from parley.operators.links import build_links, notes
+import pytest
+
+from parley.operators.links import build_links, nearest_reply, notes
 
 SCHEMA = "meeting string, position int, seg_id string, source_da_id string, adjacency_raw string, is_layer2_proposal boolean"
-TOKEN = re.compile(r"(\d+)(_*)([ab])(?:-(\d+))?(\+*)")
-
-
-def read(acts):
-    """acts: (act, adjacency, segments) in order. Links of each act, and counts of odd tokens."""
-    open_pairs, of_act, counts, top, place = {}, {}, dict.fromkeys("ragul", 0), 0, 0
-    where, start = {}, {}
-    for act, _, segments in acts:
-        start[act] = place
-        for s in segments:
-            where[s], place = place, place + 1
-    for act, adjacency, segments in acts:
-        of_act[act] = []
-        for piece in adjacency.split(".") if adjacency is not None else []:
-            m = TOKEN.fullmatch(piece)
-            if not m:
-                continue
-            number, under, plus = int(m[1]), len(m[2]), len(m[5])
-            speaker = int(m[4]) if m[4] else None
-            if m[3] == "a":
-                fresh = not plus and speaker in (None, 1)
-                if fresh and not under and number == 1 and top > 1:
-                    open_pairs, top = {}, 0
-                    counts["r"] += 1
-                if not under:
-                    top = max(top, number)
-                pair = None if fresh else open_pairs.get((number, under))
-                if pair is None:
-                    pair = open_pairs[number, under] = {"id": f"m:{number}{'_' * under}@{start[act]}", "chains": {}, "odd": not fresh}
-                    counts["a"] += not fresh
-                if not any(pair is p for p in of_act[act]):
-                    of_act[act].append(pair)
-                continue
-            pair = open_pairs.get((number, under))
-            if pair is None:
-                counts["g"] += 1
-                continue
-            chains = pair["chains"]
-            if speaker is not None or not plus or 0 in chains:
-                key = speaker or 0
-            elif len(chains) == 1:
-                key = next(iter(chains))
-            else:
-                counts["u" if chains else "l"] += 1
-                pair["odd"] |= bool(chains)
-                continue
-            chain = chains.setdefault(key, [])
-            chain += [s for s in segments if s not in chain]
-    out = {}
-    for act, adjacency, segments in acts:
-        pairs = of_act[act]
-        chains = sorted((list(c) for p in pairs for c in p["chains"].values()), key=lambda c: where[c[0]])
-        bad = adjacency is not None and any(not TOKEN.fullmatch(x) for x in adjacency.split("."))
-        status = "malformed" if bad else "ambiguous" if any(p["odd"] for p in pairs) else "ok" if chains else "no_pair"
-        for s in segments:
-            out[s] = (chains, status, pairs[0]["id"] if pairs else None)
-    return out, counts
-
-
-def check(spark, streams):
-    """streams: acts of each meeting; all meetings are read by one job."""
-    data, wanted, total = [], {}, dict.fromkeys("ragul", 0)
-    for m, acts in streams.items():
-        place = 0
-        for act, adjacency, segments in acts:
-            for s in segments:
-                data.append((m, place, f"{m}/{s}", act, adjacency, True))
-                place += 1
-        links, counts = read(acts)
-        wanted |= {f"{m}/{s}": ([[f"{m}/{x}" for x in c] for c in chains], status, group and m + group[1:]) for s, (chains, status, group) in links.items()}
-        total = {k: total[k] + counts[k] for k in total}
-    df = spark.createDataFrame(data, SCHEMA).cache()
-    got = {r["proposal_id"]: ([list(c) for c in r["responder_chains"]], r["status"], r["pair_group"]) for r in build_links(df).collect()}
-    assert got == wanted
-    assert tuple(notes(df).first()) == tuple(total[k] for k in "ragul")
-
-
-def test_written_and_random_streams(spark):
-    streams = {"w": [("a1", "1a", ["s1"]), ("a2", "1b", ["s2", "s3"]), ("a3", "2a", ["s4"]), ("a4", "2b-2.2b-3", ["s5"]), ("a5", "2b+", ["s6"]), ("a6", "1a", ["s7"]), ("a7", "2b", ["s8"]), ("a8", "1b+", ["s9"]), ("a9", "?", ["t1"]), ("b1", None, ["t2"]), ("b2", "", ["t3"]), ("b3", "3a+", ["t4"])]}
-    rng = random.Random(7)
-    for m in "efghijkl":
-        acts, n = [], 0
-        for i in range(100):
-            pieces = [f"{rng.randint(1, 3)}{'_' * (rng.random() < 0.1)}{rng.choice('aabb')}{rng.choice(['', '', '', '-1', '-2', '-3'])}{'+' * (rng.random() < 0.15)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
-            segments = [f"s{n + j}" for j in range(rng.choice([1, 1, 2]))]
-            n += len(segments)
-            acts.append((f"a{i}", ".".join(pieces) if pieces else None, segments))
-        streams[m] = acts
-    check(spark, streams)
+NOTES = ("numbering_restarts", "a_continuation_without_group", "b_without_group", "b_continuation_ambiguous", "b_continuation_without_chain")
+
+# name: (acts as "id:adjacency" or "id*segments:adjacency", links as {id: (chains, status, pair_group)}, notes that are not zero)
+CASES = {
+    "a reply joins the open pair": ("A:1a B:1b", {"A": ("B", "ok", "1@0")}, {}),
+    "without a reply there is no pair": ("A:1a B:", {"A": ("", "no_pair", "1@0")}, {}),
+    "an act without adjacency has no group": ("A:- B:1b", {"A": ("", "no_pair", None)}, {"b_without_group": 1}),
+    "each speaker has a chain": ("A:1a B:1b-1 C:1b-2 D:1b-1", {"A": ("B,D C", "ok", "1@0")}, {}),
+    "a plain reply is speaker nought's": ("A:1a B:1b-1 C:1b D:1b", {"A": ("B C,D", "ok", "1@0")}, {}),
+    "all segments of a reply join once": ("A:1a B*2:1b.1b C:1b", {"A": ("B0,B1,C", "ok", "1@0")}, {}),
+    "every segment of a proposal has the link": ("A*2:1a B:1b", {"A0": ("B", "ok", "1@0"), "A1": ("B", "ok", "1@0")}, {}),
+    "a plus continues the pair": ("A:1a B:1a+ C:1b", {"A": ("C", "ok", "1@0"), "B": ("C", "ok", "1@0")}, {}),
+    "another speaker's a continues the pair": ("A:1a B:1a-2 C:1b", {"A": ("C", "ok", "1@0"), "B": ("C", "ok", "1@0")}, {}),
+    "speaker one opens": ("A:1a B:1b C:1a-1 D:1b", {"A": ("B", "ok", "1@0"), "C": ("D", "ok", "1@2")}, {}),
+    "an opener replaces the pair of its number": ("A:1a B:1b C:1a D:1b E:1b", {"A": ("B", "ok", "1@0"), "C": ("D,E", "ok", "1@2")}, {}),
+    "a continuation of nothing is ambiguous": ("A:1a+ B:1b", {"A": ("B", "ambiguous", "1@0")}, {"a_continuation_without_group": 1}),
+    "an opener after such a continuation is not": ("A:1a+ B:1a C:1b", {"A": ("", "ambiguous", "1@0"), "B": ("C", "ok", "1@1")}, {"a_continuation_without_group": 1}),
+    "underscores make another pair": ("A:1a B:1_a C:1_b D:1b", {"A": ("D", "ok", "1@0"), "B": ("C", "ok", "1_@1")}, {}),
+    "number one after a higher one restarts": ("A:2a B:1a C:2b D:1b", {"A": ("", "no_pair", "2@0"), "B": ("D", "ok", "1@1")}, {"numbering_restarts": 1, "b_without_group": 1}),
+    "a higher number with underscores does not count": ("A:2_a B:1a C:2_b", {"A": ("C", "ok", "2_@0"), "B": ("", "no_pair", "1@1")}, {}),
+    "an underscored one does not restart": ("A:2a B:1_a C:2b", {"A": ("C", "ok", "2@0"), "B": ("", "no_pair", "1_@1")}, {}),
+    "a continued one does not restart": ("A:2a B:1a+ C:2b", {"A": ("C", "ok", "2@0"), "B": ("", "ambiguous", "1@1")}, {"a_continuation_without_group": 1}),
+    "a second restart needs a higher number since the first": ("A:2a B:1a C:1a D:2a E:1a F:2b", {"A": ("", "no_pair", "2@0"), "B": ("", "no_pair", "1@1"), "C": ("", "no_pair", "1@2"), "D": ("", "no_pair", "2@3"), "E": ("", "no_pair", "1@4")}, {"numbering_restarts": 2, "b_without_group": 1}),
+    "a continuing b joins chain nought": ("A:1a B:1b-2 C:1b D:1b+", {"A": ("B C,D", "ok", "1@0")}, {}),
+    "a continuing b joins the only chain": ("A:1a B:1b-2 C:1b+", {"A": ("B,C", "ok", "1@0")}, {}),
+    "a continuing b of several chains makes the group ambiguous": ("A:1a B:1b-1 C:1b-2 D:1b+ E:1b-1", {"A": ("B,E C", "ambiguous", "1@0")}, {"b_continuation_ambiguous": 1}),
+    "a continuing b of no chain is lost": ("A:1a B:1b+ C:1b", {"A": ("C", "ok", "1@0")}, {"b_continuation_without_chain": 1}),
+    "a continuing b with a speaker is that speaker's": ("A:1a B:1b-1 C:1b-2+", {"A": ("B C", "ok", "1@0")}, {}),
+    "a malformed piece marks the act, its other tokens count": ("A:1a.zz B:1b", {"A": ("B", "malformed", "1@0")}, {}),
+    "an empty adjacency is malformed": ("A:'' B:1b", {"A": ("", "malformed", None)}, {"b_without_group": 1}),
+    "an act of two pairs has the chains of both": ("A:1a.2a B:2b C:1b", {"A": ("B C", "ok", "1@0")}, {}),
+    "a reply to two pairs is in both": ("A:1a B:2a C:1b.2b", {"A": ("C", "ok", "1@0"), "B": ("C", "ok", "2@1")}, {}),
+    "a reply that proposes has both sides": ("A:1a B:1b.2a C:2b", {"A": ("B", "ok", "1@0"), "B": ("C", "ok", "2@1")}, {}),
+}
+
+
+def rows_of(meeting, text):
+    out, place = [], 0
+    for act in text.split(" "):
+        name, adjacency = act.split(":")
+        name, _, many = name.partition("*")
+        raw = {"-": None, "''": ""}.get(adjacency, adjacency or None)
+        for n in range(int(many or 1)):
+            out.append((meeting, place, f"{name}{n}" if many else name, name, raw, True))
+            place += 1
+    return out
+
+
+def unique(rows):
+    """Ids that differ between meetings."""
+    return [(m, p, f"{m}/{s}", f"{m}/{a}", raw, is_p) for m, p, s, a, raw, is_p in rows]
+
+
+@pytest.fixture(scope="module")
+def all_cases(spark):
+    rows = [r for i, (text, _, _) in enumerate(CASES.values()) for r in unique(rows_of(f"m{i}", text))]
+    return {r["proposal_id"]: r for r in build_links(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_links_by_hand(all_cases, name):
+    meeting, (_, wanted, _) = f"m{list(CASES).index(name)}", CASES[name]
+    for act, (chains, status, group) in wanted.items():
+        got = all_cases[f"{meeting}/{act}"]
+        assert [",".join(s.split("/")[1] for s in c) for c in got["responder_chains"]] == chains.split()
+        assert got["status"] == status and got["has_response"] == bool(chains) and got["pair_group"] == (group and f"{meeting}:{group}")
+
+
+def test_notes_by_hand(spark):
+    total = dict.fromkeys(NOTES, 0)
+    for _, _, found in CASES.values():
+        for k, n in found.items():
+            total[k] += n
+    rows = [r for i, (text, _, _) in enumerate(CASES.values()) for r in unique(rows_of(f"m{i}", text))]
+    assert notes(spark.createDataFrame(rows, SCHEMA)).first().asDict() == total
+
+
+def test_properties_of_any_stream(spark):
+    rng = random.Random(1)
+    token = lambda: f"{rng.randint(1, 3)}{'_' * (rng.random() < 0.2)}{rng.choice('abb')}{rng.choice(['', '', '-1', '-2'])}{'+' * (rng.random() < 0.2)}"
+    rows = []
+    for m in range(60):
+        acts = [f"A{i}*{rng.randint(1, 3)}:{'.'.join(token() for _ in range(rng.randint(1, 3)))}" for i in range(rng.randint(2, 25))]
+        rows += unique(rows_of(f"r{m}", " ".join(acts)))
+    place, raw, act = ({r[2]: r[i] for r in rows} for i in (1, 4, 3))
+    df = spark.createDataFrame(rows, SCHEMA)
+    links = {r["proposal_id"]: r for r in build_links(df).collect()}
+    assert set(links) == set(place)  # one link for each proposal
+    keys = lambda s, side: {t.split(side)[0] for t in raw[s].split(".") if side in t}
+    for s, link in links.items():
+        chains = link["responder_chains"]
+        assert link["status"] in ("ok", "no_pair", "ambiguous") and (link["status"] == "ambiguous" or (link["status"] == "ok") == bool(chains))
+        assert (link["pair_group"] is None) == (not keys(s, "a"))
+        heads = [place[c[0]] for c in chains]
+        assert heads == sorted(heads)
+        for chain in chains:
+            assert [place[x] for x in chain] == sorted({place[x] for x in chain})
+            # who replies has a b of a number that the proposal has as an a, and says it after the pair was opened
+            assert all(x.split("/")[0] == s.split("/")[0] and keys(x, "b") & keys(s, "a") for x in chain)
+    for a in {act[s] for s in place}:  # an act's segments share a link
+        assert len({str(links[s]["responder_chains"]) + links[s]["status"] + str(links[s]["pair_group"]) for s in place if act[s] == a}) == 1
+    alone = {r["proposal_id"]: r for r in build_links(df.filter("meeting IN ('r0', 'r1')")).collect()}
+    assert all(alone[s] == links[s] for s in alone)  # meetings do not meet
+
+
+def test_nearest_reply(spark):
+    df = spark.createDataFrame(unique(rows_of("m", "A:1a B: C: D:1b-1 E:1b F:2a")), SCHEMA)
+    assert {r["proposal_id"]: r["distance"] for r in nearest_reply(build_links(df), df).collect()} == {"m/A": 3}
