@@ -135,6 +135,12 @@ def check_release_rows(rows: DataFrame, splits: DataFrame, k: int) -> DataFrame:
     targets, flags = F.col("target_tags"), F.col("quality_flags")
     fold = F.col("fold")
     named |= {
+        **{f"{c} is missing": F.col(c).isNotNull() for c in ("speaker_id", "text", "words", "general_tags", "disruption_markers", "quality_flags", "target_tags") if c in rows.columns},
+        **{f"{c} is not finite": F.abs(F.col(c)) < float("inf") for c in ("src_start", "src_end", "start", "end")},  # NaN is greater than any number
+        "element_ordinal is invalid": F.col("element_ordinal") >= 0,
+        "a word lacks its text or kind": F.forall("words", lambda w: w["text"].isNotNull() & w["kind"].isNotNull()),
+        "a tag or flag is null": ~(F.exists("general_tags", lambda x: x.isNull()) | F.exists("disruption_markers", lambda x: x.isNull()) | F.exists(flags, lambda x: x.isNull())),
+        "a target tag is no target": F.forall(targets, lambda x: F.coalesce(x.isin(*TARGETS), F.lit(False))),
         "seg_id is empty": F.coalesce(F.col("seg_id"), F.lit("")) != "",
         "position is invalid": F.col("position") >= 0,
         "source and act timings are inconsistent": (F.col("src_start") <= F.col("start")) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("src_end")),
@@ -156,6 +162,70 @@ def check_release_rows(rows: DataFrame, splits: DataFrame, k: int) -> DataFrame:
     return out.unionByName(violations(both, "meeting", agree))
 
 
+def check_split_file(splits: Mapping[str, object]) -> None:
+    """Raises unless the object of a splits file has a fold count, the grouping, assignments and a source hash."""
+    k, source = splits.get("k"), splits.get("source_sha256")
+    if type(k) is not int or k < 2:
+        raise ValueError("k must be an integer of at least 2")
+    if splits.get("grouping") != "meeting":
+        raise ValueError("grouping must be by meeting")
+    if not isinstance(splits.get("meetings"), Mapping):
+        raise ValueError("meetings must map ids to a split and a fold")
+    if not isinstance(source, str) or len(source) != 64 or set(source) - set("0123456789abcdef"):
+        raise ValueError("source_sha256 must be 64 lower-case hex digits")
+
+
+def window_rules() -> dict[str, Column]:
+    """Rules on rows that context windows are made of."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return {"seg_id is empty": said("seg_id"), "meeting is empty": said("meeting"), "position is invalid": F.col("position") >= 0, "speaker_id is empty": said("speaker_id"), "text is missing": F.col("text").isNotNull()}
+
+
+def check_windows(rows: DataFrame) -> DataFrame:
+    """What a formatter of windows refuses: broken fields, repeated ids, two rows at one position."""
+    at = F.format_string("%s@%s", F.col("meeting"), F.col("position").cast("string"))
+    return violations(rows, "seg_id", window_rules()).unionByName(duplicate_ids(rows, "seg_id")).unionByName(duplicate_ids(rows.select(at.alias("at")), "at", "two rows at one position"))
+
+
+def check_meeting_files(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """What a writer of meeting files refuses; drop flags must be false where there are any. splits: meeting, split."""
+    named = {"label is outside the label set": F.col("label").isin(*LABELS), "split is invalid": F.col("split").isin(*SPLITS)}
+    named |= {f"{c} is not false": ~F.col(c) for c in DROP_FLAGS if c in rows.columns}
+    own = rows.groupBy("meeting").agg(F.min("split").alias("own"))
+    both = own.join(splits.select("meeting", "split"), "meeting", "full_outer")
+    agree = {"a declared meeting has no rows": F.col("own").isNotNull(), "rows of an undeclared meeting": F.col("split").isNotNull(), "rows disagree with the split assignment": F.col("own").isNull() | F.col("split").isNull() | (F.col("own") == F.col("split"))}
+    return violations(rows, "seg_id", named).unionByName(duplicate_ids(rows, "seg_id")).unionByName(gaps(rows)).unionByName(in_several(rows)).unionByName(violations(both, "meeting", agree))
+
+
+def is_fatal(rows: DataFrame, *problems: DataFrame) -> bool:
+    """Whether a parse must not be used: any problem, or any row with an error flag. Triggers small jobs."""
+    bad = rows.filter(F.arrays_overlap("quality_flags", _in(ERROR_FLAGS)))
+    return any(df.limit(1).count() > 0 for df in (*problems, bad))
+
+
+def completion_problems(fresh: DataFrame, previous: DataFrame, parsed: DataFrame, links: DataFrame, key: str = "seg_id") -> DataFrame:
+    """Why complete_rows would be wrong: ids that differ, fields that changed, rows to be reused that are proposals or have a link."""
+    shared = [c for c in fresh.columns if c not in (key, "split", "fold")]
+    both = fresh.select(key, F.struct(*shared).alias("a")).join(previous.select(key, F.struct(*[F.col(c) if c in previous.columns else F.lit(None).alias(c) for c in shared]).alias("b")), key)
+    said = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
+    out = duplicate_ids(fresh, key).unionByName(duplicate_ids(previous, key)).unionByName(duplicate_ids(parsed, key)).unionByName(duplicate_ids(links, "proposal_id"))
+    out = out.unionByName(said(both.filter(~F.col("a").eqNullSafe(F.col("b"))), "a shared field was changed"))
+    out = out.unionByName(said(fresh.join(previous, key, "left_anti"), "a new row was not in the previous release"))
+    ids = parsed.select(key, F.lit(1).alias("p")).join(previous.select(key, F.lit(1).alias("q")), key, "full_outer")
+    out = out.unionByName(said(ids.filter("p IS NULL OR q IS NULL"), "the previous release has other ids than the parse"))
+    reused = previous.join(fresh, key, "left_anti")
+    out = out.unionByName(said(reused.filter("is_layer2_proposal"), "a missing row is a proposal"))
+    return out.unionByName(said(reused.join(links.select(F.col("proposal_id").alias(key)), key, "left_semi"), "a missing row has a link"))
+
+
+def complete_rows(fresh: DataFrame, previous: DataFrame, key: str = "seg_id") -> DataFrame:
+    """The previous release's rows, without split and fold, with fresh rows' fields where there are any. Check with completion_problems first."""
+    columns = [c for c in previous.columns if c not in ("split", "fold")]
+    new = fresh.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in fresh.columns if c not in (key, "split", "fold")], F.lit(True).alias("_fresh"))
+    own = lambda c: F.when(F.col("_fresh"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fresh.columns and c != key else F.col(c)
+    return previous.join(new, key, "left").select(*map(own, columns))
+
+
 def prediction_rules(tolerance: float = 1e-3) -> dict[str, Column]:
     """Rules on parsed predictions: seg_id, label, scores (a map of doubles, null if none); bad numbers must be null in it."""
     values = F.map_values("scores")

@@ -58,6 +58,32 @@ def assign_splits(meetings: DataFrame, counts: Mapping[str, int] = COUNTS, seed:
     return ordered.join(F.broadcast(cells), "series").filter("rank >= low AND rank < high").select(by, "split")
 
 
+def split_problems(universe: DataFrame, lists: DataFrame, by: str = "meeting") -> DataFrame:
+    """rule and id wherever lists (by, split) do not deal out the universe (by) exactly: each meeting once, to one of the splits."""
+    said = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("id"))
+    empty = F.coalesce(F.col(by), F.lit("")) == ""
+    listed = lists.groupBy(by).agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("n"), F.max((~F.col("split").isin(*SPLITS)).cast("int")).alias("odd"))
+    both = universe.select(by).distinct().withColumn("_u", F.lit(1)).join(listed, by, "full_outer")
+    out = said(universe.select(by).unionByName(lists.select(by)).filter(empty).distinct(), "a meeting has no id")
+    out = out.unionByName(said(universe.groupBy(by).count().filter("count > 1"), "a meeting occurs twice in the universe"))
+    out = out.unionByName(said(both.filter("odd = 1"), "an unknown split")).unionByName(said(both.filter("splits > 1"), "a meeting is in several splits"))
+    out = out.unionByName(said(both.filter("n > splits"), "a meeting occurs twice in a split")).unionByName(said(both.filter("_u IS NULL"), "a listed meeting is not in the universe"))
+    return out.unionByName(said(both.filter("n IS NULL"), "a meeting is in no split"))
+
+
+def split_provenance(universe: DataFrame, lists: DataFrame, k: int = FOLDS, reasons: DataFrame | None = None, by: str = "meeting") -> DataFrame:
+    """by, split, reason and fold (null in test) of valid lists, see split_problems. reasons (by, reason) replace the standard one.
+
+    Folds deal out train and val together, in order of ids.
+    """
+    from .checks import raise_first
+
+    raise_first(split_problems(universe, lists, by))
+    folds = assign_folds(lists.filter("split <> 'test'"), k, by)
+    named = lists.join(reasons.select(by, "reason"), by, "left") if reasons is not None else lists.withColumn("reason", F.lit(None).cast("string"))
+    return named.join(folds, by, "left").select(by, "split", F.coalesce("reason", F.concat(F.lit("listed in "), F.col("split"))).alias("reason"), "fold")
+
+
 def attach_splits(rows: DataFrame, assignments: DataFrame, by: str = "meeting") -> DataFrame:
     """rows with split and fold; an error at run time for a meeting without an assignment."""
     if {"split", "fold"} & set(rows.columns):

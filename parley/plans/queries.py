@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotate, batching, checks, context, links, metrics, parse, splits
+from ..operators import annotate, batching, checks, context, links, metrics, parse, predict, reports, splits
 from ..schemas import LABELS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -569,6 +569,97 @@ def predictions_valid(spark, sf_dir):
     return checks.violations(rows, "seg_id", checks.prediction_rules())
 
 
+_LISTS_SQL = """SELECT n_name AS meeting, CASE WHEN n_nationkey = 10 THEN 'dev' WHEN n_regionkey < 3 THEN 'train' WHEN n_regionkey = 3 THEN 'val' ELSE 'test' END AS split FROM nation"""
+
+
+def _split_lists(spark, sf_dir, last: str = "test"):
+    nation = read(spark, sf_dir, "nation")
+    split = F.when(F.col("n_regionkey") < 3, "train").when(F.col("n_regionkey") == 3, "val").otherwise(last)
+    return nation.select(F.col("n_name").alias("meeting")), nation.select(F.col("n_name").alias("meeting"), split.alias("split"), "n_nationkey")
+
+
+@query("""WITH l AS (SELECT n_name AS meeting, CASE WHEN n_regionkey < 3 THEN 'train' WHEN n_regionkey = 3 THEN 'val' ELSE 'test' END AS split FROM nation), f AS (SELECT meeting, ((row_number() OVER (ORDER BY meeting) - 1) % 5)::INT AS fold FROM l WHERE split <> 'test')
+SELECT meeting, split, 'listed in ' || split AS reason, fold FROM l LEFT JOIN f USING (meeting)""")
+def split_provenance(spark, sf_dir):
+    universe, lists = _split_lists(spark, sf_dir)
+    return splits.split_provenance(universe, lists.drop("n_nationkey"))
+
+
+@query(f"""WITH l AS ({_LISTS_SQL} WHERE n_nationkey <> 7 UNION ALL SELECT n_name, 'test' FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_name, 'val' FROM nation WHERE n_nationkey = 20 UNION ALL SELECT 'ATLANTIS', 'train' UNION ALL SELECT '', 'train'),
+g AS (SELECT meeting, count(*) AS n, count(DISTINCT split) AS splits, bool_or(split = 'dev') AS odd FROM l GROUP BY meeting)
+SELECT 'a meeting has no id' AS rule, meeting AS id FROM g WHERE meeting = '' UNION ALL SELECT 'an unknown split', meeting FROM g WHERE odd UNION ALL SELECT 'a meeting is in several splits', meeting FROM g WHERE splits > 1 UNION ALL SELECT 'a meeting occurs twice in a split', meeting FROM g WHERE n > splits
+UNION ALL SELECT 'a listed meeting is not in the universe', meeting FROM g WHERE meeting NOT IN (SELECT n_name FROM nation) UNION ALL SELECT 'a meeting is in no split', n_name FROM nation WHERE n_name NOT IN (SELECT meeting FROM g)""")
+def split_problems(spark, sf_dir):
+    universe, lists = _split_lists(spark, sf_dir)
+    named = lambda keys, split: lists.filter(keys).select("meeting", F.lit(split).alias("split"))
+    given = lists.filter("n_nationkey <> 7").select("meeting", F.when(F.col("n_nationkey") == 10, "dev").otherwise(F.col("split")).alias("split"))
+    given = given.unionByName(named("n_nationkey < 3", "test")).unionByName(named("n_nationkey = 20", "val")).unionByName(spark.createDataFrame([("ATLANTIS", "train"), ("", "train")], "meeting string, split string"))
+    return splits.split_problems(universe, given)
+
+
+@query("""WITH r AS (SELECT conv_id || '-' || turn AS id, conv_id || '@' || CASE WHEN conv_id % 10 = 0 THEN turn // 2 ELSE turn END AS place, turn FROM conversations)
+SELECT 'speaker_id is empty' AS rule, id FROM r WHERE turn % 5 = 3 UNION ALL SELECT 'text is missing', id FROM r WHERE turn % 7 = 6 UNION ALL SELECT 'two rows at one position', place FROM r GROUP BY place HAVING count(*) > 1""")
+def window_checks(spark, sf_dir):
+    df = read(spark, sf_dir, "conversations")
+    position = F.when(F.col("conv_id") % 10 == 0, F.floor(F.col("turn") / 2)).otherwise(F.col("turn"))
+    rows = df.select(F.concat_ws("-", "conv_id", "turn").alias("seg_id"), F.col("conv_id").cast("string").alias("meeting"), position.alias("position"), F.when(F.col("turn") % 5 == 3, "").otherwise(F.col("role")).alias("speaker_id"), F.when(F.col("turn") % 7 != 6, F.col("text")).alias("text"))
+    return checks.check_windows(rows)
+
+
+@query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + (user_id % 7 = 0)::INT AS position, CASE WHEN event_id % 50 = 0 THEN 'zz' ELSE 'cs' END AS label, CASE WHEN user_id % 11 = 0 AND event_id % 2 = 0 THEN 'val' ELSE 'train' END AS split FROM events),
+m AS (SELECT user_id, min(split) AS own, count(DISTINCT split) AS splits, min(position) AS low FROM r GROUP BY user_id)
+SELECT 'label is outside the label set' AS rule, event_id::VARCHAR AS id FROM r WHERE label = 'zz' UNION ALL SELECT 'is_empty is not false', event_id::VARCHAR FROM r WHERE event_id % 100 = 0 UNION ALL SELECT 'positions are not contiguous from zero', user_id::VARCHAR FROM m WHERE low > 0
+UNION ALL SELECT 'meeting is in more than one split', user_id::VARCHAR FROM m WHERE splits > 1 UNION ALL SELECT 'rows of an undeclared meeting', user_id::VARCHAR FROM m WHERE user_id % 13 = 0 UNION ALL SELECT 'rows disagree with the split assignment', user_id::VARCHAR FROM m WHERE user_id % 13 <> 0 AND own <> 'train'
+UNION ALL SELECT 'a declared meeting has no rows', 'nobody'""")
+def meeting_file_checks(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = annotate.assign_positions(read(spark, sf_dir, "events"), "user_id", ("user_id", "event_id")).withColumn("position", F.col("position") + (u % 7 == 0).cast("int"))
+    rows = rows.select(e.cast("string").alias("seg_id"), u.cast("string").alias("meeting"), "position", F.when(e % 50 == 0, "zz").otherwise("cs").alias("label"), F.when((u % 11 == 0) & (e % 2 == 0), "val").otherwise("train").alias("split"), (e % 100 == 0).alias("is_empty"))
+    given = read(spark, sf_dir, "events").filter("user_id % 13 <> 0").select(u.cast("string").alias("meeting"), F.lit("train").alias("split")).distinct()
+    return checks.check_meeting_files(rows, given.unionByName(spark.createDataFrame([("nobody", "test")], "meeting string, split string")))
+
+
+def _releases(spark, sf_dir):
+    """orders as a previous release, three in four of them as new rows with another price, and one row more."""
+    k = F.col("o_orderkey")
+    previous = read(spark, sf_dir, "orders").select(k.alias("seg_id"), "o_orderstatus", F.col("o_totalprice").alias("price"), (k % 9 == 0).alias("is_layer2_proposal"), F.lit("train").alias("split"))
+    fresh = previous.filter("seg_id % 4 <> 0").select("seg_id", F.when(F.col("seg_id") % 3 == 0, -1.0).otherwise(F.col("price")).alias("price"))
+    return previous, fresh
+
+
+@query("SELECT o_orderkey AS seg_id, o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 THEN -1.0::DOUBLE ELSE o_totalprice END AS price, o_orderkey % 9 = 0 AS is_layer2_proposal FROM orders")
+def completed_rows(spark, sf_dir):
+    previous, fresh = _releases(spark, sf_dir)
+    return checks.complete_rows(fresh, previous)
+
+
+@query("""SELECT 'a shared field was changed' AS rule, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 UNION ALL SELECT 'a new row was not in the previous release', '-1' UNION ALL SELECT 'the previous release has other ids than the parse', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 50 = 3
+UNION ALL SELECT 'a missing row is a proposal', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 9 = 0 UNION ALL SELECT 'a missing row has a link', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 5 = 0""")
+def completion_problems(spark, sf_dir):
+    previous, fresh = _releases(spark, sf_dir)
+    fresh = fresh.unionByName(spark.createDataFrame([(-1, 0.0)], "seg_id long, price double"))
+    return checks.completion_problems(fresh, previous, previous.filter("seg_id % 50 <> 3").select("seg_id"), previous.filter("seg_id % 5 = 0").select(F.col("seg_id").alias("proposal_id")))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, user_id % 3 + 1 AS n_parts, event_type, event_id % 4 = 0 AS empty, [CASE WHEN value > 10 THEN 'no_word_ref' ELSE 'ref_malformed' END, 'f' || (event_id % 2)] AS flags FROM events), f AS (SELECT user_id, unnest(flags) AS flag FROM r)
+SELECT 'parts' AS section, n_parts::VARCHAR AS item, count(*) AS n FROM r GROUP BY n_parts UNION ALL SELECT 'timing', event_type, count(*) FROM r GROUP BY event_type UNION ALL SELECT 'flag rows', flag, count(*) FROM f GROUP BY flag UNION ALL SELECT 'flag acts', flag, count(DISTINCT user_id) FROM f GROUP BY flag
+UNION ALL SELECT 'all', 'split rows without text', count(*) FILTER (empty AND n_parts > 1) FROM r UNION ALL SELECT 'all', 'acts with errors', count(DISTINCT user_id) FILTER (list_contains(flags, 'ref_malformed')) FROM r""")
+def parse_report(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    flags = F.array(F.when(F.col("value") > 10, "no_word_ref").otherwise("ref_malformed"), F.concat(F.lit("f"), (e % 2).cast("string")))
+    return reports.parse_counts(read(spark, sf_dir, "events").select((u % 3 + 1).alias("n_parts"), F.col("event_type").alias("timing_method"), F.when(e % 4 == 0, "").otherwise("said").alias("text"), u.alias("source_da_id"), flags.alias("quality_flags")))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, [length(text) % 5, length(text) % 3, 2, 1, 0, length(text) % 4, 1] AS x FROM conversations)
+SELECT conv_id, turn, list_element(['cs', 'co', 'aa', 'bk', 'ar', 'cc', 'other'], list_position(x, list_max(x))) AS label, round(exp(list_max(x)) / list_sum(list_transform(x, lambda y: exp(y))), 6) AS best FROM s""")
+def predictions(spark, sf_dir):
+    def load():
+        return lambda texts: [[len(t) % 5, len(t) % 3, 2, 1, 0, len(t) % 4, 1] for t in texts]
+
+    found = predict.predict(read(spark, sf_dir, "conversations"), load, "text")
+    return found.select("conv_id", "turn", "label", F.round(F.array_max("scores"), 6).alias("best"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: context windows of every turn, speakers as letters."""
     return context_render_letters(spark, sf_dir)

@@ -87,8 +87,11 @@ def read_transcripts(spark: SparkSession, path: str, corrections: DataFrame | No
 
 
 def read_meeting_ids(spark: SparkSession, path: str) -> DataFrame:
-    """meeting: the observation names; an error at run time if one is missing or occurs twice."""
-    names = spark.read.format("xml").option("rowTag", "observation").option("attributePrefix", "_").load(path).select(F.col("_name").alias("meeting"))
+    """meeting: the names under the first observations element; an error if there are none, or one is missing or occurs twice."""
+    lists = spark.read.format("xml").option("rowTag", "observations").option("attributePrefix", "_").schema("observation array<struct<_name:string>>").load(path)
+    names = lists.withColumn("i", F.monotonically_increasing_id()).orderBy("i").limit(1).select(F.explode("observation").alias("o")).select(F.col("o._name").alias("meeting"))
+    if not names.limit(1).count():
+        raise ValueError(f"{path} names no observation")
     counted = names.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"))
     bad = F.raise_error(F.lit("an observation's name is missing or occurs twice")).cast("string")
     return counted.select(F.when(F.col("meeting").isNull() | (F.col("n") > 1), bad).otherwise(F.col("meeting")).alias("meeting"))

@@ -11,6 +11,7 @@ import json
 import os
 import re
 import shutil
+import zipfile
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -113,6 +114,7 @@ def load_release(spark: SparkSession, folder: str) -> dict:
     splits_file, metadata = (json.loads((Path(folder) / n).read_text(encoding="utf-8")) for n in ("splits.json", "metadata.json"))
     if not re.fullmatch(VERSION, str(metadata.get("data_version"))):
         raise ValueError("metadata.data_version must be a version such as v1")
+    checks.check_split_file(splits_file)
     rows = read_jsonl(spark, f"{folder}/rows.jsonl", RELEASED, strict=True)
     links = read_jsonl(spark, f"{folder}/links.jsonl", LINK, strict=True)
     splits = spark.createDataFrame([(m, x["split"], x["fold"]) for m, x in splits_file["meetings"].items()], "meeting string, split string, fold int")
@@ -135,6 +137,81 @@ def write_meetings(rows: DataFrame, path: str) -> None:
     out.repartition("split", "meeting").sortWithinPartitions("split", "meeting", "position").write.mode("errorifexists").partitionBy("split", "meeting").json(path)
 
 
+def publish_meetings(rows: DataFrame, splits: DataFrame, target: str, version: str, rows_sha256: str) -> dict:
+    """Checked meeting files, {split}/{meeting}.jsonl with rows in order, and source.json; staged beside the target and renamed. Never overwrites.
+
+    Files are written by tasks and named by the store's own file system; the driver handles a name for each meeting.
+    """
+    spark = rows.sparkSession
+    Path_ = spark._jvm.org.apache.hadoop.fs.Path
+    staged, out = Path_(f"{target.rstrip('/')}.partial"), Path_(target)
+    store = out.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(out) or store.exists(staged):
+        raise FileExistsError(f"{target} exists or was left unfinished")
+    checks.raise_first(checks.check_meeting_files(rows, splits))
+    try:
+        write_meetings(rows, staged.toString())
+        for split in SPLITS:
+            store.mkdirs(Path_(staged, split))
+            folder = Path_(staged, f"split={split}")
+            for meeting in store.listStatus(folder) if store.exists(folder) else ():
+                name = spark._jvm.java.net.URLDecoder.decode(meeting.getPath().getName().removeprefix("meeting="), "UTF-8")
+                files = [f.getPath() for f in store.listStatus(meeting.getPath()) if f.getPath().getName().startswith("part-")]
+                if len(files) != 1 or not store.rename(files[0], Path_(staged, f"{split}/{name}.jsonl")):
+                    raise OSError(f"{name} was not written as one file")
+            store.delete(folder, True)
+        counts = rows.agg(F.count_distinct("meeting").alias("n_meetings"), F.count(F.lit(1)).alias("n_rows")).first().asDict()
+        source = {"data_version": version, "rows_sha256": rows_sha256, **counts}
+        stream = store.create(Path_(staged, "source.json"))
+        stream.write(bytearray(json.dumps(source, indent=2).encode() + b"\n"))
+        stream.close()
+    except BaseException:
+        store.delete(staged, True)
+        raise
+    store.delete(Path_(staged, "_SUCCESS"), False)
+    if not store.rename(staged, out):
+        raise OSError(f"{target} could not be published")
+    return source
+
+
+def preflight(raw_root: str, archive: str, target: str, version: str) -> None:
+    """Raises before any long stage if the version, an input folder or the archive is missing, or the target is in use."""
+    if not re.fullmatch(VERSION, version):
+        raise ValueError("a version is v1, v2 and so on")
+    for name in ("DialogueActs", "Words", "transcripts"):
+        if not os.path.isdir(f"{raw_root}/{name}"):
+            raise FileNotFoundError(f"{raw_root} has no folder {name}")
+    if not os.path.isfile(archive):
+        raise FileNotFoundError(archive)
+    if os.path.isdir(target) and os.listdir(target):
+        raise FileExistsError(f"{target} is in use; releases are never overwritten")
+
+
+def verify_archive(archive: str, expected: str) -> str:
+    found = file_sha256(archive)
+    if found != expected:
+        raise ValueError(f"{archive} is not the recorded archive: its SHA-256 is {found}")
+    return found
+
+
+def archive_member(archive: str, name: str, target: str) -> None:
+    """Copy one member of a zip file to a file of its own."""
+    with zipfile.ZipFile(archive) as z, z.open(name) as source, open(target, "xb") as out:
+        shutil.copyfileobj(source, out)
+
+
+def manifest(root: str, version: str, archive_sha256: str, fingerprint: str, removed: int) -> dict:
+    """Hashes of all files under root by relative path, and lines of JSON lines files; the same for the same build."""
+    files = {}
+    for path in sorted(p for p in Path(root).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))):
+        entry: dict[str, object] = {"sha256": file_sha256(path)}
+        if path.suffix == ".jsonl":
+            with open(path, "rb") as f:
+                entry["lines"] = sum(1 for _ in f)
+        files[path.relative_to(root).as_posix()] = entry
+    return {"data_version": version, "source_archive_sha256": archive_sha256, "release_fingerprint": fingerprint, "rows_removed_by_cleaning": removed, "files": files}
+
+
 def guard_test(path: str, allow_test: bool) -> None:
     if not allow_test and "test" in {os.path.basename(os.path.realpath(path)), os.path.basename(path.rstrip("/")).removeprefix("split=")}:
         raise PermissionError("the test split is read only with allow_test=True")
