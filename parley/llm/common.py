@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\v\f\r"
 SPACE_BYTES = SPACE.encode()
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+BROADCAST_ROWS = 200_000  # of a few numbers each
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="parley-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,15 +35,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def remove_tables(spark: SparkSession) -> int:
-    """Delete what operators have written to the shared folder so far; for callers whose results are stored elsewhere by now."""
+def tables_written() -> int:
+    return len(_WRITTEN)
+
+
+def remove_tables(spark: SparkSession, since: int = 0, but: str | None = None) -> int:
+    """Delete the tables written to the shared folder after the first so many, except one; for callers who have their results elsewhere by now."""
     n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in _WRITTEN[since:]:
+        if path != but:
+            _WRITTEN.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return n
 
 
+def newest_table() -> str:
+    return _WRITTEN[-1]
+
+
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df to the shared folder and read it back: the result is computed once and outlives lost executors."""
     spark = df.sparkSession
@@ -72,18 +85,33 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_parley_caches", {}).setdefault(name, {})
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that kept names by (doc_id, content, copies); content is xxhash64 of the text.
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, *keys: str) -> DataFrame:
+    """The rows of docs that marks keeps. marks: doc_id, content (xxhash64 of the text), keys, kept and copies.
 
-    copies counts docs' rows with this doc_id and this very text; of such repeats one row stays. Nulls match nulls.
+    Each of docs' rows is named by its doc_id, text and keys; nulls match nulls. Rows that no mark names stay. copies counts the rows
+    that a kept mark names, of which one stays: that whose columns, as JSON, come first. Only marks that drop something or have copies are
+    joined: up to BROADCAST_ROWS of them are broadcast, so that no text moves; beyond that texts are shuffled once.
     """
-    columns = docs.columns
-    content = F.xxhash64(F.col("text"))
-    found = docs.withColumn("_content", content).alias("d").join(
-        kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._content") == F.col("k.content")), "inner"
-    )
-    once = found.filter(F.col("k.copies") == 1).select(*[F.col(f"d.`{c}`") for c in columns])
-    if not kept.filter("copies > 1").limit(1).count():
+    columns, content = docs.columns, free_name(docs, "_content")
+    marks = materialize(marks.filter("NOT kept OR copies > 1").select("doc_id", "content", *keys, "kept"), "marks")
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{content}") == F.col("k.content"))
+    for key in keys:
+        same &= F.col(f"d.{key}").eqNullSafe(F.col(f"k.{key}"))
+    found = docs.withColumn(content, F.xxhash64("text")).alias("d").join(marks.alias("k"), same, "left")
+    own = [F.col(f"d.`{c}`") for c in columns]
+    once = found.filter(F.col("k.kept").isNull()).select(*own)
+    if not marks.filter("kept").limit(1).count():
         return once
-    repeated = found.filter(F.col("k.copies") > 1).select(*[F.col(f"d.`{c}`") for c in columns])
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    row = F.struct(*own)
+    repeated = found.filter(F.col("k.kept")).groupBy(F.col("d.doc_id").alias("i"), F.col(f"d.{content}").alias("c"), *[F.col(f"d.{k}").alias(f"k{n}") for n, k in enumerate(keys)]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(repeated.select("row.*"))
