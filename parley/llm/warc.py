@@ -1,15 +1,18 @@
 """WARC archives written from, and read into, a chunked record table.
 
-A record is never assembled. The writer cuts an oversized payload into a first record and continuation records
-(WARC/1.1 segmentation); the reader streams an archive and yields rows of record identifier, chunk number and at most
-CHUNK bytes. Digests are carried from chunk to chunk. Archives are gzip files that roll over after FILE_BLOCKS blocks of about BLOCK bytes,
-written by Spark's own writer into the shared folder, so any store that Spark writes will do and a lost task is written again.
+A record is never assembled. The writer cuts an oversized payload into a first record and continuation records of at most CHUNK bytes
+(WARC/1.1 segmentation); each is a gzip member of its own and one row, so archives can be read from any record on. The reader streams
+an archive's lines out of Spark's text source, which unzips as it goes, and yields rows of record identifier, chunk number and at most CHUNK bytes.
+Digests are carried from chunk to chunk. Files are written by Spark's own writer and renamed through the store's own file system,
+so any store that Spark writes will do and a lost task is written again.
 
 Of records with equal payloads (of at least least_bytes), that of the largest page_id is the response; the others are revisits,
-which hold headers only. Payload size and digest in revisits are those of the full payload.
+which hold headers only. Payload size and digest in revisits are those of the full payload. Which payloads occur more than once is decided on
+digests; this table is broadcast up to BROADCAST_PAYLOADS rows of some 60 bytes, and beyond that payloads meet it in a hash join.
 
 Defined results: a null html is an empty payload; a null url leaves its header out; rows with the response's page_id and payload are
 responses too (repeated rows); a null page_id ranks below all others; an empty table gives an empty table; other columns are ignored.
+A row of pages is held once by the task that reads it, as any row of a table is; what is written for it is held chunk by chunk.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, skew_join, table
 
 CHUNK = 1 << 16  # bytes of a record that are held at once
-BLOCK, FILE_BLOCKS = 4 << 20, 8
+BATCH = 4 << 20  # bytes of rows handed over at once
+BROADCAST_PAYLOADS = 200_000
+LINES = 256  # lines joined at once
 DATE = "1970-01-01T00:00:00Z"  # pages have no time of their own
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -37,23 +43,11 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, names = [], []
-        for x in batch.column("html"):
-            view = memoryview(x.as_buffer()) if x.is_valid else b""
-            sizes.append(len(view))
-            names.append(base32_sha1(hashlib.sha1(view).digest()))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "content", "page_id")], pa.array(sizes, pa.int64()), pa.array(names, pa.string())], names=["uid", "content", "page_id", "size", "digest"])
-
-
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """content (a hash of page_id and html), digest, refers_to (page_id) and refers_uid of the rows to be written as revisits."""
-    source = pages.select("uid", "content", "page_id", "html")
-    sums = materialize(source.mapInArrow(_digests, "uid long, content long, page_id long, size long, digest string"), "digests").filter(F.col("size") >= least_bytes)
+def shared_payloads(source: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """digest and size of the payloads that several rows have, with page_id (refers_to) and refers_uid of the row that is the response."""
+    sums = source.select("digest", "size", "page_id", "uid").filter(F.col("size") >= least_bytes)
     groups = sums.groupBy("digest", "size").agg(F.max(F.struct("page_id", "uid")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = skew_join(sums, groups, ["digest", "size"], "inner").filter(~F.col("page_id").eqNullSafe(F.col("top.page_id")))
-    return found.select("content", "digest", F.col("top.page_id").alias("refers_to"), F.col("top.uid").alias("refers_uid")).distinct()
+    return groups.select("digest", "size", F.lit(True).alias("shared"), F.col("top.page_id").alias("refers_to"), F.col("top.uid").alias("refers_uid"))
 
 
 def record_id(page_id: int | None, uid: int) -> str:
@@ -68,94 +62,114 @@ def _headers(fields: Iterable[tuple[str, object]], length: int) -> bytes:
     return f"WARC/1.1\r\n{lines}WARC-Date: {DATE}\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def _records(page_id: int | None, uid: int, url: str | None, payload: memoryview | bytes, digest: str, refers: str | None, chunk: int) -> Iterator[bytes | memoryview]:
-    """The bytes of one row's record or records, in pieces."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    own, size = record_id(page_id, uid), len(payload)
+def _records(page_id: int | None, uid: int, url: str | None, payload: memoryview | bytes, size: int, digest: str, refers: str | None, chunk: int) -> Iterator[list[bytes | memoryview]]:
+    """The records of one row, each as a list of pieces."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    own = record_id(page_id, uid)
     target = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
-    cut = size > chunk and refers is None
     common = [("WARC-Record-ID", own), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers is not None:
-        yield _headers([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", refers), ("WARC-Profile", REVISIT_PROFILE)], len(http))
-        yield http
-        yield b"\r\n\r\n"
+        yield [_headers([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", refers), ("WARC-Profile", REVISIT_PROFILE)], len(http)), http, b"\r\n\r\n"]
         return
     first = min(size, chunk)
-    yield _headers([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1 if cut else None)], len(http) + first)
-    yield http
-    yield payload[:first]
-    yield b"\r\n\r\n"
+    yield [_headers([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1 if size > chunk else None)], len(http) + first), http, payload[:first], b"\r\n\r\n"]
     for number, low in enumerate(range(first, size, chunk), 2):
         part = payload[low : low + chunk]
         total = len(http) + size if low + chunk >= size else None
-        yield _headers([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{number}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], len(part))
-        yield part
-        yield b"\r\n\r\n"
+        yield [_headers([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{number}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], len(part)), part, b"\r\n\r\n"]
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, chunk: int = CHUNK) -> None:
-    """Write each row of pages (page_id, url, html) as a WARC record into gzip archives under path."""
+def _member(pieces: list[bytes | memoryview]) -> bytes:
+    """The gzip member of a record without its last byte. That byte is the highest of the record's size, hence zero."""
+    zipped = zlib.compressobj(4, zlib.DEFLATED, 31)
+    out = b"".join([*map(zipped.compress, pieces), zipped.flush()])
+    return out[:-1]
+
+
+def records(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The archives' rows: member, the gzip member of a record or segment but for its last byte, which is zero."""
+    if chunk >= 1 << 23:
+        raise ValueError("a segment must be shorter than 8 MiB")
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(bytearray()))
     # uid only makes record identifiers unique; it follows from the files' splits
-    source = pages.select(F.monotonically_increasing_id().alias("uid"), F.xxhash64("page_id", "html").alias("content"), F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
-    known = revisits(source, least_bytes).withColumnRenamed("digest", "refers_digest")
-    rows = source.join(known, "content", "left").select("uid", "page_id", "url", "html", "refers_to", "refers_uid", "refers_digest")
+    source = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
+    source = source.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"))
+    shared = materialize(shared_payloads(source, least_bytes), "payloads")
+    if shared.count() <= BROADCAST_PAYLOADS:
+        rows = source.join(F.broadcast(shared), ["digest", "size"], "left")
+    else:  # a hash join, so that payloads are not sorted
+        rows = skew_join(source, shared.hint("shuffle_hash"), ["digest", "size"])
+    again = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    rows = rows.select("uid", "page_id", "url", F.when(~again, F.col("html")).alias("html"), "size", "digest", again.alias("again"), "refers_to", "refers_uid")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("uid", "page_id", "url", "html", "refers_to", "refers_uid", "refers_digest")]
-            for i in range(batch.num_rows):
-                uid, page_id, url, _, refers_to, refers_uid, refers_digest = (c[i].as_py() if n != 3 else None for n, c in enumerate(columns))
-                payload = memoryview(columns[3][i].as_buffer()) if columns[3][i].is_valid else b""
-                digest = base32_sha1(hashlib.sha1(payload).digest())
-                refers = record_id(refers_to, refers_uid) if digest == refers_digest else None
-                for piece in _records(page_id, uid, url, payload, digest, refers, chunk):
-                    out.append(piece)
-                    size += len(piece)
-                if size >= BLOCK:
-                    yield _block(out)
-                    out, size = [], 0
+            plain = [batch.column(c).to_pylist() for c in ("uid", "page_id", "url", "size", "digest", "again", "refers_to", "refers_uid")]
+            for html, uid, page_id, url, n, digest, again, refers_to, refers_uid in zip(batch.column("html"), *plain):
+                payload = memoryview(html.as_buffer()) if html.is_valid else b""
+                refers = record_id(refers_to, refers_uid) if again else None
+                for pieces in _records(page_id, uid, url, payload, n, base32_sha1(bytes.fromhex(digest)), refers, chunk):
+                    out.append(_member(pieces))
+                    size += len(out[-1])
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                        out, size = [], 0
         if out:
-            yield _block(out)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+    return rows.mapInArrow(write, "member binary")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, chunk: int = CHUNK) -> None:
+    """Write each row of pages (page_id, url, html) as a WARC record, or several, into *.warc.gz under path, which must not exist."""
+    parts = f"{path.rstrip('/')}.parts"
+    # the text writer puts its separator after each row: the member's last byte
+    records(pages, least_bytes, chunk).select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(parts)
+    _publish(pages.sparkSession, parts, path)
+
 
-    # the text writer ends each row with its separator: that is the last line end of the block's last record
-    blocks = rows.mapInArrow(write, "block binary").select(F.col("block").cast("string").alias("value"))
-    blocks.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
+def _publish(spark: SparkSession, parts: str, path: str) -> None:
+    """Rename the files that the text writer has made, which ends their names in .txt."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = Path(parts), Path(path)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target) or not store.mkdirs(target):
+        raise FileExistsError(path)
 
+    def move(file) -> None:
+        name = file.getPath().getName()
+        if name.startswith("part-") and file.getLen():
+            if not store.rename(file.getPath(), Path(target, name.removesuffix(".txt") + ".warc.gz")):
+                raise OSError(f"{name} could not be renamed")
 
-def _block(pieces: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b"".join(pieces)[:-2]], pa.binary())], names=["block"])
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, store.listStatus(source)))
+    store.delete(source, True)
 
 
-def stream(content: bytes | memoryview, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bool, bytes]]:
-    """(headers, number, is last, bytes) of the chunks of an archive's records, gzip or plain, in order."""
-    view, at = memoryview(content), 0
-    unzip = zlib.decompressobj(31) if bytes(view[:2]) == b"\x1f\x8b" else None
-    buffer = bytearray()
+def stream(parts: Iterable[bytes], chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, bool, bytes]]:
+    """(headers, number, is last, bytes) of the chunks of the records of archives, in order. parts: the archives' bytes, cut anywhere."""
+    source, buffer = iter(parts), bytearray()
 
     def more() -> bool:
-        nonlocal at, unzip
-        if at >= len(view) and not (unzip and unzip.unconsumed_tail):
+        part = next(source, None)
+        if part is None:
             return False
-        if unzip is None:
-            buffer.extend(view[at : at + chunk])
-            at += chunk
-            return True
-        data = unzip.unconsumed_tail or bytes(view[at : at + chunk])
-        at += 0 if unzip.unconsumed_tail else chunk
-        buffer.extend(unzip.decompress(data, 4 * chunk))
-        if unzip.eof:  # archives of one member per record are read as well
-            at -= len(unzip.unused_data)
-            unzip = zlib.decompressobj(31)
+        buffer.extend(part)
         return True
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
+        while True:
+            while buffer[:1] in (b"\r", b"\n"):  # what ends the record before
+                del buffer[:1]
+            if (end := buffer.find(b"\r\n\r\n")) >= 0:
+                break
             if not more():
-                if buffer.strip():
+                if buffer:
                     raise ValueError("the archive ends within a record's headers")
                 return
-        lines = bytes(buffer[:end]).decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+        lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record starts with {lines[0][:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -172,48 +186,49 @@ def stream(content: bytes | memoryview, chunk: int = CHUNK) -> Iterator[tuple[di
             number += 1
             if not left:
                 break
-        while len(buffer) < 4:
-            if not more():
-                break
-        if buffer[:4] == b"\r\n\r\n":
-            del buffer[:4]
 
 
 ROW = "record string, number long, record_type string, page_id long, refers_to long, named_digest string, payload binary, payload_bytes long, payload_digest string"
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of the lines."""
+    for batch in batches:
+        lines = batch.column("line").to_pylist()
+        for low in range(0, len(lines), LINES):
+            yield b"\n".join([*lines[low : low + LINES], b""])
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunk table of archives. A record that is one chunk has its digest at once and no payload."""
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string())
     names = [x.strip().split(" ")[0] for x in ROW.split(",")]
     page = lambda x: int(m[1]) if x and (m := _PAGE.match(x)) and m[1] else None
-    for batch in batches:
-        for content in batch.column("content"):
+    out, size, http = [], 0, b""
+    for headers, number, last, part in stream(_joined(batches)):
+        kind = headers["warc-type"]
+        if kind not in ("response", "revisit", "continuation"):
+            continue
+        record = headers.get("warc-segment-origin-id") or headers["warc-record-id"]
+        segment = int(headers.get("warc-segment-number", 1))
+        named = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        if segment == 1 and number == 0:
+            http, _, part = part.partition(b"\r\n\r\n")
+        row = [record, segment << 32 | number, kind, page(record), page(headers.get("warc-refers-to")), named]
+        if kind == "revisit":
+            if number == 0:
+                stated = re.search(rb"(?im)^content-length:[ ]*([0-9]+)", http)
+                out.append((*row, None, int(stated[1]) if stated else None, named))
+        elif segment == 1 and number == 0 and last and "warc-segment-number" not in headers:
+            out.append((*row, None, len(part), base32_sha1(hashlib.sha1(part).digest())))
+        else:
+            out.append((*row, part, None, None))
+            size += len(part)
+        if len(out) >= 4096 or size >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
             out, size = [], 0
-            for headers, number, last, part in stream(memoryview(content.as_buffer())):
-                kind = headers["warc-type"]
-                if kind not in ("response", "revisit", "continuation"):
-                    continue
-                record = headers.get("warc-segment-origin-id") or headers["warc-record-id"]
-                segment = int(headers.get("warc-segment-number", 1))
-                named = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                if segment == 1 and number == 0:
-                    http, _, part = part.partition(b"\r\n\r\n")
-                row = [record, segment << 32 | number, kind, page(record), page(headers.get("warc-refers-to")), named]
-                if kind == "revisit":
-                    if number == 0:
-                        stated = re.search(rb"(?im)^content-length:[ ]*([0-9]+)", http)
-                        out.append((*row, None, int(stated[1]) if stated else None, named))
-                elif segment == 1 and number == 0 and last and "warc-segment-number" not in headers:
-                    out.append((*row, None, len(part), base32_sha1(hashlib.sha1(part).digest())))
-                else:
-                    out.append((*row, part, None, None))
-                    size += len(part)
-                if len(out) >= 4096 or size >= BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, named_digest string"
@@ -244,8 +259,9 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_chunks(spark, path: str) -> DataFrame:
-    """The chunk table of the archives under path."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_rows, ROW)
+    """The chunk table of the archives (*.gz) under path. A file is read by one task, as a stream of lines."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.col("value").cast("binary").alias("line")).mapInArrow(_rows, ROW)
 
 
 def read_archives(spark, path: str) -> DataFrame:
