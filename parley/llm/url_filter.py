@@ -5,11 +5,12 @@ the rules that fit, the longest (host and path together, then the longer host, t
 reads the host's labels from the last to the first and, at each host that ends a rule, the path's segments: its cost
 depends on the url, not on the number of rules.
 
-The trie is broadcast while its rules take at most BROADCAST_BYTES (their text, counted on the driver that holds the list).
-Larger lists are a DataFrame of rules: urls meet them in an equi join on (host suffix, path), see filter_by_join.
+The trie is broadcast while it takes at most BROADCAST_BYTES as built, reckoned node by node as if rules shared none. Larger lists, and lists
+that come as a DataFrame, are not broadcast: urls meet them in equi joins on (host suffix, path), see filter_by_join. Both ways give the same.
 
 Defined results: a null url, or one with no "://", has host and path empty and no rule; without a rule the verdict is the
-default; an empty table gives an empty table; other columns are ignored.
+default; repeated rows each get their own row, repeated rules count once; urls and rules of any length are compared whole; an empty table
+gives an empty table, an empty list no rule; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import skew_join, table
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
+NODE_BYTES, RULE_BYTES = 320, 400  # a dict of one entry with its key; a rule's tuples and strings
 #: The five rules of the query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(CAPITALS, SMALL)
 
 
 class Trie:
@@ -72,18 +75,28 @@ def _parts(url: Column) -> tuple[Column, Column]:
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
-    ascii_lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ascii_lower = F.translate(host, CAPITALS, SMALL)
     return F.coalesce(ascii_lower, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, host, path, rule and verdict for each row of pages (page_id, url)."""
-    rules = list(rules)
+def trie_bytes(rules: Iterable[tuple[str, str, str]]) -> int:
+    """What a trie of these rules takes at most: each label and segment is a node."""
+    return sum(NODE_BYTES * (h.count(".") + p.count("/") + 2) + RULE_BYTES + 2 * (len(h) + len(p)) for _, h, p in rules)
+
+
+RULE = "verdict string, host string, path string"
+
+
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, host, path, rule and verdict for each row of pages (page_id, url). rules: (verdict, host, path) each, or a table of these."""
     spark = pages.sparkSession
     host, path = _parts(F.col("url"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    if sum(len(h) + len(p) + 64 for _, h, p in rules) > broadcast_bytes:
-        return filter_by_join(parts, spark.createDataFrame(rules, "verdict string, host string, path string"), default)
+    if isinstance(rules, DataFrame):
+        return filter_by_join(parts, rules, default)
+    rules = list(rules)
+    if trie_bytes(rules) > broadcast_bytes:
+        return filter_by_join(parts, spark.createDataFrame(rules, RULE), default)
     shared = spark.sparkContext.broadcast(Trie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +110,21 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
 
 def filter_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """The same for rule lists of any size: each distinct (host, path) meets the rules of its host suffixes in an equi join.
+    """The same for rule lists of any size: each distinct (host, path) meets the rules of its host suffixes in equi joins.
 
-    A host suffix with many rules is met by path prefix too, so no key gathers the rules of a whole domain: the join
-    key is the suffix and the path cut to each length at which some rule ends.
+    A host suffix with many rules is met by path prefix too, so no key gathers the rules of a whole domain: a first join tells at which path
+    lengths a suffix's rules end, the second has the suffix and the path cut to each of these lengths as its key.
     """
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().sort(F.length("path")).limit(4096).collect()]
-    rules = rules.select(F.lower("host").alias("suffix"), F.col("path").alias("prefix"), "verdict", F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("block"), "verdict", F.concat("host", "path").alias("rule")).alias("rank"))
+    rank = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("block"), "verdict", F.concat("host", "path").alias("rule"))
+    rules = rules.select(F.translate("host", CAPITALS, SMALL).alias("suffix"), F.col("path").alias("prefix"), rank.alias("rank"))
     rules = rules.groupBy("suffix", "prefix").agg(F.max("rank").alias("rank"))
-    labels = F.split("host", "[.]")
-    suffixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    lengths = rules.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # at most as many as the longest path is long
+    labels, most = F.split("host", "[.]"), rules.agg(F.max(F.size(F.split("suffix", "[.]")))).first()[0] or 1  # no suffix of more labels is needed
+    suffixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     keys = parts.filter((F.col("host") != "") | (F.col("path") != "")).select("host", "path").distinct()
-    met = skew_join(keys.select("host", "path", F.explode(suffixes).alias("suffix")).select("*", F.explode(prefixes).alias("prefix")), rules, ["suffix", "prefix"], "inner")
+    cuts = skew_join(keys.select("host", "path", F.explode(suffixes).alias("suffix")).distinct(), lengths, ["suffix"], "inner")
+    cuts = cuts.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    met = skew_join(cuts.select("host", "path", "suffix", F.expr("substring(path, 1, n)").alias("prefix")), rules, ["suffix", "prefix"], "inner")
     best = met.groupBy("host", "path").agg(F.max("rank").alias("rank"))
     out = skew_join(parts, best, ["host", "path"])
     return out.select("page_id", "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict"))
