@@ -13,8 +13,9 @@ task; rows are weighted by how often their grade is rated. The model is 2^BITS f
 reads every document whole.
 
 Defined results: null and empty texts have score zero; documents without a rating are scored like the others; several ratings of
-a document count as their worst; without any rating all scores are zero and thresholds are the prior's; repeated rows each get
-their own row; an empty table gives an empty table; other columns are ignored.
+a document count as their worst; without any rating all scores are zero and thresholds are the prior's; every feature of a rated document
+counts, however rare; repeated rows each get their own row; texts of any length are scored whole, by their distinct words; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 BITS, SAMPLE_PER_GRADE = 20, 2500
-STEPS, RATE, PENALTY, SMOOTHING, LEAST_DOCUMENTS = 60, 0.1, 1e-4, 20.0, 5
+STEPS, RATE, PENALTY, SMOOTHING = 60, 0.1, 1e-4, 20.0
 SCALE = 10.0
 LEAST_TAIL = 0.4  # of the probability of grade 2, for a document to be kept
 CACHE_WORDS = 400_000
@@ -55,6 +56,14 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), batch.column("weight"), *arrays], names=["doc_id", "grade", "weight", "features", "counts"])
 
 
+def slopes(grades: np.ndarray, s: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slopes of each row's log-likelihood by its score, the lower and the upper threshold."""
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    b, a = logistic(theta[0] - s), logistic(theta[1] - s)
+    gap, none = np.maximum(a - b, 1e-9), np.zeros_like(a)
+    return np.choose(grades, [b - 1, a + b - 1, a]), np.choose(grades, [1 - b, -b * (1 - b) / gap, none]), np.choose(grades, [none, a * (1 - a) / gap, -a])
+
+
 def fit(features: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
     """The weight vector and both thresholds, by Adam on the weighted likelihood. Deterministic.
 
@@ -71,23 +80,14 @@ def fit(features: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray
     # Each feature is scaled by the squared widest log ratio of its smoothed rates in two grades: what occurs in a few documents counts for little.
     rates = [np.log((np.bincount(column[grades[row] == g], minlength=len(w)) + SMOOTHING) / (max(1, (grades == g).sum()) + SMOOTHING)) for g in range(3) if (grades == g).any()]
     spread = (np.maximum.reduce(rates) - np.minimum.reduce(rates)) ** 2
-    documents = np.bincount(column, minlength=len(w))
-    used = np.flatnonzero(documents >= LEAST_DOCUMENTS)
-    seen = documents[column] >= LEAST_DOCUMENTS
-    column, row, value = column[seen], row[seen], value[seen]
+    used = np.unique(column)
     column, spread_used = np.searchsorted(used, column), spread[used]
     value = spread_used[column] * value
     v, moment, power = np.zeros((3, len(used)))
     moment_t, power_t = np.zeros((2, 2))
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, STEPS + 1):
         s = np.bincount(row, v[column] * value, len(grades))
-        b, a = logistic(theta[0] - s), logistic(theta[1] - s)
-        gap = np.maximum(a - b, 1e-9)
-        # slopes of the log-likelihood
-        by_score = np.choose(grades, [b - 1, a + b - 1, a]) * weights
-        by_low = np.choose(grades, [1 - b, -b * (1 - b) / gap, np.zeros_like(a)]) * weights
-        by_high = np.choose(grades, [np.zeros_like(a), a * (1 - a) / gap, -a]) * weights
+        by_score, by_low, by_high = (x * weights for x in slopes(grades, s, theta))
         up = np.bincount(column, by_score[row] * value, len(used)) - PENALTY * v
         up_t = np.array([by_low.sum(), by_high.sum()])
         moment, power = 0.9 * moment + 0.1 * up, 0.999 * power + 0.001 * up * up
