@@ -7,7 +7,8 @@ its recipe, the ordered list of verified identifiers, and equal recipes are equa
 identifiers are shuffled: no text leaves the task that read it.
 
 Defined results: a null text counts as empty, all empty texts are one group; of repeated rows (equal doc_id and
-text) exactly one is kept; an empty table gives an empty table; other columns are ignored.
+text) exactly one is kept; texts of any length are read whole and hashed in segments; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ comparing members is dearer than enumerating neighbours, meet in the middle inst
 bits exactly when some value is within two bits of both. That is exact and linear in the bucket.
 
 Defined results: null and empty texts (and those of white space) have no shingle and fingerprint zero, linked like any
-other; equal fingerprints are one class; an empty table gives an empty table; other columns are ignored.
+other; equal fingerprints are one class; repeated rows each get their own row; texts of any length are read whole, in blocks of shingles; an
+empty table gives an empty table; other columns are ignored. A component whose doc_ids are all null has none either.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def block_count(n: int) -> int:
-    """The fewest blocks for which chance alone puts under one of n fingerprints into a bucket."""
+    """The fewest blocks for which chance alone puts under one of n fingerprints into a bucket: 6 (15 keys each) at first, 9 (126 keys) from 3e8 on."""
     return next((b for b in range(DISTANCE + 2, 9) if n < 2 ** (64 * (b - DISTANCE) // b)), 9)
 
 
@@ -141,7 +142,8 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, content, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
     prints = materialize(fingerprints(docs), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(links(classes.select("fp"), classes.count()))
+    found = materialize(links(classes.select("fp"), classes.count()), "links")  # read several times
+    roots = connected_components(found)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = skew_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"], "inner").select("fp", "component_id")
     return skew_join(prints, named, ["fp"], "inner").select("doc_id", "content", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
