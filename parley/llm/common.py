@@ -54,11 +54,11 @@ def newest_table() -> str:
     return _WRITTEN[-1]
 
 
-def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *by: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: the result is computed once and outlives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,10 +7,12 @@ document's score is the log10 probability of its bytes and its end, hence minus
 
 The trie's leaves are (context, symbol) grams with counts; all shorter contexts follow from them, and everything that the
 probability of a gram needs ends in the same two context bytes, but for the 65,536 counts of order one. So grams are
-counted by a shuffle, dealt by those two bytes, and priced each once.
+counted by a shuffle, dealt by those two bytes, and priced each once. Two bytes that more than GROUP_GRAMS grams end in are dealt by three; the
+counts of order two of these pairs, 256 each, are sent to all. So a group has GROUP_GRAMS grams or, ending in three bytes, 65,536 at most.
 
 Documents are gathered in blocks of about BLOCK bytes. A block asks for the words and grams that occur in it and gets their counts
-and prices: neither vocabulary nor trie is ever whole in one place, and what a task holds depends on BLOCK alone.
+and prices: neither vocabulary nor trie is ever whole in one place. What a task holds depends on BLOCK and on its longest document, which is
+never cut between blocks; the rows of one word, one for each block that has it, are read by one task, which may spill them.
 
 Defined results: a null text is empty, with the end as its only token; a null doc_id counts as the text ""; repeated rows are counted
 and scored each; without training documents the base is log10(1) a token and all bytes are alike; an empty table gives an empty table; other columns are ignored.
@@ -163,15 +165,22 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def price(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of each gram. keys: distinct, with all grams that end in the same two context bytes; counts: 0 for those not
-    seen in training; pairs: the counts of order one, 256 by 256."""
+NONE = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+
+def price(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int = ORDER, triples: tuple[np.ndarray, np.ndarray] = NONE) -> np.ndarray:
+    """log10 probability of each gram. keys: distinct, with all grams that end in the same two context bytes, three where triples has
+    the two; counts: 0 for those not seen in training; pairs: the counts of order one, 256 by 256; triples: sorted grams of order two and their counts."""
     mask = lambda k: np.uint64((1 << 8 * (k + 1)) - 1)
     levels: dict[int, _Level] = {}
     seen = counts > 0
     below, n = keys[seen], counts[seen]
     for k in range(order, 1, -1):
         below, n = _merge(below & mask(k), n)
+        if k == 2 and len(triples[0]):  # what is here of these is a part
+            here, known = keys >> np.uint64(8) & mask(1), triples[0] >> np.uint64(8)
+            own, wanted = ~np.isin(below >> np.uint64(8), known), np.isin(known, here)
+            below, n = _merge(np.concatenate([below[own], triples[0][wanted]]), np.concatenate([n[own], triples[1][wanted]]))
         levels[k] = _Level(below, n)
     both = np.flatnonzero(pairs.ravel())
     levels[1] = _Level(both.astype(np.uint64), pairs.ravel()[both])
@@ -198,18 +207,26 @@ def price(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int =
 
 def model(grams: DataFrame) -> DataFrame:
     """gram and price of each gram of grams (gram, n)."""
-    counted = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counted = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams", codec="zstd")
     first = counted.groupBy(F.expr("gram & 65535").alias("pair")).agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows of two numbers
     pairs = np.zeros((256, 256), np.int64)
     for row in first:
         pairs[row["pair"] >> 8, row["pair"] & 255] = row["n"]
     groups = -(-counted.count() // GROUP_GRAMS) or 1
+    ends = F.expr("shiftright(gram, 8) & 65535")
+    large = materialize(counted.groupBy(ends.alias("ends")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_GRAMS).select("ends"), "large")  # 65,536 rows at most
+    dealt = counted.withColumn("ends", ends).join(F.broadcast(large.withColumn("is_large", F.lit(True))), "ends", "left")
+    # 256 rows of two numbers for each large pair; there are fewer of those than grams are GROUP_GRAMS
+    second = dealt.filter("is_large").groupBy(F.expr("gram & 16777215").alias("gram")).agg(F.sum("n").alias("n")).filter("n > 0").sort("gram").toArrow()
+    triples = second.column("gram").to_numpy().astype(np.uint64), second.column("n").to_numpy().astype(np.int64)
+    shared = counted.sparkSession.sparkContext.broadcast((pairs, triples))
 
     def priced(group: pa.Table) -> pa.Table:
         keys, n = group.column("gram").to_numpy().astype(np.uint64), group.column("n").to_numpy()
-        return pa.table({"gram": group.column("gram"), "price": price(keys, n, pairs)})
+        return pa.table({"gram": group.column("gram"), "price": price(keys, n, shared.value[0], triples=shared.value[1])})
 
-    return counted.withColumn("part", F.pmod(F.xxhash64(F.expr("shiftright(gram, 8) & 65535")), F.lit(groups))).groupBy("part").applyInArrow(priced, "gram long, price double")
+    key = F.when(F.col("is_large"), F.expr("shiftright(gram, 8) & 16777215") + (1 << 32)).otherwise(F.col("ends"))
+    return dealt.select("gram", "n", F.pmod(F.xxhash64(key), F.lit(groups)).alias("part")).groupBy("part").applyInArrow(priced, "gram long, price double")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
@@ -242,18 +259,20 @@ def _score_block(blocks: pa.Table, answers: pa.Table) -> pa.Table:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    stats = materialize(source.mapInArrow(_collect, STATS), "blocks", "kind")
+    stats = materialize(source.mapInArrow(_collect, STATS), "blocks", "kind", codec="zstd")
     of = lambda kind, *columns: stats.filter(F.col("kind") == kind).select(*columns)
-    # a word has a row for each block at most
+    words = of(1, "block", "word", "n")
+    # a word has a row for each block at most; a window reads them once, where counts and a join back would move them twice
     w = Window.partitionBy("word")
-    words = of(1, "block", "word", "n").select("block", "word", F.sum("n").over(w).alias("c"), (F.row_number().over(w.orderBy("block")) == 1).alias("first"))
-    words = materialize(words, "words")
+    words = words.select("block", "word", F.sum("n").over(w).alias("c"), (F.row_number().over(w.orderBy("block")) == 1).alias("first"))
+    words = materialize(words, "words", codec="zstd")
     total, distinct = words.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     grams = of(2, "block", "gram", "n")
     prices = grams.select("block", "gram").join(model(grams.select("gram", "n")), "gram")
     none = lambda kind: F.lit(None).cast(kind)
-    answers = words.select("block", "word", none("long").alias("gram"), F.col("c").cast("double").alias("value")).unionByName(prices.select("block", none("binary").alias("word"), "gram", F.col("price").alias("value")))
-    scored = of(0, "block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, SCORES)
+    own_words = words.select(F.col("block").alias("asker"), "word", none("long").alias("gram"), F.col("c").cast("double").alias("value"))
+    answers = own_words.unionByName(prices.select(F.col("block").alias("asker"), none("binary").alias("word"), "gram", F.col("price").alias("value")))
+    scored = of(0, "block", "payload").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_score_block, SCORES)
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
