@@ -1,10 +1,11 @@
 """Best-fit packing with certified bin counts.
 
-Documents become token pieces; pieces shorter than a sequence are dealt into partitions and each partition packs its own by
-best-fit decreasing. A dual-feasible-function bound then says how few bins any packing of the partition needs. A partition
-that meets the bound gives back its emptiest bin only, for what separate partitions waste is one open bin each; a
-partition with a gap gives back the emptier half of its unfilled bins. Given-back documents of a few partitions meet in one,
-where best-fit decreasing runs again, until one partition is left. What is exchanged is rows of a few numbers, never token ids.
+Documents become token pieces; pieces shorter than a sequence are dealt into partitions, PARTITIONS at least, and each partition packs its own
+by best-fit decreasing. A dual-feasible-function bound then certifies how few bins any packing of the partition needs. A partition
+that meets the bound gives back its emptiest bin only, for what separate partitions waste is one open bin each; a partition with a gap
+gives back emptier bins, up to half of the unfilled ones and a FAN_IN-th of what a task packs. Given-back documents of FAN_IN partitions meet in one, which
+is thus no larger than a first one, and best-fit decreasing runs again, until one partition is left or a round gains no bin. What is
+exchanged is rows of a few numbers, never token ids. Each piece tells the bins and the bound of the partition that packed it last.
 
 Defined results: null and empty texts are one piece of the end token; repeated rows each get their own pieces; an empty table
 gives an empty table; other columns are ignored; a text of any length is cut, never dropped.
@@ -30,6 +31,7 @@ from .common import materialize, table, worker_cache
 
 CAPACITY = 2048
 PARTITION_PIECES = 50_000  # pieces that one task packs
+PARTITIONS = 8  # at least, so that small tables are packed the same way
 FAN_IN = 8  # partitions whose given-back documents meet in the next round
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +45,7 @@ SEGMENT_CHARS = 1 << 20
 class Tokens:
     """Texts to packed little-endian 32-bit ids, as the tokenizers library gives them.
 
-    Where the file's merges are numbered in order, tiktoken applies the same merges, several times as fast; any other
+    Where the file splits by the byte-level pattern, normalises nothing and numbers its merges in order, tiktoken applies the same merges, several times as fast; any other
     file, and any text with an added token, goes to the tokenizers library itself. Very long texts are encoded in segments that end before a lone
     space: the byte-level pattern never joins what such a space parts, so the segments' ids, one after another, are the text's.
     """
@@ -56,9 +58,13 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = self._ranked(json.loads(json_text)["model"])
+        self.ranked = self._ranked(json.loads(json_text))
 
-    def _ranked(self, model: dict):
+    def _ranked(self, spec: dict):
+        model, splitter = spec["model"], spec["pre_tokenizer"] or {}
+        plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter["add_prefix_space"] and not spec["normalizer"]
+        if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return None
         ids, code = model["vocab"], {c: b for b, c in enumerate(byte_symbols())}
         merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         if merged != sorted(merged) or min(merged, default=256) < 256 or model["end_of_word_suffix"]:
@@ -150,41 +156,54 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
     return bins, places, room
 
 
-def _packer(last: bool, capacity: int) -> Callable[[pa.Table], pa.Table]:
+def _packer(last: bool, capacity: int, give: int) -> Callable[[pa.Table], pa.Table]:
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("uid", "ascending")])  # the same packing however rows arrive
         sizes = group.column("length").to_numpy()
         bins, places, room = best_fit(sizes.tolist(), capacity)
-        back: set[int] = set()
+        bound = lower_bound(sizes, capacity)
+        back: list[int] = []
         if not last:
             unfilled = sorted((b for b in range(len(room)) if room[b]), key=lambda b: -room[b])
-            back = set(unfilled[:1] if len(room) == lower_bound(sizes, capacity) else unfilled[: (len(unfilled) + 1) // 2])
-        out = group.append_column("bin", pa.array(bins, pa.int64())).append_column("offset", pa.array(places, pa.int64()))
-        return out.append_column("back", pa.array([b in back for b in bins], pa.bool_()))
+            held = np.cumsum(np.bincount(bins, minlength=len(room))[unfilled]) if unfilled else np.empty(0, int)
+            most = 1 if len(room) == bound else min((len(unfilled) + 1) // 2, int(np.searchsorted(held, give, "right")))
+            back = unfilled[: max(1, most)]
+        flags = np.zeros(len(room), bool)
+        flags[back] = True
+        own = {"bin": pa.array(bins, pa.int64()), "offset": pa.array(places, pa.int64()), "back": pa.array(flags[bins]), "bins": pa.array([len(room)] * len(bins), pa.int64()), "bound": pa.array([bound] * len(bins), pa.int64())}
+        for name, column in own.items():
+            group = group.append_column(name, column)
+        return group
 
     return pack
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. No length may exceed the capacity."""
+    """parts (doc_id, piece, start, length, ids_crc32) with sequence_id, offset, bins and bound. No length may exceed the capacity.
+
+    bins and bound: of the partition that packed the piece last, null for pieces that fill a sequence.
+    """
     parts = materialize(parts.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     fields = [c.strip().split(" ")[0] for c in PIECE.split(",")]
-    full = parts.filter(F.col("length") == capacity).select(*fields, (F.col("uid") + (1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    unknown = [F.lit(None).cast("long").alias(x) for x in ("bins", "bound")]
+    full = parts.filter(F.col("length") == capacity).select(*fields, (F.col("uid") + (1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *unknown)
     rest = parts.filter(F.col("length") < capacity)
-    groups = -(-rest.count() // partition_pieces) or 1
+    groups, give = max(PARTITIONS, -(-rest.count() // partition_pieces)), max(1, partition_pieces // FAN_IN)
     rest = rest.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    schema = f"{PIECE}, uid long, part long, bin long, offset long, back boolean"
-    done, round_ = [full], 0
+    schema = f"{PIECE}, uid long, part long, bin long, offset long, back boolean, bins long, bound long"
+    done, round_, given = [full], 0, None
     while True:
-        last = groups == 1
-        packed = rest.groupBy("part").applyInArrow(_packer(last, capacity), schema)
-        packed = packed if last else materialize(packed, "packed")
-        # parts and bins stay under 2^26 and 2^27: a part holds at most partition_pieces and what some parts give back
-        done.append(packed.filter(~F.col("back")).select(*fields, (F.lit(round_ << 54) + F.col("part") * (1 << 27) + F.col("bin")).alias("sequence_id"), "offset"))
-        if last:
+        packed = materialize(rest.groupBy("part").applyInArrow(_packer(groups == 1, capacity, give), schema), "packed")
+        # parts and bins stay under 2^27: a part holds about partition_pieces at most
+        placed = packed.select(*fields, (F.lit(round_ << 54) + F.col("part") * (1 << 27) + F.col("bin")).alias("sequence_id"), "offset", "bins", "bound", "back")
+        by_part = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.count_distinct(F.when(F.col("back"), F.col("bin"))).alias("back"))
+        bins, back = by_part.agg(F.sum("bins"), F.sum("back")).first()
+        if groups == 1 or (given is not None and bins >= given) or not back:
+            done.append(placed.drop("back"))
             break
-        groups, round_ = -(-groups // FAN_IN), round_ + 1
-        rest = packed.filter("back").drop("bin", "offset", "back").withColumn("part", F.floor(F.col("part") / FAN_IN))
+        done.append(placed.filter("NOT back").drop("back"))
+        groups, round_, given = -(-groups // FAN_IN), round_ + 1, back
+        rest = packed.filter("back").select(*fields, "uid", F.floor(F.col("part") / FAN_IN).alias("part"))
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
