@@ -1,23 +1,25 @@
 """Personal data, found in plain and in disguised form.
 
-The plain form is matched on the text as it is. For disguises, a cascade of transducers rewrites the text and keeps, for
-each character it emits, the range of source characters that it stands for: look-alike letters and digits of other
-scripts become ASCII and invisible characters vanish, runs of spelled digits become digits, and at/dot disguises become
-"@" and ".". The same detectors read the last tape, and what they find is mapped back to source characters.
+The plain form is matched on the text as it is. For disguises, a cascade of transducers rewrites the text: look-alike letters and digits of
+other scripts become ASCII one for one, invisible characters vanish, runs of spelled digits become digits, and at/dot disguises become
+"@" and ".". Each transducer keeps where it has changed the length, by which every character it emits has the range of source characters that
+it stands for. The same detectors read the last tape, and what they find is mapped back to source characters.
 Plain spans always stay; a disguised span is added unless a plain span of its kind covers it.
 
 A transducer runs wherever its own pattern matches. "name at host.label" and "name at host dot label" are addresses where the last
 label is in LAST_LABELS (all country codes, the common generic ones), so "look at example.com" is masked too; other last labels are left as prose.
 
-Every detector is linear in the text. Offsets count code points, ends are exclusive.
+Detectors and transducers take time linear in the text (look-ups among changes add a logarithm), and hold some copies of it and a few numbers
+for each change. Offsets count code points, ends are exclusive.
 
-Defined results: null and empty texts have no spans; repeated rows each get their own row; an empty table gives an empty
-table; other columns are ignored (detect) or passed through (redact).
+Defined results: null and empty texts have no spans; texts of any length are read whole; repeated rows each get their own row; an empty
+table gives an empty table; other columns are ignored (detect) or passed through (redact).
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -102,29 +104,52 @@ def find_plain(text: str) -> list[tuple[str, int, int]]:
 
 
 class Tape:
-    """A text with, for each character, the range of source characters that it stands for."""
+    """A text made from another by changes of some parts; before is the tape it was made from, None for a source.
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]):
-        self.text, self.starts, self.ends = text, starts, ends
+    outs, ends: where the changed parts lie in this text; from_, to: where they lay in the one before. Four numbers a change.
+    """
 
-    @classmethod
-    def of(cls, text: str) -> Tape:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+    def __init__(self, text: str, before: Tape | None = None):
+        self.text, self.before = text, before
+        self.outs, self.ends, self.from_, self.to = (array("q") for _ in range(4))
 
     def rewrite(self, pattern: re.Pattern, output: Callable[[re.Match], str]) -> Tape:
         """The transducer that copies, but emits output(match) for each match; all it emits stands for the whole match."""
-        parts, starts, ends, last = [], [], [], 0
+        out, parts, last, shift = Tape("", self), [], 0, 0
         for m in pattern.finditer(self.text):
-            if m.end() == m.start():
+            s, e = m.span()
+            new = output(m)
+            if new == m[0]:
                 continue
-            s, e, new = m.start(), m.end(), output(m)
             parts += [self.text[last:s], new]
-            starts += self.starts[last:s] + [self.starts[s]] * len(new)
-            ends += self.ends[last:s] + [self.ends[e - 1]] * len(new)
+            out.outs.append(s + shift)
+            out.from_.append(s)
+            shift += len(new) - (e - s)
+            out.ends.append(e + shift)
+            out.to.append(e)
             last = e
         if not last:
             return self
-        return Tape("".join([*parts, self.text[last:]]), starts + self.starts[last:], ends + self.ends[last:])
+        out.text = "".join([*parts, self.text[last:]])
+        return out
+
+    def _range(self, at: int) -> tuple[int, int]:
+        """The range of the text before that the character at this place stands for."""
+        i = bisect_right(self.outs, at) - 1
+        if i < 0:
+            return at, at + 1
+        if at < self.ends[i]:
+            return self.from_[i], self.to[i]
+        at += self.to[i] - self.ends[i]
+        return at, at + 1
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the source that the characters from start to end (exclusive) stand for."""
+        tape: Tape | None = self
+        while tape.before is not None:
+            start, end = tape._range(start)[0], tape._range(end - 1)[1]
+            tape = tape.before
+        return start, end
 
 
 def _character_map() -> dict[str, str]:
@@ -136,18 +161,21 @@ def _character_map() -> dict[str, str]:
 
 
 CHARACTERS = _character_map()
+_ONE_FOR_ONE = str.maketrans({x: y for x, y in CHARACTERS.items() if y})
 _ODD = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
+_UNSEEN = re.compile(f"[{INVISIBLE}]+")
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _UNIT = rf"(?:(?:double|triple)[\x20-]+)?(?:{_WORD}|[0-9])"
 # Only a run of at least three is rewritten, so that "one two" in prose stays as it is.
-_SPELLED = re.compile(rf"(?i)\b(?:plus[\x20]+)?{_UNIT}(?:(?:[\x20,-]+|,[\x20]+){_UNIT}){{2,}}\b")
+_SPELLED = re.compile(rf"(?i)\b(?:plus[\x20]+)?{_UNIT}(?:[\x20,-]++{_UNIT}){{2,}}\b")
 _TOKEN = re.compile(rf"(?i)double|triple|plus|{_WORD}|[0-9]")
 _DIGIT_WORD = re.compile(rf"(?i){_WORD}")
 _AT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?")
-_DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?|(?<=[0-9])[\x20]+dot[\x20]+(?=[0-9])")
+_DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?|(?<=[0-9])[\x20]++dot[\x20]++(?=[0-9])")
 _LABEL = r"[A-Za-z0-9-]++"
-_SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[\x20]+at[\x20]+|@){_LABEL}(?:(?:[\x20]+dot[\x20]+|\.){_LABEL})*(?:[\x20]+dot[\x20]+|\.)(?:{'|'.join(LAST_LABELS)})\b")
-_GAP_AT, _GAP_DOT = re.compile(r"(?i)[\x20]+at[\x20]+"), re.compile(r"(?i)[\x20]+dot[\x20]+")
+_SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[\x20]++at[\x20]++|@){_LABEL}(?:(?:[\x20]++dot[\x20]++|\.){_LABEL})*(?:[\x20]++dot[\x20]++|\.)(?:{'|'.join(LAST_LABELS)})\b")
+# only the first of a run of spaces starts a gap, so that a run is read once
+_GAP_AT, _GAP_DOT = re.compile(r"(?i)(?<!\x20)[\x20]++at[\x20]++"), re.compile(r"(?i)(?<!\x20)[\x20]++dot[\x20]++")
 
 
 def _digits(m: re.Match) -> str:
@@ -183,9 +211,9 @@ def normalise(text: str) -> Tape | None:
     said = (" at " in low or " dot " in low) and _SAID.search(text) is not None
     if not (odd or brackets or dotted or spelled or said):
         return None
-    tape = Tape.of(text)
+    tape = Tape(text.translate(_ONE_FOR_ONE) if odd else text)  # this keeps all places
     if odd:
-        tape = tape.rewrite(_ODD, lambda m: CHARACTERS[m[0]])
+        tape = tape.rewrite(_UNSEEN, lambda m: "")
     tape = tape.rewrite(_SPELLED, _digits)
     tape = tape.rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".")
     # "name at host dot com" becomes an address in two steps, each of which keeps its offsets
@@ -209,12 +237,15 @@ def find_disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[s
         return []
     found = find_plain(tape.text)
     # a spelled number needs no plus sign: nobody spells other digits out one by one
-    found += [("phone", m.start(), m.end()) for m in _BARE.finditer(tape.text) if tape.ends[m.end() - 1] - tape.starts[m.start()] >= 3 * (m.end() - m.start())]
+    for m in _BARE.finditer(tape.text):
+        low, high = tape.source(*m.span())
+        if high - low >= 3 * (m.end() - m.start()):
+            found.append(("phone", *m.span()))
     out = []
     for kind in KINDS:
         own = [(s, e) for k, s, e in plain if k == kind]
         floor = 0
-        for low, high in sorted((tape.starts[s], tape.ends[e - 1]) for k, s, e in found if k == kind):
+        for low, high in sorted(tape.source(s, e) for k, s, e in found if k == kind):
             i = bisect_right(own, low, key=lambda x: x[0]) - 1
             if low >= floor and not (i >= 0 and high <= own[i][1]):
                 out.append((kind, low, high))
