@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof_join, bpe, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
+from . import asof_join, bpe, collocations, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_collocations": collocations.op11_collocations,
         "op12_asof_join": asof_join.op12_asof_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.OP4_SQL, "op8_warc": warc.OP8_SQL, "op12_asof_join": asof_join.OP12_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.OP4_SQL, "op8_warc": warc.OP8_SQL, "op11_collocations": collocations.OP11_SQL, "op12_asof_join": asof_join.OP12_SQL}
