@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof_join, bpe, collocations, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
+from . import asof_join, bpe, collocations, exact_dedup, lm_score, packing, pii, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_collocations": collocations.op11_collocations,
         "op12_asof_join": asof_join.op12_asof_join,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
