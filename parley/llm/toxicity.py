@@ -5,8 +5,8 @@ a whole text; each keeps its greatest activation, and a logistic unit weighs tho
 whole texts costs what their windows cost. Parts that fewer than LEAST_TEXTS texts of the sample have stay zero: they cannot be learnt.
 
 The fit reads at most SAMPLE_PER_CLASS labelled documents of each class, those of the least hashed doc_id (the documented bound), one row for each
-doc_id and for each text, in one task. A fifth of them is not trained on: it sets the scale of the scores, the cut that the score 0.7 stands for, and a
-threshold for each language, drawn to the common one where a language has few toxic texts. The model's size does not depend on the corpus. Scoring reads
+doc_id and for each text, in one task. A fifth of them is not trained on: a logistic regression on its raw scores, classes weighed alike, makes them
+probabilities, and it sets a threshold for each language, drawn to the common one where a language has few toxic texts. The model's size does not depend on the corpus. Scoring reads
 every text whole, in pieces of CHUNK_WORDS words that overlap by what a filter sees. Labels, language, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts score as texts without any activation; of several labels of a document the worst counts, of texts that are equal the mean; documents
@@ -60,14 +60,14 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
     intercept: float = 0.0
     scale: float = 1.0  # from raw scores to log odds
-    cut: float = 0.0  # the raw score that becomes CUT
+    shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)  # by language
     constant: float | None = None  # the score of all texts where nothing could be learnt
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(raw), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.scale * (raw - self.cut) + math.log(CUT / (1 - CUT)), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
 
 def embed(rows: np.ndarray, parts: list[list[int]]) -> np.ndarray:
@@ -214,26 +214,26 @@ def best_cut(raw: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def calibrate(model: Model, raw: np.ndarray, toxic: np.ndarray, langs: list[str]) -> Model:
-    """model with scale, cut and the languages' thresholds from texts that it was not trained on."""
+    """model with scale, shift and the languages' thresholds from texts that it was not trained on."""
     if not 0 < toxic.sum() < len(toxic):
         return model
-    model.cut = best_cut(raw, toxic)
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum()))
     a, b = 1.0, 0.0
-    for _ in range(50):  # the slope of a logistic regression on the raw score, with a little ridge, by Newton's method
+    for _ in range(200):  # with a little ridge, by Newton's method in short steps
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
         w = weight * p * (1 - p)
         up = np.array([(weight * (p - toxic) * raw).sum() + 0.02 * a, (weight * (p - toxic)).sum()])
         h = np.array([[(w * raw * raw).sum() + 0.02, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, up)
         a, b = a - min(1.0, max(-1.0, float(step[0]))), b - float(step[1])
-    model.scale = max(0.05, a)
+    model.scale, model.shift = max(0.05, a), b
+    common = (math.log(CUT / (1 - CUT)) - model.shift) / model.scale
     names = np.array(langs)
     for lang in sorted(set(langs)):
         own = names == lang
         n = int(toxic[own].sum())
         if 0 < n < own.sum():
-            cut = (n * best_cut(raw[own], toxic[own]) + SHRINK * model.cut) / (n + SHRINK)
+            cut = (n * best_cut(raw[own], toxic[own]) + SHRINK * common) / (n + SHRINK)
             model.thresholds[lang] = float(model.score(np.array([cut]))[0])
     return model
 
@@ -252,7 +252,7 @@ def train_model(ids: list[int], texts: list[str], toxic: np.ndarray, langs: list
 
 def _to_bytes(m: Model) -> bytes:
     out = io.BytesIO()
-    rest = {"intercept": m.intercept, "scale": m.scale, "cut": m.cut, "thresholds": m.thresholds, "constant": m.constant, "learnt": bool(m.filters)}
+    rest = {"intercept": m.intercept, "scale": m.scale, "shift": m.shift, "thresholds": m.thresholds, "constant": m.constant, "learnt": bool(m.filters)}
     np.savez(out, table=m.table, weights=m.weights, rest=np.frombuffer(json.dumps(rest).encode(), np.uint8), **{f"f{i}": x for i, x in enumerate(m.filters)}, **{f"b{i}": x for i, x in enumerate(m.bias)})
     return out.getvalue()
 

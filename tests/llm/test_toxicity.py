@@ -85,7 +85,7 @@ def test_calibration():
     assert X.best_cut(raw, toxic) == 1.5
     model = X.calibrate(X.Model(), raw, toxic, ["a"] * 6 + ["b"] * 2)
     scores = model.score(raw)
-    assert ((scores >= X.CUT) == (toxic == 1)).all() and model.cut == 1.5 and set(model.thresholds) == {"a", "b"}
+    assert ((scores >= X.CUT) == (toxic == 1)).all() and set(model.thresholds) == {"a", "b"}
     assert X.best_cut(np.array([1.0, 1, 1]), np.array([1, 0, 1])) < 1  # ties stay together
 
 
@@ -99,7 +99,7 @@ def test_one_model_in_spark_as_in_numpy_and_saved(spark):
     docs, labels = frames(spark, texts, toxic)
     model = X.train(docs, labels)
     own = X.train_model(list(range(len(texts))), texts, toxic, ["en"] * len(texts))
-    assert np.array_equal(model.table, own.table) and model.cut == own.cut and model.thresholds == own.thresholds
+    assert np.array_equal(model.table, own.table) and model.shift == own.shift and model.thresholds == own.thresholds
     got = {r["doc_id"]: r for r in X.classify(docs, model).collect()}
     assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(own.score(X.Scorer(own).raw(texts)).tolist(), abs=1e-5)
     assert all(r["predicted"] == (r["score"] >= 0.7) and r["flagged"] == (r["score"] >= r["threshold"]) for r in got.values())
