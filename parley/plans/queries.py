@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotate, batching, checks, context, links, metrics, parse, predict, reports, splits
+from ..operators import annotate, batching, checks, context, links, metrics, parse, predict, reports, splits, training
 from ..schemas import LABELS
+from ..sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -663,3 +664,77 @@ def predictions(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: context windows of every turn, speakers as letters."""
     return context_render_letters(spark, sf_dir)
+
+
+# Training
+
+LANGS = ("de", "en", "es", "fr")
+TERMS = 2000  # of the model's vocabulary
+
+
+def _texts(spark, sf_dir):
+    """Documents of a known language, one fifth of them, by a hash, for validation."""
+    y = F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")) - 1
+    df = read(spark, sf_dir, "documents").filter(F.col("lang").isin(*LANGS))
+    return df.select("doc_id", "text", F.col("lang").alias("label"), y.cast("int").alias("y"), F.length("text").alias("chars"), (F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 4), 16, 10).cast("int") % 5 == 0).alias("aside"))
+
+
+_TERMS_SQL = f"""WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')),
+c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY df DESC, term LIMIT {TERMS}),
+v AS (SELECT term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + df)) + 1 AS idf FROM f), x AS (SELECT doc_id, term, df, tf * idf AS w FROM c JOIN v USING (term)),
+t AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x)"""
+
+
+@query(_TERMS_SQL + " SELECT term, df, round(sum(weight), 6) AS total, round(max(weight), 6) AS highest FROM t GROUP BY ALL")
+def tf_idf(spark, sf_dir):
+    rows = _texts(spark, sf_dir)
+    counts = written(training.term_counts(rows, "doc_id"), "terms")
+    terms = training.vocabulary(counts, rows.count(), TERMS)
+    weights = training.tf_idf(counts, terms, "doc_id").groupBy("term").agg(F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("highest"))
+    return weights.join(F.broadcast(terms.select("term", "df")), "term").select("term", "df", "total", "highest")
+
+
+def _featured(spark, sf_dir):
+    """(rows with columns and weights, the vocabulary)."""
+    rows = _texts(spark, sf_dir)
+    counts = written(training.term_counts(rows, "doc_id"), "terms")
+    terms = written(training.vocabulary(counts, rows.count(), TERMS), "vocabulary")
+    return written(training.features(rows.drop("text"), counts, terms, "doc_id"), "features"), terms
+
+
+def _as_rows(spark, model, terms, name):
+    """A model-sized array as rows: term (null for the intercept), label and the number."""
+    flat = [(i, label, float(x)) for i, row in enumerate(model) for label, x in zip(LANGS, row)]
+    numbers = spark.createDataFrame(flat, f"column int, label string, {name} double")  # (TERMS + 1) * 4 rows at most
+    return numbers.join(F.broadcast(terms.select("column", "term")), "column", "left")
+
+
+@query(_TERMS_SQL + """, l AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS label), n AS (SELECT count(*) AS n FROM d),
+g AS (SELECT term, label, sum(weight * (0.25 - (label = lang)::INT)) / any_value(n) AS gradient FROM t JOIN d USING (doc_id), l, n GROUP BY ALL UNION ALL SELECT NULL, label, sum(0.25 - (label = lang)::INT) / any_value(n) FROM d, l, n GROUP BY label)
+SELECT term, label, round(gradient, 9) + 0 AS gradient FROM g""")
+def class_gradient(spark, sf_dir):
+    import numpy as np
+
+    rows, terms = _featured(spark, sf_dir)
+    n, size = rows.count(), terms.count()
+    up, _ = training.gradient(rows.withColumn("share", F.lit(1.0 / max(1, n))), np.zeros((size + 1, len(LANGS))))
+    model = _as_rows(spark, up, terms, "gradient")
+    return model.select("term", "label", (F.round("gradient", 9) + 0).alias("gradient"))
+
+
+TRAINING = training.Plan(epochs=3, accumulate=2, rate=0.05, warmup=0.2)
+BATCHES = 16  # an epoch's; what a batch holds grows with the table
+
+
+def _trained(spark, sf_dir):
+    rows, terms = _featured(spark, sf_dir)
+    own = rows.filter("NOT aside")
+    plan = training.replace(TRAINING, batch_size=max(1, -(-own.count() // BATCHES)))
+    steps = training.step_table(own, plan, "doc_id").repartition("step", F.col("batch") % 8)
+    return training.train(written(steps, "steps", "step"), rows.filter("aside"), terms.count(), LANGS, plan, "doc_id"), terms
+
+
+@query()
+def trained_model(spark, sf_dir):
+    found, terms = _trained(spark, sf_dir)
+    return _as_rows(spark, found["best_model"], terms, "weight").select("term", "label", "weight")
