@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import annotate, batching, checks, context, links, metrics, parse, predict, reports, splits, training
 from ..schemas import LABELS
-from ..sources.shared import written
+from ..sources import jsonl
+from ..sources.shared import fresh_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -738,3 +739,20 @@ def _trained(spark, sf_dir):
 def trained_model(spark, sf_dir):
     found, terms = _trained(spark, sf_dir)
     return _as_rows(spark, found["best_model"], terms, "weight").select("term", "label", "weight")
+
+
+# Lines of files
+
+_LINE = """CASE WHEN event_id % 97 = 0 THEN '{"id": ' || event_id WHEN event_id % 101 = 0 THEN '  ' WHEN event_id % 103 = 0 THEN '{"id": ' || event_id || ', "id": 1}'
+ WHEN event_id % 107 = 0 THEN '{"id": NaN}' WHEN event_id % 109 = 0 THEN '[' || event_id || ']' ELSE '{"id": ' || event_id || '}' END"""
+
+
+@query(f"""WITH l AS (SELECT event_id // 5000 AS part, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line, {_LINE} AS value FROM events)
+SELECT part, line, value, trim(value) <> '' AND left(value, 1) <> '[' AS lenient FROM l WHERE NOT regexp_full_match(value, '\\{{"id": [0-9]+\\}}')""")
+def bad_lines(spark, sf_dir):
+    folder = fresh_folder(spark, "lines")
+    rows = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5000).alias("part"), "event_id", F.expr(_LINE).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(folder)
+    lines = jsonl.read_lines(spark, folder)
+    found = jsonl.line_numbers(lines.filter(jsonl.is_bad(strict=True)), lines)
+    return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line", "value", jsonl.is_bad().alias("lenient"))

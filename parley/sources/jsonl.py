@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..schemas import PARSED
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, value and v (a variant, null where the line is no JSON, or has a duplicate key or a NaN)."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("v"))
+    """file, split, at, value and v of each line: v is a variant, null where the line is no JSON, or has a repeated key or a NaN.
 
+    split is where the line's piece of the file begins and at grows along the piece; line_numbers makes numbers of them.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    return spark.read.text(path).select(*place, "value", F.try_parse_json("value").alias("v"))
 
-def bad_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Lines that are no JSON; blank ones count only if strict, as do values that are no object."""
+
+def line_numbers(some: DataFrame, lines: DataFrame) -> DataFrame:
+    """some of lines, with line: their number in their file from 1, blank lines counted, however the file was split for reading.
+
+    Lines are counted a split, and the counts of a file's earlier splits added: a row a split moves, no line does.
+    """
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_low"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return some.join(splits, ["file", "split"]).withColumn("line", F.col("_before") + F.col("at") - F.col("_low") + 1).drop("_before", "_low")
+
+
+def is_bad(strict: bool = False) -> Column:
+    """Whether a line of read_lines is no JSON; if strict, blank lines and values that are no object are bad too."""
     blank = F.trim("value") == ""
-    bad = lines.filter(F.col("v").isNull() & (~blank | F.lit(strict)))
     if strict:
-        bad = bad.unionByName(lines.filter(F.col("v").isNotNull() & ~F.schema_of_variant("v").startswith("OBJECT")))
-    return bad.select("file", "value")
+        return F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return F.col("v").isNull() & ~blank
+
+
+def bad_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """file, line and value of each bad line."""
+    return line_numbers(lines.filter(is_bad(strict)), lines).select("file", "line", "value")
+
+
+def what_is_wrong(value: str) -> str:
+    """Why one line is refused, in words."""
+
+    def once(pairs: list) -> dict:
+        names = [k for k, _ in pairs]
+        twice = next((k for k in names if names.count(k) > 1), None)
+        if twice is not None:
+            raise ValueError(f"the key {twice!r} occurs twice")
+        return dict(pairs)
+
+    def number(name: str) -> None:
+        raise ValueError(f"{name} is no JSON number")
+
+    try:
+        found = json.loads(value, object_pairs_hook=once, parse_constant=number)
+    except json.JSONDecodeError as e:
+        return f"no JSON, {e.msg} at column {e.colno}" if value.strip() else "a blank line"
+    except ValueError as e:
+        return str(e)
+    return "" if isinstance(found, dict) else "no object"
+
+
+def raise_bad(lines: DataFrame, bad: Column) -> None:
+    """Raises, with file and line, for the first line where bad holds. Triggers a job; numbers are computed only if there is one."""
+    if not lines.filter(bad).limit(1).count():
+        return
+    first = line_numbers(lines.filter(bad), lines).orderBy("file", "line").first()
+    raise ValueError(f"{first['file']}:{first['line']}: {what_is_wrong(first['value']) or 'not as expected'}: {first['value'][:80]!r}")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Typed rows; raises for the first bad line. Triggers a job for the check."""
+    """Typed rows; raises for the first bad line, by file and number. Triggers a job for the check."""
     lines = read_lines(spark, path)
-    found = bad_lines(lines, strict).orderBy("file", "value").limit(1).collect()
-    if found:
-        raise ValueError(f"{found[0]['file']}: not a valid JSON line: {found[0]['value'][:80]!r}")
+    raise_bad(lines, is_bad(strict))
     return lines.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -36,8 +87,26 @@ def read_parsed_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARSED).json(path)
 
 
+def _numbers(kind: DataType, column: Column) -> Column | None:
+    """Whether a value of this type holds a number that JSON does not have, null where it cannot."""
+    if isinstance(kind, DoubleType | FloatType):
+        return F.isnan(column) | (F.abs(column) == float("inf"))
+    if isinstance(kind, ArrayType) and _numbers(kind.elementType, column) is not None:
+        return F.exists(column, lambda x: F.coalesce(_numbers(kind.elementType, x), F.lit(False)))
+    if isinstance(kind, MapType) and _numbers(kind.valueType, column) is not None:
+        return F.exists(F.map_values(column), lambda x: F.coalesce(_numbers(kind.valueType, x), F.lit(False)))
+    if isinstance(kind, StructType):
+        parts = [F.coalesce(x, F.lit(False)) for f in kind.fields if (x := _numbers(f.dataType, column[f.name])) is not None]
+        return reduce(Column.__or__, parts) if parts else None
+    return None
+
+
 def to_lines(df: DataFrame) -> DataFrame:
-    """value: each row as compact JSON, nulls written, fields in column order."""
+    """value: each row as compact JSON, nulls written, fields in column order. NaN and infinite numbers, however deep, are an error at run time."""
+    found = [F.when(x, F.lit(f.name)) for f in df.schema.fields if (x := _numbers(f.dataType, F.col(f"`{f.name}`"))) is not None]
+    if found:
+        wrong = F.raise_error(F.concat(F.lit("no JSON number in "), F.coalesce(*found))).cast("string")
+        return df.select(F.when(F.coalesce(*found).isNotNull(), wrong).otherwise(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("value"))
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 

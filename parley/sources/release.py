@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batching, checks, metrics
 from ..schemas import LABELS, LINK, RELEASED, SPLITS, STATUSES
-from .jsonl import read_jsonl, read_lines, to_lines
+from .jsonl import raise_bad, read_jsonl, read_lines, to_lines, what_is_wrong
 
 CONTENT = ("links.jsonl", "metadata.json", "rows.jsonl", "splits.json")
 VERSION = r"v[1-9][0-9]*"
@@ -92,6 +92,14 @@ def make_release(rows: DataFrame, links: DataFrame, splits: DataFrame, k: int, t
     return file_sha256(out / "checksums.sha256")
 
 
+def read_object(path: Path) -> dict:
+    """The object of a small JSON file; a repeated key, NaN or another kind of value is an error."""
+    text = path.read_text(encoding="utf-8")
+    if wrong := what_is_wrong(text):
+        raise ValueError(f"{path.name}: {wrong}")
+    return json.loads(text)
+
+
 def verify_checksums(folder: str) -> None:
     root, seen = Path(folder), []
     for line in (root / "checksums.sha256").read_text(encoding="utf-8").splitlines():
@@ -111,7 +119,7 @@ def load_release(spark: SparkSession, folder: str) -> dict:
     if names != sorted((*CONTENT, "checksums.sha256")):
         raise ValueError(f"a release has exactly five files, not {names}")
     verify_checksums(folder)
-    splits_file, metadata = (json.loads((Path(folder) / n).read_text(encoding="utf-8")) for n in ("splits.json", "metadata.json"))
+    splits_file, metadata = (read_object(Path(folder) / n) for n in ("splits.json", "metadata.json"))
     if not re.fullmatch(VERSION, str(metadata.get("data_version"))):
         raise ValueError("metadata.data_version must be a version such as v1")
     checks.check_split_file(splits_file)
@@ -232,10 +240,7 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     """seg_id, label and scores (a map or null): exact keys, valid, unique, scores for all or none. May be empty."""
     lines = read_lines(spark, path)
     keys = F.array_sort(F.map_keys(F.from_json("value", "map<string,string>")))
-    wrong = lines.filter((F.trim("value") != "") & (F.col("v").isNull() | ~F.coalesce(keys == F.array(F.lit("label"), F.lit("scores"), F.lit("seg_id")), F.lit(False))))
-    first = wrong.orderBy("value").limit(1).collect()
-    if first:
-        raise ValueError(f"not a prediction: {first[0]['value'][:80]!r}")
+    raise_bad(lines, (F.trim("value") != "") & (F.col("v").isNull() | ~F.coalesce(keys == F.array(F.lit("label"), F.lit("scores"), F.lit("seg_id")), F.lit(False))))
     rows = lines.filter(F.trim("value") != "").select(F.from_json("value", "seg_id string, label string, scores map<string,double>").alias("r")).select("r.*")
     mixed = rows.agg(F.count_if(F.col("scores").isNull()).alias("a"), F.count("scores").alias("b")).first()
     if mixed["a"] and mixed["b"]:
