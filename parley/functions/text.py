@@ -141,12 +141,13 @@ def render_context(left: Column, target: Column, right: Column, sep: str = " [SE
 def acceptable_responses(chains: Column, responders: str = "all", segments: str = "first", status: Column | None = None) -> Column:
     """Segments that count as an answer: of all chains or the first, their first segments or any.
 
-    With a status, a link that is neither ok nor no_pair, or whose status and chains disagree, is an error at run time.
+    With a status, a link that is neither ok nor no_pair, whose status and chains disagree, or whose chains hold a null or an empty id, is an error at run time.
     """
     if responders not in ("all", "first") or segments not in ("first", "any"):
         raise ValueError("responders is all or first, segments is first or any")
     if status is not None:
-        odd = F.when(~status.isin("ok", "no_pair"), F.concat(F.lit("no gold in a link that is "), status)).when((status == "ok") != (F.size(chains) > 0), F.concat(F.lit("chains do not fit the status "), status))
+        hole = F.exists(chains, lambda c: c.isNull() | F.exists(c, lambda s: s.isNull() | (s == "")))
+        odd = F.when(~F.coalesce(status.isin("ok", "no_pair"), F.lit(False)), F.concat(F.lit("no gold in a link that is "), F.coalesce(status, F.lit("null")))).when(chains.isNull() | F.coalesce(hole, F.lit(True)), "a chain holds no id").when((status == "ok") != (F.size(chains) > 0), F.concat(F.lit("chains do not fit the status "), status))
         chains = F.when(odd.isNull(), chains).otherwise(F.raise_error(odd).cast("array<array<string>>"))
     used = chains if responders == "all" else F.slice(chains, 1, 1)
     return F.array_distinct(F.transform(used, lambda c: F.get(c, F.lit(0))) if segments == "first" else F.flatten(used))

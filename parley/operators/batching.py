@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -76,6 +76,17 @@ def collate(batched: DataFrame, tokenize: Callable[[list[str]], list[list[int]]]
     return df.withColumn(label, F.coalesce(label, F.lit(-100))) if label in columns else df
 
 
+def loader(rows: DataFrame, tokenize: Callable[[list[str]], list[list[int]]], left: int, right: int, batch_size: int, train: bool, *, keep: Sequence[str] | None = None, test: bool = False, chunk_batches: int = 50, seed: int = 0, sep: str = " [SEP] ", opening: str = "", closing: str = "", suffix: str = "", max_tokens: int = 512, pad_id: int = 0) -> DataFrame:
+    """From rows to padded batches in one plan: windows, labels, length, batches, rendered texts, tokens. For training shuffled, else longest first."""
+    from ..functions.text import render_context
+    from .context import segment_items
+
+    items = with_length(segment_items(rows, left, right, keep, test))
+    cut = train_batches(items, batch_size, chunk_batches, "seg_id", seed) if train else eval_batches(items, batch_size, "seg_id")
+    shown = cut.withColumn("rendered", render_context(F.col("left"), F.col("target_text"), F.col("right"), sep, opening, closing, suffix))
+    return collate(shown.select("batch", "place", "seg_id", "rendered", "label_index"), tokenize, "rendered", max_tokens, pad_id)
+
+
 def truncation_counts(collated: DataFrame) -> DataFrame:
     return collated.agg(F.count(F.lit(1)).alias("windows"), F.count_if("truncated").alias("truncated"))
 

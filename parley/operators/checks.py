@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +41,12 @@ def duplicate_ids(df: DataFrame, key: str, rule: str | None = None) -> DataFrame
 def gaps(rows: DataFrame, by: str = "meeting", position: str = "position") -> DataFrame:
     """Groups whose positions are not 0 to n - 1."""
     s = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("low"), F.max(position).alias("high"), F.count_distinct(position).alias("d"))
-    return s.filter("low <> 0 OR high <> n - 1 OR d <> n").select(F.lit("positions are not contiguous from zero").alias("rule"), F.col(by).cast("string").alias("id"))
+    return s.filter("low <> 0 OR high <> n - 1 OR d <> n").select(F.lit("positions begin above 0 or leave a gap").alias("rule"), F.col(by).cast("string").alias("id"))
 
 
 def overlaps(rows: DataFrame, by: Sequence[str] = ("source_da_id",), order: str = "part_index", start: str = "start", end: str = "end") -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn("_next", F.lead(start).over(w)).filter(F.col(end) > F.col("_next")).select(F.lit("split-part timings overlap").alias("rule"), F.col(by[-1]).cast("string").alias("id")).distinct()
+    return rows.withColumn("_next", F.lead(start).over(w)).filter(F.col(end) > F.col("_next")).select(F.lit("parts of an act share time").alias("rule"), F.col(by[-1]).cast("string").alias("id")).distinct()
 
 
 def in_several(rows: DataFrame, by: str = "meeting", value: str = "split") -> DataFrame:
@@ -55,7 +56,7 @@ def in_several(rows: DataFrame, by: str = "meeting", value: str = "split") -> Da
 
 def check_parsed(rows: DataFrame) -> DataFrame:
     times = (F.col("src_start") <= F.col("start")) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("src_end"))
-    named = {"timings leave the source span": times | F.array_contains("quality_flags", "time_invalid"), "part_index is outside n_parts": (F.col("part_index") >= 0) & (F.col("part_index") < F.col("n_parts"))}
+    named = {"a part's times must lie within its act's": times | F.array_contains("quality_flags", "time_invalid"), "part_index must be under n_parts": (F.col("part_index") >= 0) & (F.col("part_index") < F.col("n_parts"))}
     return violations(rows, "seg_id", named).unionByName(duplicate_ids(rows, "seg_id")).unionByName(gaps(rows)).unionByName(overlaps(rows, ("meeting", "source_da_id")))
 
 
@@ -65,13 +66,13 @@ def annotation_rules() -> dict[str, Column]:
     flags = [F.col(c) for c in DROP_FLAGS]
     return {
         "a label is outside the label set": F.col("label").isin(*LABELS) & F.col("label_bk_merged").isin(*LABELS),
-        "target_tags are not distinct and in label order": targets == F.filter(_in(TARGETS), lambda x: F.array_contains(targets, x)),
+        "target_tags must be distinct and sorted as labels are": targets == F.filter(_in(TARGETS), lambda x: F.array_contains(targets, x)),
         "label does not follow target_tags": F.when(F.size(targets) > 0, F.array_contains(targets, F.col("label"))).otherwise(F.col("label") == LABELS[-1]),
-        "is_multi_target disagrees with target_tags": F.col("is_multi_target") == (F.size(targets) >= 2),
-        "is_layer2_proposal disagrees with target_tags": F.col("is_layer2_proposal") == F.arrays_overlap(targets, _in(PROPOSALS)),
-        "unexpected disruption marker": F.forall("disruption_markers", lambda x: x.isin(*MARKERS)),
+        "is_multi_target must tell two or more targets": F.col("is_multi_target") == (F.size(targets) >= 2),
+        "is_layer2_proposal must tell a proposing target": F.col("is_layer2_proposal") == F.arrays_overlap(targets, _in(PROPOSALS)),
+        "a marker that the format does not know": F.forall("disruption_markers", lambda x: x.isin(*MARKERS)),
         "general_tags holds a target tag or marker": ~F.exists("general_tags", lambda x: x.isin(*RAW_TAGS, *MARKERS)),
-        "row is both non-speech and non-labelled": ~(flags[0] & flags[1]),
+        "the marks of x and z exclude each other": ~(flags[0] & flags[1]),
         "is_empty is set on a row with text": ~flags[2] | (F.col("text") == ""),
         "an error-flagged row carries a drop flag": ~(error & (flags[0] | flags[1] | flags[2])),
     }
@@ -95,7 +96,7 @@ def check_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     members = F.flatten(chains)
     named = {
         "unknown status": F.col("status").isin(*STATUSES),
-        "has_response disagrees with responder_chains": F.col("has_response") == (F.size(chains) > 0),
+        "has_response must tell whether there are chains": F.col("has_response") == (F.size(chains) > 0),
         "a responder chain is empty": F.forall(chains, lambda c: F.size(c) > 0),
         "a seg_id appears twice in the chains": F.size(members) == F.size(F.array_distinct(members)),
         "a no_pair record has a response": (F.col("status") != "no_pair") | ~F.col("has_response"),
@@ -121,11 +122,62 @@ def check_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     return out.unionByName(violations(first, "proposal_id", {"chains are not ordered by first position": F.col("_head").isNull() | F.col("position").isNull() | (F.col("_head") <= F.col("position"))})).distinct()
 
 
-def check_cleaned(annotated: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """cleaned must be annotated without the dropped rows, and nothing else."""
-    from .annotate import clean_rows
-
-    return changed_fields(clean_rows(annotated), cleaned, [c for c in cleaned.columns if c != "seg_id"])
+def row_differences(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """The rows that one side has more often than the other, and n: how often a has it more (under 0: b). Nulls are values, repeats count.
+
+    Each side is summed where it is read, so that one shuffle of distinct rows decides.
+    """
+    names = list(columns or a.columns)
+    both = a.select(*names, F.lit(1).alias("n")).unionByName(b.select(*names, F.lit(-1).alias("n")))
+    return both.groupBy(*names).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def check_pruned(wanted: DataFrame, got: DataFrame) -> DataFrame:
+    """Where links differ from those wanted, as wholes: fields, the order of chains and of their members, missing, added and repeated links."""
+    fields = ("responder_chains", "has_response", "status", "adjacency_tokens", "pair_group")
+    odd = row_differences(wanted, got, "proposal_id", *fields)
+    side = lambda sign, name: F.max(F.when(F.col("n") * sign > 0, F.struct(*fields))).alias(name)
+    both = odd.groupBy("proposal_id").agg(side(1, "w"), side(-1, "g"))
+    same = lambda *names: reduce(Column.__and__, [F.col(f"w.{c}").eqNullSafe(F.col(f"g.{c}")) for c in names])
+    one_side = F.col("w").isNull() | F.col("g").isNull()
+    return violations(both, "proposal_id", {
+        "a link is gone": F.col("g").isNotNull(),
+        "a link was added": F.col("w").isNotNull(),
+        "tokens or pair_group of a link were changed": one_side | same("adjacency_tokens", "pair_group"),
+        "a link's chains are not the former ones without dropped rows": one_side | same("responder_chains"),
+        "a link's status does not follow from its pruning": one_side | same("status", "has_response"),
+    })
+
+
+def check_cleaned(annotated: DataFrame, cleaned: DataFrame, links: DataFrame | None = None, cleaned_links: DataFrame | None = None) -> DataFrame:
+    """cleaned must be annotated without the dropped rows, and cleaned_links must be links without them, and nothing else."""
+    from .annotate import clean_rows, is_dropped, prune_chains
+
+    out = changed_fields(clean_rows(annotated), cleaned, [c for c in cleaned.columns if c != "seg_id"])
+    if links is None or cleaned_links is None:
+        return out
+    dropped = annotated.filter(is_dropped()).select("seg_id")
+    return out.unionByName(check_pruned(prune_chains(links, dropped), cleaned_links))
+
+
+def check_field_order(df: DataFrame, schema: str) -> None:
+    """Raises unless df has the fields of a schema, in their order."""
+    wanted = df.sparkSession.createDataFrame([], schema).columns
+    if df.columns != wanted:
+        first = next((w for w, g in zip(wanted, [*df.columns, *[None] * len(wanted)]) if w != g), None)
+        raise ValueError(f"fields differ from the schema's, first at {first or df.columns[len(wanted)]}")
+
+
+def check_arrival(rows: DataFrame, order: Sequence[str], at: str) -> DataFrame:
+    """Rows that come, by at, before one that they should follow in a total order. Ranges of at are compared by their ends, so no task sees all rows."""
+    key = F.struct(*order)
+    part = rows.select(F.col(at).alias("_at"), key.alias("_k")).repartitionByRange("_at").withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p").orderBy("_at")
+    tail = part.groupBy("_p").agg(F.max_by("_k", "_at").alias("_end"))
+    earlier = tail.withColumn("_end", F.lag("_end").over(Window.orderBy("_p"))).filter("_end IS NOT NULL")  # a row for each partition
+    seen = part.withColumn("_before", F.lag("_k").over(inside)).join(F.broadcast(earlier), "_p", "left")
+    wrong = F.coalesce("_before", "_end") >= F.col("_k")
+    return seen.filter(wrong).select(F.lit("rows arrive out of order").alias("rule"), F.col("_at").cast("string").alias("id"))
 
 
 def check_release_rows(rows: DataFrame, splits: DataFrame, k: int) -> DataFrame:
@@ -137,22 +189,22 @@ def check_release_rows(rows: DataFrame, splits: DataFrame, k: int) -> DataFrame:
     named |= {
         **{f"{c} is missing": F.col(c).isNotNull() for c in ("speaker_id", "text", "words", "general_tags", "disruption_markers", "quality_flags", "target_tags") if c in rows.columns},
         **{f"{c} is not finite": F.abs(F.col(c)) < float("inf") for c in ("src_start", "src_end", "start", "end")},  # NaN is greater than any number
-        "element_ordinal is invalid": F.col("element_ordinal") >= 0,
+        "element_ordinal must be 0 or more": F.col("element_ordinal") >= 0,
         "a word lacks its text or kind": F.forall("words", lambda w: w["text"].isNotNull() & w["kind"].isNotNull()),
         "a tag or flag is null": ~(F.exists("general_tags", lambda x: x.isNull()) | F.exists("disruption_markers", lambda x: x.isNull()) | F.exists(flags, lambda x: x.isNull())),
         "a target tag is no target": F.forall(targets, lambda x: F.coalesce(x.isin(*TARGETS), F.lit(False))),
         "seg_id is empty": F.coalesce(F.col("seg_id"), F.lit("")) != "",
-        "position is invalid": F.col("position") >= 0,
-        "source and act timings are inconsistent": (F.col("src_start") <= F.col("start")) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("src_end")),
-        "part_index and n_parts are inconsistent": (F.col("part_index") >= 0) & (F.col("part_index") < F.col("n_parts")),
+        "position must be 0 or more": F.col("position") >= 0,
+        "times must rise from src_start over start and end to src_end": (F.col("src_start") <= F.col("start")) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("src_end")),
+        "part_index must be under n_parts": (F.col("part_index") >= 0) & (F.col("part_index") < F.col("n_parts")),
         "a label is outside the label set": F.col("label").isin(*LABELS) & F.col("label_bk_merged").isin(*LABELS),
-        "target_tags are not distinct and in label order": targets == F.filter(_in(TARGETS), lambda x: F.array_contains(targets, x)),
-        "is_layer2_proposal disagrees with target_tags": F.col("is_layer2_proposal") == F.arrays_overlap(targets, _in(PROPOSALS)),
-        "is_multi_target disagrees with target_tags": F.col("is_multi_target") == (F.size(targets) >= 2),
-        "null raw_type without a fallback flag": F.col("raw_type").isNotNull() | F.array_contains(flags, "type_fallback_original"),
-        "error-class quality flags": ~F.arrays_overlap(flags, _in(ERROR_FLAGS)),
-        "split is invalid": F.col("split").isin(*SPLITS),
-        "fold is invalid": F.when(F.col("split") == "test", fold.isNull()).otherwise(fold.isNotNull() & (fold >= 0) & (fold < k)),
+        "target_tags must be distinct and sorted as labels are": targets == F.filter(_in(TARGETS), lambda x: F.array_contains(targets, x)),
+        "is_layer2_proposal must tell a proposing target": F.col("is_layer2_proposal") == F.arrays_overlap(targets, _in(PROPOSALS)),
+        "is_multi_target must tell two or more targets": F.col("is_multi_target") == (F.size(targets) >= 2),
+        "raw_type is null and no flag says why": F.col("raw_type").isNotNull() | F.array_contains(flags, "type_fallback_original"),
+        "an act with errors came through": ~F.arrays_overlap(flags, _in(ERROR_FLAGS)),
+        "split must be one of the three": F.col("split").isin(*SPLITS),
+        "fold must be under k, and null in test": F.when(F.col("split") == "test", fold.isNull()).otherwise(fold.isNotNull() & (fold >= 0) & (fold < k)),
     }
     out = violations(rows, "seg_id", named).unionByName(duplicate_ids(rows, "seg_id")).unionByName(gaps(rows)).unionByName(in_several(rows))
     own = rows.groupBy("meeting").agg(F.min("split").alias("own_split"), F.min("fold").alias("own_fold"), F.lit(1).alias("r"))
@@ -178,7 +230,7 @@ def check_split_file(splits: Mapping[str, object]) -> None:
 def window_rules() -> dict[str, Column]:
     """Rules on rows that context windows are made of."""
     said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return {"seg_id is empty": said("seg_id"), "meeting is empty": said("meeting"), "position is invalid": F.col("position") >= 0, "speaker_id is empty": said("speaker_id"), "text is missing": F.col("text").isNotNull()}
+    return {"seg_id is empty": said("seg_id"), "meeting is empty": said("meeting"), "position must be 0 or more": F.col("position") >= 0, "speaker_id is empty": said("speaker_id"), "text is missing": F.col("text").isNotNull()}
 
 
 def check_windows(rows: DataFrame) -> DataFrame:
@@ -189,7 +241,7 @@ def check_windows(rows: DataFrame) -> DataFrame:
 
 def check_meeting_files(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """What a writer of meeting files refuses; drop flags must be false where there are any. splits: meeting, split."""
-    named = {"label is outside the label set": F.col("label").isin(*LABELS), "split is invalid": F.col("split").isin(*SPLITS)}
+    named = {"label is outside the label set": F.col("label").isin(*LABELS), "split must be one of the three": F.col("split").isin(*SPLITS)}
     named |= {f"{c} is not false": ~F.col(c) for c in DROP_FLAGS if c in rows.columns}
     own = rows.groupBy("meeting").agg(F.min("split").alias("own"))
     both = own.join(splits.select("meeting", "split"), "meeting", "full_outer")

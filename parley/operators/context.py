@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schemas import LABELS
 
 
 def with_windows(rows: DataFrame, left: int, right: int, by: str = "meeting", order: str = "position", text: str = "text") -> DataFrame:
@@ -44,3 +47,17 @@ def format_windows(rows: DataFrame, left: int, right: int, mode: str = "raw", by
         return F.concat(F.lit("Speaker "), name, F.lit(": "), said)
 
     return df.select(by, order, F.array_join(F.transform("_window", line), "\n").alias("rendered"))
+
+
+def segment_items(rows: DataFrame, left: int, right: int, keep: Sequence[str] | None = None, test: bool = False, labels: Sequence[str] = LABELS) -> DataFrame:
+    """rows as a model sees them: seg_id, meeting, position, target_text, left, right, label and label_index.
+
+    Windows are made before keep drops rows of other labels. Rows of the test split have no label; elsewhere a label outside labels is an error at run time.
+    """
+    df = with_windows(rows, left, right)
+    if keep is not None:
+        df = df.filter(F.col("label").isin(*keep))
+    unknown = F.concat(F.lit("a label outside the label set at "), F.col("seg_id").cast("string"))
+    label = F.lit(None).cast("string") if test else F.when(F.col("label").isin(*labels), F.col("label")).otherwise(F.raise_error(unknown).cast("string"))
+    df = df.select("seg_id", "meeting", "position", F.col("text").alias("target_text"), "left", "right", label.alias("label"))
+    return df.withColumn("label_index", (F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).cast("int"))

@@ -112,27 +112,53 @@ def act_types(acts: DataFrame) -> DataFrame:
     return acts.withColumns({"used_type": used, "type_flags": flags, "src_start": F.when(bad, 0.0).otherwise(low), "src_end": F.when(bad, 0.0).otherwise(high)})
 
 
-def parse_rows(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Parsed rows, see schemas.PARSED, positions included.
+def why_not(words: str, rendering: Column, parts: Column) -> Column:
+    """Why pipe_boundaries finds none: other parts, other words, or words in another order."""
+    lexical = F.array_join(F.transform(F.filter(F.col(words), lambda w: w["kind"] == "w"), lambda w: T.alignment_text(w["text"])), "")
+
+    def reason(pieces):
+        whole = let(lexical, lambda text: F.forall(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: text.startswith(F.array_join(F.slice(pieces, F.lit(1), i), ""))))
+        other = F.when(whole, "a pipe falls inside a word").otherwise("other words")
+        return F.when(F.size(pieces) != parts, F.format_string("%d parts instead of %d", F.size(pieces), parts)).otherwise(other)
+
+    return let(F.transform(F.split(rendering, "[|]"), T.alignment_text), reason)
 
-    acts: meeting, agent, element_ordinal, source_da_id, start_raw, end_raw, raw_type, original_type, channel, participant, adjacency_raw,
-    comment, href. transcripts: key and renderings. Acts of several parts follow the first rendering that aligns with their words.
-    """
-    from .annotate import assign_positions
 
+def locate(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """acts with their words, transcript key, renderings, multi (several parts that need one) and boundaries, of the first rendering that aligns."""
     df = split_href(act_types(acts)).withColumn("act_id", F.concat_ws("|", "meeting", "agent", F.col("element_ordinal").cast("string")))
     df = df.withColumn("file", F.coalesce("file", F.concat(F.col("meeting"), F.lit("."), F.col("agent"), F.lit(".words.xml"))))
     df = resolve_references(df, words).withColumn("part_types", F.split("used_type", "[|]")).withColumn("n_parts", F.size("part_types"))
     bad_time = F.array_contains("type_flags", "time_invalid")
     df = df.withColumns({"ms0": F.when(~bad_time, T.milliseconds(F.col("start_raw"))), "ms1": F.when(~bad_time, T.milliseconds(F.col("end_raw")))})
     df = df.withColumn("key", T.transcript_key(F.col("meeting"), F.col("channel"), F.col("ms0"), F.col("ms1"))).join(transcripts, "key", "left")
-    multi = (F.col("n_parts") > 1) & ~F.array_contains("ref_flags", "no_word_ref")
-    tried = F.filter(F.transform(F.coalesce("renderings", F.expr("cast(array() as array<string>)")), lambda r: pipe_boundaries("words", r, F.col("n_parts"))), lambda x: x.isNotNull())
-    df = bind(df, boundaries=F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(multi, F.get(tried, F.lit(0))))
+    df = df.withColumns({"renderings": F.coalesce("renderings", F.expr("cast(array() as array<string>)")), "multi": (F.col("n_parts") > 1) & ~F.array_contains("ref_flags", "no_word_ref")})
+    tried = F.filter(F.transform("renderings", lambda r: pipe_boundaries("words", r, F.col("n_parts"))), lambda x: x.isNotNull())
+    return bind(df, boundaries=F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(F.col("multi"), F.get(tried, F.lit(0))))
+
+
+def transcript_problems(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """source_da_id, reason and context of each act of several parts whose words no transcript divides: the key, and in order why each rendering failed."""
+    lost = locate(acts, words, transcripts).filter("multi AND boundaries IS NULL")
+    reason = F.when(F.size("renderings") == 0, "no rendering has pipes").otherwise("no rendering fits the words")
+    key = F.when(F.array_contains("type_flags", "time_invalid"), "no valid time").otherwise(F.col("key"))
+    why = F.array_join(F.transform("renderings", lambda r, i: F.concat((i + 1).cast("string"), F.lit(": "), why_not("words", r, F.col("n_parts")))), "; ")
+    return lost.select(F.coalesce("source_da_id", F.lit("an act without an id")).alias("source_da_id"), reason.alias("reason"), F.concat_ws("; ", F.concat(F.lit("key "), key), F.format_string("%d renderings", F.size("renderings")), F.nullif(why, F.lit(""))).alias("context"))
+
+
+def parse_rows(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Parsed rows, see schemas.PARSED, positions included.
+
+    acts: meeting, agent, element_ordinal, source_da_id, start_raw, end_raw, raw_type, original_type, channel, participant, adjacency_raw,
+    comment, href. transcripts: key and renderings. Acts of several parts follow the first rendering that aligns with their words.
+    """
+    from .annotate import assign_positions
+
+    df = locate(acts, words, transcripts)
     blank = F.expr(f"transform(sequence(1, n_parts), i -> cast(array() as {WORDS}))")
     df = bind(df, parts=F.when(F.col("boundaries").isNotNull(), split_words("words", F.col("boundaries"), F.col("n_parts"))).otherwise(blank))
     df = part_times(df)
-    unaligned = multi & F.col("boundaries").isNull()
+    unaligned = F.col("multi") & F.col("boundaries").isNull()
     flags = F.array_distinct(F.concat("ref_flags", "type_flags", F.array_compact(F.array(F.when(unaligned, "ref_unresolved")))))
     df = df.withColumns({"quality_flags": flags, "timing_method": F.when((F.col("n_parts") > 1) & F.array_contains("ref_flags", "no_word_ref"), "source_proportional").otherwise(F.col("timing_method"))})
     rows = df.select("*", F.posexplode("part_types").alias("part_index", "part_type"))

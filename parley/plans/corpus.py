@@ -37,9 +37,14 @@ def _stage(df: DataFrame, build: Build, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parse_corpus(spark: SparkSession, build: Build) -> DataFrame:
+def corpus_tables(spark: SparkSession, build: Build) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Acts, words and transcripts."""
     acts, words = annotations.read_acts(spark, f"{build.raw_root}/DialogueActs"), annotations.read_words(spark, f"{build.raw_root}/Words")
-    return parse.parse_rows(acts, words, annotations.read_transcripts(spark, f"{build.raw_root}/transcripts", build.corrections))
+    return acts, words, annotations.read_transcripts(spark, f"{build.raw_root}/transcripts", build.corrections)
+
+
+def parse_corpus(spark: SparkSession, build: Build) -> DataFrame:
+    return parse.parse_rows(*corpus_tables(spark, build))
 
 
 def run(spark: SparkSession, build: Build) -> dict:
@@ -49,13 +54,15 @@ def run(spark: SparkSession, build: Build) -> dict:
     parsed = _stage(parse_corpus(spark, build), build, "parsed")
     problems = checks.check_parsed(parsed)
     if checks.is_fatal(parsed, problems):
-        raise ValueError("the parse has errors\n" + reports.render("Parse", reports.parse_counts(parsed)))
+        unaligned = parse.transcript_problems(*corpus_tables(spark, build)).orderBy("source_da_id").limit(20).collect()
+        told = "".join(f"{r['source_da_id']}: {r['reason']} ({r['context']})\n" for r in unaligned)
+        raise ValueError("the parse has errors\n" + told + reports.render("Parse", reports.parse_counts(parsed)))
     annotated = _stage(annotate.annotate_rows(parsed), build, "annotated")
     made = _stage(links.build_links(annotated).select(*[c.split(" ")[0] for c in LINK.split(", ")]), build, "links")
     checks.raise_first(checks.check_annotated(parsed, annotated).unionByName(checks.check_links(annotated, made)))
     cleaned = _stage(annotate.clean_rows(annotated), build, "cleaned")
     pruned = _stage(annotate.prune_chains(made, annotated.filter(annotate.is_dropped()).select("seg_id")), build, "cleaned_links")
-    checks.raise_first(checks.check_cleaned(annotated, cleaned))
+    checks.raise_first(checks.check_cleaned(annotated, cleaned, made, pruned))
     listed = f"{build.work}/meetings.xml"
     release.archive_member(build.archive, build.meeting_list, listed)
     universe = annotations.read_meeting_ids(spark, listed)

@@ -466,7 +466,7 @@ def first_finding(spark, sf_dir):
     return checks.findings(_line_violations(spark, sf_dir))
 
 
-@query("SELECT 'positions are not contiguous from zero' AS rule, l_orderkey::VARCHAR AS id FROM (SELECT l_orderkey, l_linenumber - 1 AS p FROM lineitem) GROUP BY l_orderkey HAVING min(p) <> 0 OR max(p) <> count(*) - 1 OR count(DISTINCT p) <> count(*)")
+@query("SELECT 'positions begin above 0 or leave a gap' AS rule, l_orderkey::VARCHAR AS id FROM (SELECT l_orderkey, l_linenumber - 1 AS p FROM lineitem) GROUP BY l_orderkey HAVING min(p) <> 0 OR max(p) <> count(*) - 1 OR count(DISTINCT p) <> count(*)")
 def position_gaps(spark, sf_dir):
     return checks.gaps(read(spark, sf_dir, "lineitem").withColumn("p", F.col("l_linenumber") - 1), "l_orderkey", "p")
 
@@ -481,7 +481,7 @@ def groups_in_several(spark, sf_dir):
     return checks.in_several(read(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query("""SELECT DISTINCT 'split-part timings overlap' AS rule, user_id::VARCHAR AS id FROM (SELECT user_id, value + 5 AS e, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE e > n""")
+@query("""SELECT DISTINCT 'parts of an act share time' AS rule, user_id::VARCHAR AS id FROM (SELECT user_id, value + 5 AS e, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE e > n""")
 def part_overlaps(spark, sf_dir):
     return checks.overlaps(read(spark, sf_dir, "events").withColumn("e", F.col("value") + 5), ("user_id",), "event_id", "value", "e")
 
@@ -610,7 +610,7 @@ def window_checks(spark, sf_dir):
 
 @query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + (user_id % 7 = 0)::INT AS position, CASE WHEN event_id % 50 = 0 THEN 'zz' ELSE 'cs' END AS label, CASE WHEN user_id % 11 = 0 AND event_id % 2 = 0 THEN 'val' ELSE 'train' END AS split FROM events),
 m AS (SELECT user_id, min(split) AS own, count(DISTINCT split) AS splits, min(position) AS low FROM r GROUP BY user_id)
-SELECT 'label is outside the label set' AS rule, event_id::VARCHAR AS id FROM r WHERE label = 'zz' UNION ALL SELECT 'is_empty is not false', event_id::VARCHAR FROM r WHERE event_id % 100 = 0 UNION ALL SELECT 'positions are not contiguous from zero', user_id::VARCHAR FROM m WHERE low > 0
+SELECT 'label is outside the label set' AS rule, event_id::VARCHAR AS id FROM r WHERE label = 'zz' UNION ALL SELECT 'is_empty is not false', event_id::VARCHAR FROM r WHERE event_id % 100 = 0 UNION ALL SELECT 'positions begin above 0 or leave a gap', user_id::VARCHAR FROM m WHERE low > 0
 UNION ALL SELECT 'meeting is in more than one split', user_id::VARCHAR FROM m WHERE splits > 1 UNION ALL SELECT 'rows of an undeclared meeting', user_id::VARCHAR FROM m WHERE user_id % 13 = 0 UNION ALL SELECT 'rows disagree with the split assignment', user_id::VARCHAR FROM m WHERE user_id % 13 <> 0 AND own <> 'train'
 UNION ALL SELECT 'a declared meeting has no rows', 'nobody'""")
 def meeting_file_checks(spark, sf_dir):
@@ -756,3 +756,75 @@ def bad_lines(spark, sf_dir):
     lines = jsonl.read_lines(spark, folder)
     found = jsonl.line_numbers(lines.filter(jsonl.is_bad(strict=True)), lines)
     return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line", "value", jsonl.is_bad().alias("lenient"))
+
+
+# Whole tables against each other
+
+
+_TWICE_SQL = "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber <> 3 UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 9 = 0 AND l_linenumber = 1 UNION ALL SELECT l_orderkey, NULL, l_quantity FROM lineitem WHERE l_linenumber = 7"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem), b AS ({_TWICE_SQL}), m AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), x AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
+SELECT *, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT *, -count(*) AS n FROM x GROUP BY ALL""")
+def row_differences(spark, sf_dir):
+    """line items against a copy that lacks some, repeats some and has some with a null."""
+    items = read(spark, sf_dir, "lineitem")
+    cut = items.filter("l_linenumber <> 3").unionByName(items.filter("l_orderkey % 9 = 0 AND l_linenumber = 1")).unionByName(items.filter("l_linenumber = 7").withColumn("l_partkey", F.lit(None).cast("bigint")))
+    return checks.row_differences(items, cut, "l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), v AS (SELECT k, CASE WHEN k % 17 = 0 THEN ['a link is gone'] WHEN k % 19 = 0 THEN ['a link was added'] ELSE list_filter([CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'tokens or pair_group of a link were changed' END,
+ CASE WHEN k % 5 = 0 THEN 'a link''s chains are not the former ones without dropped rows' END, CASE WHEN k % 13 = 0 THEN 'a link''s status does not follow from its pruning' END], lambda x: x IS NOT NULL) END AS rules FROM o)
+SELECT unnest(rules) AS rule, k::VARCHAR AS id FROM v""")
+def pruned_links_checked(spark, sf_dir):
+    """Pruned links of which some are gone, repeated, or have other tokens, groups, chains or statuses than they should."""
+    found, dropped = _orders_with_chains(spark, sf_dir)
+    found = found.withColumns({"adjacency_tokens": F.array(F.lit("1a")), "pair_group": F.concat(F.lit("m:1@"), "proposal_id")})
+    k = F.col("proposal_id").try_cast("bigint")
+    pruned = annotate.prune_chains(found, dropped)
+    whole = (k % 17 != 0) & (k % 19 != 0)
+    wrong = pruned.filter(k % 17 != 0).withColumns({
+        "adjacency_tokens": F.when(whole & (k % 7 == 0), F.array(F.lit("2a"))).otherwise(F.col("adjacency_tokens")), "pair_group": F.when(whole & (k % 11 == 0), F.lit(None)).otherwise(F.col("pair_group")),
+        "responder_chains": F.when(whole & (k % 5 == 0), F.concat(F.array(F.array(F.lit("late"))), "responder_chains")).otherwise(F.col("responder_chains")), "status": F.when(whole & (k % 13 == 0), "malformed").otherwise(F.col("status")),
+    })
+    return checks.check_pruned(pruned, wrong.unionByName(wrong.filter(k % 19 == 0)))
+
+
+# Transcripts
+
+_PROBLEM_SQL = """SELECT conv_id || '.' || turn AS source_da_id, CASE WHEN turn % 5 = 1 THEN 'no rendering has pipes' ELSE 'no rendering fits the words' END AS reason,
+ format('key {}-c{}_{:07d}_{:07d}; {} renderings', conv_id, turn % 3, turn * 10000, turn * 10000 + 9000, CASE turn % 5 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END)
+ || CASE turn % 5 WHEN 1 THEN '' WHEN 2 THEN '; 1: 3 parts instead of 2' ELSE '; 1: other words; 2: 4 parts instead of 2' END AS context FROM conversations WHERE turn % 5 IN (1, 2, 3)"""
+
+
+def _two_part_acts(spark, sf_dir):
+    """(acts, words, transcripts): each turn an act of two parts with a words file of its own; renderings that fit, that are absent, and that do not fit."""
+    turns = read(spark, sf_dir, "conversations").withColumn("w", F.filter(F.split("text", r"[\s|]+"), lambda x: x != "")).withColumn("file", F.format_string("%d.t%d.words.xml", "conv_id", "turn"))
+    ms = lambda more: F.format_string("%d.%03d", F.col("turn") * 10 + more, F.lit(0))
+    href = F.concat("file", F.lit("#id(w0)..id(w"), (F.size("w") - 1).cast("string"), F.lit(")"))
+    none = F.lit(None).cast("string")
+    channel = F.concat(F.lit("c"), (F.col("turn") % 3).cast("string"))
+    acts = turns.select(
+        F.col("conv_id").cast("string").alias("meeting"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("agent"), F.lit(0).alias("element_ordinal"), F.format_string("%d.%d", "conv_id", "turn").alias("source_da_id"), ms(0).alias("start_raw"), ms(9).alias("end_raw"),
+        F.lit("s|s^bk").alias("raw_type"), none.alias("original_type"), channel.alias("channel"), F.col("role").alias("participant"), none.alias("adjacency_raw"), none.alias("comment"), href.alias("href"),
+    )
+    words = turns.select("file", F.posexplode("w").alias("idx", "text")).select("file", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("norm_id"), "text", F.lit("w").alias("kind"), F.col("idx").cast("double").alias("start"), (F.col("idx") + 0.5).alias("end"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    fits = F.concat(F.array_join(F.slice("w", F.lit(1), half), " "), F.lit(" | "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))
+    wrong, many = F.lit("no such | words here"), F.lit("a | b | c | d")
+    given = F.when(F.col("turn") % 5 == 0, F.array(fits)).when(F.col("turn") % 5 == 2, F.array(F.concat(fits, F.lit(" | ")))).when(F.col("turn") % 5 == 3, F.array(wrong, many)).otherwise(F.array(wrong, fits))
+    key = F.format_string("%d-%s_%07d_%07d", "conv_id", channel, F.col("turn") * 10000, F.col("turn") * 10000 + 9000)
+    return acts, words, turns.filter("turn % 5 <> 1").select(key.alias("key"), given.alias("renderings"))
+
+
+@query(_PROBLEM_SQL)
+def transcript_problems(spark, sf_dir):
+    return parse.transcript_problems(*_two_part_acts(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s|]+'), lambda x: x <> '') AS w FROM conversations), p AS (SELECT *, len(w) // 2 AS half, turn % 5 IN (0, 4) AS fits FROM t)
+SELECT conv_id || '-c' || turn % 3 || format('_{:07d}_{:07d}_p{}', turn * 10000, turn * 10000 + 9000, i + 1) AS seg_id, (CASE WHEN NOT fits THEN '' WHEN i = 0 THEN array_to_string(w[1:half], ' ') ELSE array_to_string(w[half + 1:], ' ') END) AS text,
+ CASE WHEN fits THEN 'transcript_word_boundary' ELSE 'transcript_proportional' END AS timing_method, NOT fits AS unresolved FROM p, (SELECT unnest([0, 1]) AS i)""")
+def split_by_transcripts(spark, sf_dir):
+    rows = parse.parse_rows(*_two_part_acts(spark, sf_dir))
+    return rows.select("seg_id", "text", "timing_method", F.array_contains("quality_flags", "ref_unresolved").alias("unresolved"))

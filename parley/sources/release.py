@@ -131,12 +131,12 @@ def load_release(spark: SparkSession, folder: str) -> dict:
 
 
 def layer2_gold(rows: DataFrame, links: DataFrame, responders: str = "all", segments: str = "first") -> DataFrame:
-    """Eligible links with their proposal row's fields and the acceptable answers."""
+    """Eligible links with their proposal row's fields and the acceptable answers; chains that do not fit the status are an error at run time."""
     from ..functions.text import acceptable_responses
 
     fit = links.filter(F.col("status").isin("ok", "no_pair"))
     own = rows.select(F.col("seg_id").alias("proposal_id"), "meeting", "position", "text")
-    return fit.join(own, "proposal_id").withColumn("acceptable", acceptable_responses(F.col("responder_chains"), responders, segments))
+    return fit.join(own, "proposal_id").withColumn("acceptable", acceptable_responses(F.col("responder_chains"), responders, segments, F.col("status")))
 
 
 def write_meetings(rows: DataFrame, path: str) -> None:

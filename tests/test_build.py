@@ -110,7 +110,7 @@ def test_reports(spark, built):
     assert not checks.is_fatal(table("parsed")) and checks.is_fatal(table("parsed").withColumn("quality_flags", F.array(F.lit("time_invalid"))))
 
 
-CASES = [("text", "cast(null as string)", "text is missing"), ("speaker_id", "cast(null as string)", "speaker_id is missing"), ("end", "double('NaN')", "end is not finite"), ("src_end", "double('Infinity')", "src_end is not finite"), ("element_ordinal", "-1", "element_ordinal is invalid"),
+CASES = [("text", "cast(null as string)", "text is missing"), ("speaker_id", "cast(null as string)", "speaker_id is missing"), ("end", "double('NaN')", "end is not finite"), ("src_end", "double('Infinity')", "src_end is not finite"), ("element_ordinal", "-1", "element_ordinal must be 0 or more"),
          ("words", "array(named_struct('text', cast(null as string), 'kind', 'w', 'start', 0D, 'end', 0D))", "a word lacks its text or kind"), ("general_tags", "array(cast(null as string))", "a tag or flag is null"), ("target_tags", "array('zz')", "a target tag is no target")]
 
 

@@ -44,7 +44,7 @@ def test_parse(parsed):
     assert bad["quality_flags"][0] == "ref_malformed" and bad["words"] == []
     assert set(rows["Bmr001-c1_invalid_d5"]["quality_flags"]) == {"ref_unresolved", "time_invalid"}
     assert sorted(r["position"] for r in rows.values()) == list(range(len(rows)))
-    assert checks.check_parsed(parsed.filter(~F.array_contains("quality_flags", "time_invalid"))).filter("rule <> 'positions are not contiguous from zero'").count() == 0
+    assert checks.check_parsed(parsed.filter(~F.array_contains("quality_flags", "time_invalid"))).filter("rule <> 'positions begin above 0 or leave a gap'").count() == 0
 
 
 def test_text_functions(spark):
@@ -98,9 +98,9 @@ def test_release_round_trip(spark, parsed, corpus, tmp_path):
 
 
 ROW_CASES = [
-    ("seg_id", "''", "seg_id is empty"), ("position", "-1", "position is invalid"), ("label", "'nope'", "a label is outside the label set"), ("target_tags", "array('aa', 'cs')", "target_tags are not distinct and in label order"),
-    ("is_multi_target", "true", "is_multi_target disagrees with target_tags"), ("split", "'dev'", "split is invalid"), ("fold", "9", "fold is invalid"), ("start", "99.0D", "source and act timings are inconsistent"),
-    ("quality_flags", "array('ref_malformed')", "error-class quality flags"), ("n_parts", "0", "part_index and n_parts are inconsistent"), ("meeting", "cast(null as string)", "meeting is missing"),
+    ("seg_id", "''", "seg_id is empty"), ("position", "-1", "position must be 0 or more"), ("label", "'nope'", "a label is outside the label set"), ("target_tags", "array('aa', 'cs')", "target_tags must be distinct and sorted as labels are"),
+    ("is_multi_target", "true", "is_multi_target must tell two or more targets"), ("split", "'dev'", "split must be one of the three"), ("fold", "9", "fold must be under k, and null in test"), ("start", "99.0D", "times must rise from src_start over start and end to src_end"),
+    ("quality_flags", "array('ref_malformed')", "an act with errors came through"), ("n_parts", "0", "part_index must be under n_parts"), ("meeting", "cast(null as string)", "meeting is missing"),
 ]
 
 
@@ -112,7 +112,7 @@ def test_row_mutations(corpus, field, value, rule):
 
 
 LINK_CASES = [
-    ("status", "'what'", "unknown status"), ("has_response", "false", "has_response disagrees with responder_chains"), ("responder_chains", "array(cast(array() as array<string>))", "a responder chain is empty"),
+    ("status", "'what'", "unknown status"), ("has_response", "false", "has_response must tell whether there are chains"), ("responder_chains", "array(cast(array() as array<string>))", "a responder chain is empty"),
     ("responder_chains", "array(array('ghost'))", "a chain holds an unknown seg_id"), ("pair_group", "cast(null as string)", "an ok record has no pair_group"), ("proposal_id", "'ghost'", "a link has no proposal row"), ("proposal_id", "'ghost'", "a proposal has no link"),
 ]
 
