@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..sources.shared import written
+
 
 def with_length(items: DataFrame, texts: tuple[str, ...] = ("target_text",), lists: tuple[str, ...] = ("left", "right")) -> DataFrame:
     total = sum([F.length(c) for c in texts], F.lit(0)) + sum([F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x)) for c in lists], F.lit(0))
@@ -29,7 +31,8 @@ def eval_batches(items: DataFrame, batch_size: int, key: str, length: str = "cha
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with its rank from 0 in a total order, without a single-partition window."""
     columns = df.columns
-    part = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written, since the ranges are used twice and bounds drawn anew might differ
+    part = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = part.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_many"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DROP_FLAGS, ERROR_FLAGS, LABELS, MARKERS, PROPOSALS, RAW_TAGS, SPLITS, STATUSES, TARGETS
+from ..sources.shared import written
 
 
 def _in(values: Sequence[str]) -> Column:
@@ -171,7 +172,7 @@ def check_field_order(df: DataFrame, schema: str) -> None:
 def check_arrival(rows: DataFrame, order: Sequence[str], at: str) -> DataFrame:
     """Rows that come, by at, before one that they should follow in a total order. Ranges of at are compared by their ends, so no task sees all rows."""
     key = F.struct(*order)
-    part = rows.select(F.col(at).alias("_at"), key.alias("_k")).repartitionByRange("_at").withColumn("_p", F.spark_partition_id())
+    part = written(rows.select(F.col(at).alias("_at"), key.alias("_k")).repartitionByRange("_at").withColumn("_p", F.spark_partition_id()), "arrival")
     inside = Window.partitionBy("_p").orderBy("_at")
     tail = part.groupBy("_p").agg(F.max_by("_k", "_at").alias("_end"))
     earlier = tail.withColumn("_end", F.lag("_end").over(Window.orderBy("_p"))).filter("_end IS NOT NULL")  # a row for each partition

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotate, batching, checks, context, links, metrics, parse, predict, reports, splits, training
+from ..operators import annotate, batching, checks, context, evaluation, links, metrics, parse, predict, reports, splits, training
 from ..schemas import LABELS
 from ..sources import jsonl
 from ..sources.shared import fresh_folder, written
@@ -828,3 +828,95 @@ SELECT conv_id || '-c' || turn % 3 || format('_{:07d}_{:07d}_p{}', turn * 10000,
 def split_by_transcripts(spark, sf_dir):
     rows = parse.parse_rows(*_two_part_acts(spark, sf_dir))
     return rows.select("seg_id", "text", "timing_method", F.array_contains("quality_flags", "ref_unresolved").alias("unresolved"))
+
+
+# Areas, intervals, rankings and baselines
+
+_SCORED_SQL = f"""SELECT doc_id AS seg_id, list_element({LABEL_SQL}, (doc_id % 7)::INT + 1) AS gold, list_element({LABEL_SQL}, i::INT) AS label, ((doc_id * i * 13 + toxic * 5) % 17 + CASE WHEN doc_id % 7 + 1 = i THEN quality * 6 ELSE 0 END)::DOUBLE / 32 AS score FROM labels, (SELECT unnest(range(1, 8)) AS i)"""
+
+
+@query(f"""WITH r AS ({_SCORED_SQL}), s AS (SELECT label, score, count(*) FILTER (label = gold) AS hits, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT *, sum(hits) OVER w AS sum_hits, sum(n) OVER w AS sum_n FROM s WINDOW w AS (PARTITION BY label ORDER BY score DESC))
+SELECT label, sum(hits)::BIGINT AS positives, round(sum(hits * sum_hits / sum_n) / sum(hits), 9) AS pr_auc FROM c GROUP BY label""")
+def pr_auc(spark, sf_dir):
+    df = read(spark, sf_dir, "labels")
+    own = lambda i: F.when(F.col("doc_id") % 7 + 1 == i, F.col("quality") * 6).otherwise(0)
+    scores = F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[(((F.col("doc_id") * i * 13 + F.col("toxic") * 5) % 17 + own(i)) / 32).cast("double") for i in range(1, 8)]))
+    gold, predictions = df.select(F.col("doc_id").alias("seg_id"), pick(LABELS, F.col("doc_id") % 7).alias("label")), df.select(F.col("doc_id").alias("seg_id"), scores.alias("scores"))
+    return evaluation.pr_auc(gold, predictions).select("label", "positives", F.round("pr_auc", 9).alias("pr_auc"))
+
+
+_POISSON_SQL = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {n}" for n, p in enumerate(evaluation.POISSON)) + f" ELSE {len(evaluation.POISSON)} END"
+
+
+@query(f"""WITH c AS (SELECT seg_id // 25 AS meeting, gold, pred, count(*) AS n FROM ({GP_SQL}) GROUP BY ALL),
+d AS (SELECT meeting, r, {_POISSON_SQL} AS times FROM (SELECT meeting, r, ('0x' || substr(sha256('7:' || meeting || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT meeting FROM c), (SELECT unnest(range(1, 101)) AS r))),
+k AS (SELECT 0 AS r, gold, pred, n FROM c UNION ALL SELECT r, gold, pred, n * times FROM c JOIN d USING (meeting) WHERE times > 0),
+e AS (SELECT r, gold AS label, n AS g, 0 AS p, CASE WHEN gold = pred THEN n ELSE 0 END AS h FROM k UNION ALL SELECT r, pred, 0, n, 0 FROM k),
+f AS (SELECT r, label, 2 * sum(h) / nullif(sum(g) + sum(p), 0) AS f1 FROM e GROUP BY ALL), m AS (SELECT * FROM f UNION ALL SELECT r, 'macro', sum(f1) / 7 FROM f GROUP BY r),
+o AS (SELECT label, f1 FROM m WHERE r = 0), x AS (SELECT o.label, o.f1, coalesce(m.f1, 0) AS x FROM o CROSS JOIN (SELECT unnest(range(1, 101)) AS r) q LEFT JOIN m ON m.label = o.label AND m.r = q.r)
+SELECT label, round(any_value(f1)::DOUBLE, 9) AS f1, round(avg(x)::DOUBLE, 9) AS mean, round(stddev_samp(x)::DOUBLE, 9) AS std, round(quantile_cont(x, 0.025)::DOUBLE, 9) AS low, round(quantile_cont(x, 0.975)::DOUBLE, 9) AS high FROM x GROUP BY label""")
+def bootstrap_f1(spark, sf_dir):
+    gold, predictions = gold_and_predictions(spark, sf_dir)
+    both = gold.select("seg_id", F.col("label").alias("gold")).join(predictions.select("seg_id", F.col("label").alias("pred")), "seg_id")
+    counts = both.groupBy(F.floor(F.col("seg_id") / 25).alias("meeting"), "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    found = evaluation.bootstrap(counts, 100, 7)
+    return found.select("label", *[F.round(c, 9).alias(c) for c in ("f1", "mean", "std", "low", "high")])
+
+
+POLICIES = [(r, s) for r in ("all", "first") for s in ("first", "any")]
+_SETS_SQL = """WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 2 AS i, l_orderkey || '-' || l_linenumber AS seg FROM lineitem), h AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, i) AS head, min(i) OVER (PARTITION BY l_orderkey) AS lead FROM k),
+a AS (SELECT 'all first' AS policy, * FROM h WHERE l_linenumber = head UNION ALL SELECT 'all any', * FROM h UNION ALL SELECT 'first first', * FROM h WHERE l_linenumber = head AND i = lead UNION ALL SELECT 'first any', * FROM h WHERE i = lead),
+p AS (SELECT DISTINCT l_orderkey, policy FROM (SELECT DISTINCT l_orderkey FROM lineitem), (SELECT DISTINCT policy FROM a))"""
+
+
+@query(_SETS_SQL + """, c AS (SELECT *, l_orderkey % 5 = 0 AS quiet, CASE WHEN l_orderkey % 4 = 0 THEN ['', l_orderkey || '-3', l_orderkey || '-1'] WHEN l_orderkey % 4 = 1 THEN [l_orderkey || '-9', l_orderkey || '-9', l_orderkey || '-2', l_orderkey || '-1', ''] WHEN l_orderkey % 4 = 2 THEN [l_orderkey || '-1'] END AS ranked FROM p),
+d AS (SELECT l_orderkey, policy, quiet, unnest(list_filter(ranked, lambda x, i: list_position(ranked, x) = i)) AS seg, unnest(range(1, len(list_distinct(ranked)) + 1)) AS place FROM c),
+g AS (SELECT d.l_orderkey, d.policy, min(place) AS place FROM d LEFT JOIN a ON a.policy = d.policy AND a.seg = d.seg WHERE CASE WHEN quiet THEN d.seg = '' ELSE a.seg IS NOT NULL END GROUP BY ALL),
+f AS (SELECT c.policy, unnest([CASE WHEN quiet THEN 'none' ELSE 'reply' END, 'all']) AS kind, place FROM c LEFT JOIN g USING (l_orderkey, policy))
+SELECT policy, kind, count(*) AS n, round(avg(coalesce(1 / place, 0)), 9) AS mrr, round(avg(coalesce((place <= 1)::INT, 0)), 9) AS hit_1, round(avg(coalesce((place <= 3)::INT, 0)), 9) AS hit_3 FROM f GROUP BY ALL""")
+def link_metrics(spark, sf_dir):
+    """Rankings of line items for orders under the four policies of acceptable answers; one order in five has none, one in four no ranking."""
+    found, _ = _orders_with_chains(spark, sf_dir)
+    k = F.col("proposal_id").cast("bigint")
+    item = lambda n: F.concat("proposal_id", F.lit(f"-{n}"))
+    lists = F.when(k % 4 == 0, F.array(F.lit(""), item(3), item(1))).when(k % 4 == 1, F.array(item(9), item(9), item(2), item(1), F.lit(""))).when(k % 4 == 2, F.array(item(1)))
+    ranked = found.select("proposal_id", lists.alias("candidates")).filter("candidates IS NOT NULL")
+    out = None
+    for responders, segments in POLICIES:
+        sets = T.acceptable_responses(F.col("responder_chains"), responders, segments)
+        gold = found.select("proposal_id", F.when(k % 5 != 0, sets).otherwise(F.expr("cast(array() as array<string>)")).alias("acceptable"))
+        one = evaluation.link_metrics(gold, ranked, (1, 3)).select(F.lit(f"{responders} {segments}").alias("policy"), "kind", "n", *[F.round(c, 9).alias(c) for c in ("mrr", "hit_1", "hit_3")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT a.conv_id AS meeting, a.turn AS position, min(b.turn) AS next FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.role IS DISTINCT FROM a.role GROUP BY ALL""")
+def next_speaker(spark, sf_dir):
+    return evaluation.next_speaker(meetings(spark, sf_dir), key="position").select("meeting", "position", F.col("next_id").alias("next"))
+
+
+KEYWORDS = (("the", "cs"), ("of the", "co"), ("THE and", "aa"), ("le", "bk"), ("en de", "ar"), ("der", "cc"), ("and", "co"), ("un", "aa"), ("in the, of", "bk"))
+_KEYWORD_SQL = "[" + ", ".join(f"{{'k': '{k}', 'c': '{' '.join(k.lower().replace(',', ' ').split())}', 'l': '{label}'}}" for k, label in KEYWORDS) + "]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS said FROM documents),
+f AS (SELECT doc_id, said, unnest({_KEYWORD_SQL}) AS r FROM d), m AS (SELECT doc_id, said, r, strpos(said, ' ' || r.c || ' ') AS pos FROM f),
+b AS (SELECT * FROM m WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(r.c) DESC, pos) = 1)
+SELECT d.doc_id, coalesce(b.r.l, 'other') AS label, b.r.k AS keyword, (length(left(b.said, b.pos)) - length(replace(left(b.said, b.pos), ' ', '')) - 1)::INT AS place FROM d LEFT JOIN b USING (doc_id)""")
+def keyword_labels(spark, sf_dir):
+    return evaluation.keyword_labels(read(spark, sf_dir, "documents"), KEYWORDS, "doc_id")
+
+
+@query()
+def cross_validated(spark, sf_dir):
+    """Three folds of documents by a hash; a model of each two scored on the third."""
+    rows, terms = _featured(spark, sf_dir)
+    size = terms.count()
+
+    def run(own, aside):
+        plan = training.replace(TRAINING, epochs=1, accumulate=4, batch_size=max(1, -(-own.count() // BATCHES)))
+        steps = written(training.step_table(own, plan, "doc_id").repartition("step", F.col("batch") % 8), "steps", "step")
+        return {"rows": own.count(), "macro_f1": training.train(steps, aside, size, LANGS, plan, "doc_id")["score"]}
+
+    return evaluation.cross_validate(rows.withColumn("fold", F.floor(evaluation.uniform(F.lit("fold"), F.col("doc_id")) * 3).cast("int")), 3, run)
