@@ -1,10 +1,11 @@
 """Best-fit packing with certified bin counts.
 
-Documents become token pieces; pieces shorter than a sequence are dealt into partitions, PARTITIONS at least, and each partition packs its own
-by best-fit decreasing. A dual-feasible-function bound then certifies how few bins any packing of the partition needs. A partition
-that meets the bound gives back its emptiest bin only, for what separate partitions waste is one open bin each; a partition with a gap
-gives back emptier bins, up to half of the unfilled ones and a FAN_IN-th of what a task packs. Given-back documents of FAN_IN partitions meet in one, which
-is thus no larger than a first one, and best-fit decreasing runs again, until one partition is left or a round gains no bin. What is
+Documents become token pieces; pieces shorter than a sequence are dealt into partitions of about PARTITION_PIECES, and each partition packs its own
+by best-fit decreasing. A dual-feasible-function bound then certifies how few bins any packing of the partition needs, and the same bound of all pieces, from
+how many there are of each length, how few the whole table needs. While the sum of all bins is above that, each partition gives back its emptiest
+bins, up to a FAN_IN-th of what a task packs. Given-back documents of FAN_IN partitions meet in one, which
+is thus no larger than a first one, and best-fit decreasing runs again, until one partition is left. If a gap is left even then, the emptiest bins of the whole table, as
+many as a task packs, are packed anew once, and the better packing stays. What is
 exchanged is rows of a few numbers, never token ids. Each piece tells the bins and the bound of the partition that packed it last.
 
 Defined results: null and empty texts are one piece of the end token; repeated rows each get their own pieces; an empty table
@@ -31,7 +32,6 @@ from .common import materialize, table, worker_cache
 
 CAPACITY = 2048
 PARTITION_PIECES = 50_000  # pieces that one task packs
-PARTITIONS = 8  # at least, so that small tables are packed the same way
 FAN_IN = 8  # partitions whose given-back documents meet in the next round
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -120,9 +120,14 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     """The greatest of the dual-feasible-function bounds (Martello and Toth's family) on the bins that sizes need."""
-    if not len(sizes):
+    return bound_of(np.bincount(np.asarray(sizes, np.int64), minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound from how many pieces there are of each size."""
+    count = count.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     number, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     half = capacity // 2
     least = np.arange(half + 1)  # the function rounds sizes under `least` to nothing and those over capacity - least to whole bins
@@ -161,16 +166,15 @@ def _packer(last: bool, capacity: int, give: int) -> Callable[[pa.Table], pa.Tab
         group = group.sort_by([("length", "descending"), ("uid", "ascending")])  # the same packing however rows arrive
         sizes = group.column("length").to_numpy()
         bins, places, room = best_fit(sizes.tolist(), capacity)
-        bound = lower_bound(sizes, capacity)
         back: list[int] = []
         if not last:
             unfilled = sorted((b for b in range(len(room)) if room[b]), key=lambda b: -room[b])
             held = np.cumsum(np.bincount(bins, minlength=len(room))[unfilled]) if unfilled else np.empty(0, int)
-            most = 1 if len(room) == bound else min((len(unfilled) + 1) // 2, int(np.searchsorted(held, give, "right")))
-            back = unfilled[: max(1, most)]
+            back = unfilled[: max(1, int(np.searchsorted(held, give, "right")))]
         flags = np.zeros(len(room), bool)
         flags[back] = True
-        own = {"bin": pa.array(bins, pa.int64()), "offset": pa.array(places, pa.int64()), "back": pa.array(flags[bins]), "bins": pa.array([len(room)] * len(bins), pa.int64()), "bound": pa.array([bound] * len(bins), pa.int64())}
+        alike = lambda n: pa.array([n] * len(bins), pa.int64())
+        own = {"bin": pa.array(bins, pa.int64()), "offset": pa.array(places, pa.int64()), "room": pa.array(np.array(room)[bins], pa.int64()), "back": pa.array(flags[bins]), "bins": alike(len(room)), "bound": alike(lower_bound(sizes, capacity))}
         for name, column in own.items():
             group = group.append_column(name, column)
         return group
@@ -188,26 +192,50 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
     unknown = [F.lit(None).cast("long").alias(x) for x in ("bins", "bound")]
     full = parts.filter(F.col("length") == capacity).select(*fields, (F.col("uid") + (1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *unknown)
     rest = parts.filter(F.col("length") < capacity)
-    groups, give = max(PARTITIONS, -(-rest.count() // partition_pieces)), max(1, partition_pieces // FAN_IN)
+    count = np.zeros(capacity + 1, np.int64)
+    for row in rest.groupBy("length").count().collect():  # a row for each length under the capacity
+        count[row["length"]] = row["count"]
+    least, groups, give = bound_of(count, capacity), max(1, -(-int(count.sum()) // partition_pieces)), max(1, partition_pieces // FAN_IN)
+    schema = f"{PIECE}, uid long, part long, bin long, offset long, room long, back boolean, bins long, bound long"
+
+    def packed(rows: DataFrame, round_: int, last: bool) -> DataFrame:
+        out = materialize(rows.groupBy("part").applyInArrow(_packer(last, capacity, give), schema), "packed")
+        # parts and bins stay under 2^27: a part holds about partition_pieces at most
+        return out.withColumn("sequence_id", F.lit(round_ << 54) + F.col("part") * (1 << 27) + F.col("bin"))
+
     rest = rest.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    schema = f"{PIECE}, uid long, part long, bin long, offset long, back boolean, bins long, bound long"
-    done, round_, given = [full], 0, None
+    settled: list[DataFrame] = []
+    round_, n_settled, before, given = 0, 0, None, None  # before: the last round's bins that were given back
     while True:
-        packed = materialize(rest.groupBy("part").applyInArrow(_packer(groups == 1, capacity, give), schema), "packed")
-        # parts and bins stay under 2^27: a part holds about partition_pieces at most
-        placed = packed.select(*fields, (F.lit(round_ << 54) + F.col("part") * (1 << 27) + F.col("bin")).alias("sequence_id"), "offset", "bins", "bound", "back")
-        by_part = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.count_distinct(F.when(F.col("back"), F.col("bin"))).alias("back"))
-        bins, back = by_part.agg(F.sum("bins"), F.sum("back")).first()
-        if groups == 1 or (given is not None and bins >= given) or not back:
-            done.append(placed.drop("back"))
+        now = packed(rest, round_, groups == 1)
+        by_part = now.groupBy("part").agg(F.max("bins").alias("bins"), F.count_distinct(F.when(F.col("back"), F.col("bin"))).alias("back"))
+        bins, back = (x or 0 for x in by_part.agg(F.sum("bins"), F.sum("back")).first())
+        if given is not None and bins > given:  # the former packing of these pieces was better
+            settled.append(before)
+            n_settled += given
+            break
+        if groups == 1 or not back or n_settled + bins <= least:
+            settled.append(now)
+            n_settled += bins
             break
-        done.append(placed.filter("NOT back").drop("back"))
-        groups, round_, given = -(-groups // FAN_IN), round_ + 1, back
-        rest = packed.filter("back").select(*fields, "uid", F.floor(F.col("part") / FAN_IN).alias("part"))
-    out = done[0]
-    for df in done[1:]:
+        settled.append(now.filter("NOT back"))
+        n_settled += bins - back
+        before, given = now.filter("back"), back
+        groups, round_ = -(-groups // FAN_IN), round_ + 1
+        rest = before.select(*fields, "uid", F.floor(F.col("part") / FAN_IN).alias("part"))
+    out = settled[0]
+    for df in settled[1:]:
         out = out.unionByName(df)
-    return out
+    if n_settled > least and len(settled) > 1:
+        pieces_by_room = sorted((tuple(r) for r in out.filter("room > 0").groupBy("room").count().collect()), reverse=True)  # a row for each room
+        held = np.cumsum([n for _, n in pieces_by_room])
+        taken = int(np.searchsorted(held, partition_pieces, "right"))
+        if taken:
+            pool = F.col("room") >= pieces_by_room[taken - 1][0]
+            now = packed(out.filter(pool).select(*fields, "uid", F.lit(0).cast("long").alias("part")), round_ + 1, True)
+            if now.agg(F.max("bins")).first()[0] < out.filter(pool).select("sequence_id").distinct().count():
+                out = out.filter(~pool).unionByName(now)
+    return full.unionByName(out.select(*fields, "sequence_id", "offset", "bins", "bound"))
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
