@@ -1,7 +1,7 @@
 """WARC archives written from, and read into, a chunked record table.
 
 A record is never assembled. The writer cuts an oversized payload into a first record and continuation records of at most CHUNK bytes
-(WARC/1.1 segmentation); each is a gzip member of its own and one row, so archives can be read from any record on. The reader streams
+(WARC/1.1 segmentation); each is a gzip member of its own and one row (several where a url of megabytes makes long headers), so archives can be read from any record on. The reader streams
 an archive's lines out of Spark's text source, which unzips as it goes, and yields rows of record identifier, chunk number and at most CHUNK bytes.
 Digests are carried from chunk to chunk. Files are written by Spark's own writer and renamed through the store's own file system,
 so any store that Spark writes will do and a lost task is written again.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize, skew_join, table
 
 CHUNK = 1 << 16  # bytes of a record that are held at once
+MEMBER = 8 << 20  # bytes of a gzip member, unzipped
 BATCH = 4 << 20  # bytes of rows handed over at once
 BROADCAST_PAYLOADS = 200_000
 LINES = 256  # lines joined at once
@@ -79,16 +80,26 @@ def _records(page_id: int | None, uid: int, url: str | None, payload: memoryview
         yield [_headers([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{number}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], len(part)), part, b"\r\n\r\n"]
 
 
-def _member(pieces: list[bytes | memoryview]) -> bytes:
-    """The gzip member of a record without its last byte. That byte is the highest of the record's size, hence zero."""
-    zipped = zlib.compressobj(4, zlib.DEFLATED, 31)
-    out = b"".join([*map(zipped.compress, pieces), zipped.flush()])
-    return out[:-1]
+def _members(pieces: list[bytes | memoryview]) -> Iterator[bytes]:
+    """The gzip member of a record without its last byte, which is the highest of the member's size and hence zero.
+
+    A record is one member unless a url makes its headers pass MEMBER bytes; then it is several, one after another.
+    """
+    if sum(map(len, pieces)) <= MEMBER:
+        groups = [pieces]
+    else:
+        groups = [[memoryview(p)[low : low + MEMBER]] for p in pieces for low in range(0, len(p), MEMBER)]
+    for group in groups:
+        zipped = zlib.compressobj(4, zlib.DEFLATED, 31)
+        out = b"".join([*map(zipped.compress, group), zipped.flush()])
+        if out[-1]:
+            raise ValueError("a gzip member of 16 MiB or more")
+        yield out[:-1]
 
 
 def records(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The archives' rows: member, the gzip member of a record or segment but for its last byte, which is zero."""
-    if chunk >= 1 << 23:
+    """The archives' rows: member, a gzip member (of a record, a segment, or a piece of one with headers of over 8 MiB) but for its last byte, which is zero."""
+    if chunk >= MEMBER:
         raise ValueError("a segment must be shorter than 8 MiB")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(bytearray()))
     # uid only makes record identifiers unique; it follows from the files' splits
@@ -110,11 +121,12 @@ def records(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataF
                 payload = memoryview(html.as_buffer()) if html.is_valid else b""
                 refers = record_id(refers_to, refers_uid) if again else None
                 for pieces in _records(page_id, uid, url, payload, n, base32_sha1(bytes.fromhex(digest)), refers, chunk):
-                    out.append(_member(pieces))
-                    size += len(out[-1])
-                    if size >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-                        out, size = [], 0
+                    for member in _members(pieces):
+                        out.append(member)
+                        size += len(member)
+                        if size >= BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                            out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
@@ -204,7 +216,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string())
     names = [x.strip().split(" ")[0] for x in ROW.split(",")]
     page = lambda x: int(m[1]) if x and (m := _PAGE.match(x)) and m[1] else None
-    out, size, http = [], 0, b""
+    out, size, http, in_headers, open_record = [], 0, b"", False, None
     for headers, number, last, part in stream(_joined(batches)):
         kind = headers["warc-type"]
         if kind not in ("response", "revisit", "continuation"):
@@ -213,17 +225,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = int(headers.get("warc-segment-number", 1))
         named = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
         if segment == 1 and number == 0:
-            http, _, part = part.partition(b"\r\n\r\n")
+            http, in_headers = b"", True
+        if segment == 1 and in_headers:  # the headers of a foreign record may be longer than a chunk
+            http, ended, part = (http + part).partition(b"\r\n\r\n")
+            in_headers = not ended
+            if in_headers and not last:
+                continue
         row = [record, segment << 32 | number, kind, page(record), page(headers.get("warc-refers-to")), named]
         if kind == "revisit":
-            if number == 0:
+            if last:
                 stated = re.search(rb"(?im)^content-length:[ ]*([0-9]+)", http)
                 out.append((*row, None, int(stated[1]) if stated else None, named))
-        elif segment == 1 and number == 0 and last and "warc-segment-number" not in headers:
+        elif segment == 1 and last and "warc-segment-number" not in headers and (number == 0 or record != open_record):
             out.append((*row, None, len(part), base32_sha1(hashlib.sha1(part).digest())))
         else:
             out.append((*row, part, None, None))
-            size += len(part)
+            size, open_record = size + len(part), record
         if len(out) >= 4096 or size >= BATCH:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
             out, size = [], 0

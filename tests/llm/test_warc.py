@@ -100,3 +100,28 @@ def test_query_and_empty_table(spark, tmp_path):
     make(spark, []).write.parquet(f"{tmp_path}/none/pages.parquet")
     out = warc.op8_warc(spark, f"{tmp_path}/none")
     assert out.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] and out.count() == 0
+
+
+def test_urls_of_many_megabytes(spark, tmp_path):
+    """A url of 5.6 million two-byte letters is quoted to 34 MB of headers: several members, none of 16 MiB, and the archive is read back."""
+    rows = [(1, "http://a/" + "é" * 5_600_000, "x"), (2, "u", "x"), (3, "u", "y")]
+    path = str(tmp_path / "w")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert len(warc.records(df).collect()) > 3
+    warc.write_archives(df, path)
+    assert Counter(tuple(r)[:5] for r in warc.read_archives(spark, path).collect()) == wanted(rows)
+
+
+def test_headers_of_foreign_records_longer_than_a_chunk(spark, tmp_path):
+    """The body begins after the blank line, wherever the chunks end; a revisit's size is that which its long headers state."""
+    long = b"X-Long: " + b"h" * 150_000 + b"\r\n"
+    body = b"b" * 70_000
+    records = []
+    for n, (kind, content) in enumerate([("response", b"HTTP/1.1 200 OK\r\n" + long + b"\r\n" + body), ("response", b"HTTP/1.1 200 OK\r\n" + long + b"\r\n"), ("response", b"HTTP/1.1 200 OK\r\n" + long), ("revisit", b"HTTP/1.1 200 OK\r\n" + long + b"Content-Length: 7\r\n\r\n"), ("response", b"HTTP/1.1 200 OK\r\n\r\nsmall")]):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{n}>\r\nContent-Length: {len(content)}\r\n\r\n".encode()
+        records.append(gzip.compress(head + content + b"\r\n\r\n"))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(records))
+    got = Counter((r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    digest = lambda b: warc.base32_sha1(hashlib.sha1(b).digest())
+    assert got == Counter([("response", 70_000, digest(body)), ("response", 0, digest(b"")), ("response", 0, digest(b"")), ("revisit", 7, None), ("response", 5, digest(b"small"))])
