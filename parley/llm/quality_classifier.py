@@ -15,7 +15,7 @@ reads every document whole.
 Defined results: null and empty texts have score zero; documents without a rating are scored like the others; several ratings of
 a document count as their worst; without any rating all scores are zero and thresholds are the prior's; every feature of a rated document
 counts, however rare; repeated rows each get their own row; texts of any length are scored whole, by their distinct words; an empty table
-gives an empty table; other columns are ignored.
+gives an empty table; other columns are ignored. Of rows that share a rated doc_id one is fitted on.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def _fit_group(group: pa.Table) -> pa.Table:
 
 
 def rated_sample(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> DataFrame:
-    """doc_id, text, grade and weight of at most so many rated documents of each grade."""
+    """doc_id, text, grade and weight of at most so many rated documents of each grade: a row for each doc_id, that of the least text hash."""
     grade = F.when(F.max("toxic") == 1, 0).when(F.min("quality") == 0, 1).otherwise(2)
     rated = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(grade.alias("grade"))
     counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}  # three rows
@@ -119,7 +119,9 @@ def rated_sample(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     # at most three times per_grade rows of three numbers
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade", "weight")
+    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = own.groupBy("doc_id", "grade", "weight").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    return one.select("doc_id", "row.text", "grade", "weight")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:

@@ -57,3 +57,16 @@ def test_query_and_odd_tables(spark, tmp_path):
     assert len(out) == len(rows) and len({tuple(r) for r in out if r["doc_id"] == 1}) == 1
     assert all(r["score"] == 0 for r in out if r["doc_id"] in (2, 3)) and all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in out)
     assert C.op10_quality_classifier(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_repeated_rows_are_fitted_on_once(spark):
+    """20,000 rows of one rated doc_id are one row of the fitting task; of texts that differ, that of the least hash."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a"), (F.col("id") % 3).cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"t{i}") for i in range(2, 7)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, int(i == 3)) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    got = C.rated_sample(docs, labels, per_grade=2).collect()
+    assert len(got) <= 6 and len({r["doc_id"] for r in got}) == len(got)
+    one = C.rated_sample(docs, labels.filter("doc_id = 1")).collect()
+    assert [r["text"] for r in one] == [docs.filter("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]]
