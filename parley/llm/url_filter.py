@@ -2,8 +2,8 @@
 
 A rule is (verdict, host, path). It fits its host and all subdomains where the url's path starts with the rule's path. Of
 the rules that fit, the longest (host and path together, then the longer host, then block before allow) decides. A walk
-reads the host's labels from the last to the first and, at each host that ends a rule, the path's segments: its cost
-depends on the url, not on the number of rules.
+reads the host's labels from the last to the first and, at each host that ends a rule, the path's segments; rules that end within a segment
+are looked up by each length that such rules have, at most the segment's own. So the cost depends on the url, not on the number of rules.
 
 The trie is broadcast while it takes at most BROADCAST_BYTES as built, reckoned node by node as if rules shared none. Larger lists, and lists
 that come as a DataFrame, are not broadcast: urls meet them in equi joins on (host suffix, path), see filter_by_join. Both ways give the same.
@@ -15,6 +15,7 @@ gives an empty table, an empty list no rule; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,12 +30,13 @@ NODE_BYTES, RULE_BYTES = 320, 400  # a dict of one entry with its key; a rule's
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(CAPITALS, SMALL)
+NO_RULES: tuple[dict, list] = ({}, [])
 
 
 class Trie:
     """Nodes are dicts. Host nodes hold labels; under the key "/" is the root of a host's paths.
 
-    A path node holds whole segments; under the key "" are its rules, as (rest of the path without a slash, rule).
+    A path node holds whole segments; under the key "" are its rules by the rest of their path, which has no slash, and the lengths of these rests.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -47,7 +49,11 @@ class Trie:
             *segments, rest = path.split("/")
             for segment in segments:
                 node = node.setdefault("/" + segment, {})
-            node.setdefault("", []).append((rest, (len(host) + len(path), len(host), verdict == "block", verdict, host + path)))
+            by_rest, lengths = node.setdefault("", ({}, []))
+            rule = (len(host) + len(path), len(host), verdict == "block", verdict, host + path)
+            by_rest[rest] = max(rule, by_rest.get(rest, rule))
+            if len(rest) not in lengths:
+                insort(lengths, len(rest))
 
     def match(self, host: str, path: str) -> tuple | None:
         """The deciding rule's (length, host length, is block, verdict, text), or None."""
@@ -61,9 +67,11 @@ class Trie:
             if (at := node.get("/")) is not None:
                 segments = path.split("/") if segments is None else segments
                 for i, segment in enumerate(segments):
-                    for rest, rule in at.get("", ()):
-                        if segment.startswith(rest) and (best is None or rule > best):
-                            best = rule
+                    by_rest, lengths = at.get("", NO_RULES)
+                    for n in reversed(lengths):  # of one node the longest rest that fits decides
+                        if n <= len(segment) and (rule := by_rest.get(segment[:n])) is not None:
+                            best = rule if best is None else max(best, rule)
+                            break
                     at = at.get("/" + segment) if i + 1 < len(segments) else None
                     if at is None:
                         break

@@ -64,3 +64,25 @@ def test_query_and_empty_tables(spark, tmp_path):
         assert [tuple(r) for r in url_filter.filter_urls(none, rules, broadcast_bytes=bound).collect()] == [(1, "a", "/", None, "allow")]
     spark.createDataFrame([(1, "http://x.net/es/"), (1, "http://x.net/es/"), (None, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, url_filter.op4_url_filter(spark, str(tmp_path)).collect()), key=repr) == [(1, "x.net", "/es/", "net/es/", "block")] * 2 + [(None, "", "", None, "allow")]
+
+
+def test_cost_of_a_url_does_not_grow_with_sibling_rules():
+    """Ten times the rules that end within the same segment, and a url is judged in about the same time."""
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        trie = url_filter.Trie([("block", "a.com", f"/p{i:06d}") for i in range(n)])
+        best = 9.0
+        for _ in range(5):
+            began = time.perf_counter()
+            for i in range(2_000):
+                assert trie.match("www.a.com", f"/p{i:06d}x/y")[4] == f"a.com/p{i:06d}"
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 4 * took[0]
+
+
+def test_the_same_path_in_allow_and_block():
+    trie = url_filter.Trie([("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", "a.com", "/"), ("allow", "b.a.com", "/x")])
+    assert trie.match("a.com", "/xy")[3] == "block" and trie.match("a.com", "/y")[3] == "allow" and trie.match("c.b.a.com", "/x")[3] == "allow"
