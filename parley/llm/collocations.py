@@ -6,10 +6,11 @@ Texts are lower-cased (A-Z), parted into pieces at punctuation and line ends, an
    grams' counts); then, in a second sketch, grams of three to five words whose pairs' cells all reach the threshold. Sketches are summed by Spark as
    rows (cell, count), already summed within a task; what goes to the tasks of the next step is a bitmap of the cells that reach the threshold.
 2. Candidates are the distinct grams all of whose inner grams have such cells. The bounds are upper bounds, so no phrase that reaches the threshold is missed.
+   All lines are read for them; a share of the lines is read first, and what it shows (a bounded set) is broadcast so that tasks need not list it again.
 3. Candidates are dealt out into parts of about PART_BYTES of text. Each part becomes one Aho-Corasick automaton a language, its phrases guarded by spaces on
    both sides; shards of documents are scanned for overlapping matches and the counts of all shards summed. Thresholds apply to these exact counts.
 
-Memory: bitmaps of up to 2^SKETCH_BITS bits (64 MiB), by the amount of text; a part's automata; a block of BLOCK_CHARS of text, or one text. In a
+Memory: bitmaps of up to 2^SKETCH_BITS bits (64 MiB), by the amount of text; a part's automata; a block of BLOCK_CHARS of text, or one line. In a
 larger corpus the sketches let more candidates through, which costs further parts, each a scan of the texts; results are exact all the same.
 
 Defined results: null texts are empty, a null language is und; empty texts, and an empty table, give no rows; repeated rows each count; texts and words of
@@ -35,8 +36,10 @@ from .common import BROADCAST_ROWS, materialize, table, worker_cache
 LEAST_COUNT, LONGEST, TOP = 100, 5, 2000
 SKETCH_BITS = 29
 PART_BYTES = 4 << 20
-BLOCK_CHARS = 4 << 20
-LEXICON_WORDS = 400_000  # whose counts a task holds before it hands them on
+BLOCK_CHARS = 1 << 20
+LEXICON_WORDS = 100_000  # whose counts a task holds before it hands them on
+KNOWN_LINES, KNOWN, KNOWN_BYTES = 32, 150_000, 200  # one line in so many shows candidates that need not be listed by each task; how many, and of what length
+SUMMED = 4096  # counts of a row of the sums
 WORD_SLOTS = 15  # a bitmap's rows hold 2^15 cells
 
 END = b"."  # stands between pieces: a full stop is never part of a word
@@ -68,7 +71,7 @@ class Lexicon(dict):
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(language, words of some of its texts, END between texts), in blocks of about BLOCK_CHARS."""
+    """(language, words of some of its lines, END between lines), in blocks of about BLOCK_CHARS."""
     for batch in batches:
         open_: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
@@ -172,14 +175,14 @@ def _sketch(maps: list[np.ndarray], longest: int, bits: int):
     return run
 
 
-def _list_candidates(maps: list, longest: int, bits: int):
-    """The distinct grams of a task all of whose cells reach the threshold."""
+def _list_candidates(maps: list, known: object, longest: int, bits: int):
+    """The distinct grams of a task all of whose cells reach the threshold, but for those that known (a broadcast set, or None) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Lexicon] = {}
-        seen: set[tuple[str, str]] = set()
+        lexicons: dict[str, Lexicon] = {}
+        listed, seen = known.value if known else frozenset(), set()
         for lang, words in blocks(batches):
-            lexicon = _lexicon(known, lang)
+            lexicon = _lexicon(lexicons, lang)
             grams = Grams(lexicon, words, bits)
             inner, names, new = grams.of_words(maps[0].value), grams.ids, []
             for n in range(2, longest + 1):
@@ -188,10 +191,11 @@ def _list_candidates(maps: list, longest: int, bits: int):
                 # grams are told apart by the numbers of both their inner grams, so equal numbers are equal words
                 _, first, number = np.unique(names[at] << 32 | names[at + 1], return_index=True, return_inverse=True)
                 for i in at[first].tolist():
-                    phrase = lang, b" ".join(words[i : i + n]).decode()
-                    if phrase not in seen:
-                        seen.add(phrase)
-                        new.append(phrase)
+                    phrase = b" ".join(words[i : i + n]).decode()
+                    key = f"{phrase}\n{lang}"  # no phrase holds a line end
+                    if key not in listed and key not in seen:
+                        seen.add(key)
+                        new.append((lang, phrase))
                 inner, names = grams.marks(at, len(inner)), np.zeros(len(inner), np.int64)
                 names[at] = number
             for low in range(0, len(new), 50_000):
@@ -215,7 +219,7 @@ def automata(phrases: list[tuple[str, str]]) -> dict:
 
 
 def _scan(shared, key: str):
-    """Matches of a part's phrases, overlapping ones too, summed within a task."""
+    """Matches of a part's phrases, overlapping ones too: a task's counts of SUMMED phrases a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, cache = shared.value, worker_cache("collocations")
@@ -227,10 +231,26 @@ def _scan(shared, key: str):
             if lang in cache[key]:
                 text = f" {b' '.join(words).decode()} "
                 counts += np.bincount(np.fromiter(map(itemgetter(1), cache[key][lang].iter(text)), np.int64), minlength=len(phrases))
-        used = np.flatnonzero(counts).tolist()
-        for low in range(0, len(used), 50_000):
-            part = used[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([phrases[i][0] for i in part]), pa.array([phrases[i][1] for i in part]), pa.array(counts[part])], names=["lang", "phrase", "n"])
+        if counts.any():
+            parts = [counts[low : low + SUMMED].tobytes() for low in range(0, len(counts), SUMMED)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts)], names=["block", "counts"])
+
+    return run
+
+
+def _added(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
+    return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()])})
+
+
+def _named(shared, least: int):
+    """The phrases of a block that occur at least so often, from the sums of its counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        block, total = group.column("block")[0].as_py(), sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
+        found = np.flatnonzero(total >= max(1, least))
+        chosen = [shared.value[block * SUMMED + i] for i in found.tolist()]
+        return pa.table({"lang": pa.array([x for x, _ in chosen], pa.string()), "phrase": pa.array([x for _, x in chosen], pa.string()), "n": pa.array(total[found])})
 
     return run
 
@@ -249,9 +269,10 @@ def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
 def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, sketch_bits: int = SKETCH_BITS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): lang, phrase and n. All words, and the phrases of two to longest words that occur at least so often."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(sketch_bits, max(16, math.ceil(math.log2(size / 4 + 1))))
+    # no phrase passes a line end, so lines go to the workers one by one, which keeps batches of rows small
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(sketch_bits, max(16, math.ceil(math.log2(size / 8 + 1))))
     words = texts.mapInArrow(lambda batches: _count_words(batches, bits), "lang string, word string, cell long, n long")
     words = materialize(words.groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")), "words")
     share = spark.sparkContext.broadcast
@@ -260,15 +281,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
         cells_ = texts.mapInArrow(_sketch(list(maps), to, bits), "cell long, n long") if to > len(maps) else None
         reached = cells_.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("cell") if cells_ else words.limit(0).select("cell")
         maps.append(share(_bitmap(reached, bits)))
-    candidates = materialize(texts.mapInArrow(_list_candidates(maps, longest, bits), "lang string, phrase string").distinct(), "candidates")
+    # Most candidates occur in every task. Those that a sample of lines shows are known to all tasks, which then list the others only.
+    names = "lang string, phrase string"
+    sample = texts.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(KNOWN_LINES)) == 0).mapInArrow(_list_candidates(maps, None, longest, bits), names)
+    shown = materialize(sample.distinct().filter(F.octet_length("phrase") + F.octet_length("lang") <= KNOWN_BYTES).limit(KNOWN), "shown")
+    known = share(frozenset(f"{r['phrase']}\n{r['lang']}" for r in shown.toLocalIterator()))  # KNOWN strings of KNOWN_BYTES at most
+    others = texts.mapInArrow(_list_candidates(maps, known, longest, bits), names).distinct()
+    candidates = materialize(shown.unionByName(others), "candidates")
+    known.unpersist()
     total = candidates.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
     parts = -(-total // part_bytes)
     dealt = candidates.withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, parts))))
     counted = spark.createDataFrame([], "lang string, phrase string, n long")
+    groups = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # tasks' counts are summed in two levels
     for part in range(parts):
         chosen = share([tuple(r) for r in dealt.filter(F.col("part") == part).select("lang", "phrase").collect()])  # about part_bytes of text
-        found = texts.mapInArrow(_scan(chosen, uuid.uuid4().hex), "lang string, phrase string, n long")
-        sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        found = texts.mapInArrow(_scan(chosen, uuid.uuid4().hex), "block long, counts binary").withColumn("g", F.spark_partition_id() % groups)
+        sums = found.groupBy("g", "block").applyInArrow(_added, "block long, counts binary").groupBy("block").applyInArrow(_named(chosen, least), "lang string, phrase string, n long")
         counted = counted.unionByName(materialize(sums, "phrases"))
         chosen.unpersist()
     for m in maps:
