@@ -207,7 +207,9 @@ def check_release_rows(rows: DataFrame, splits: DataFrame, k: int) -> DataFrame:
         "split must be one of the three": F.col("split").isin(*SPLITS),
         "fold must be under k, and null in test": F.when(F.col("split") == "test", fold.isNull()).otherwise(fold.isNotNull() & (fold >= 0) & (fold < k)),
     }
-    out = violations(rows, "seg_id", named).unionByName(duplicate_ids(rows, "seg_id")).unionByName(gaps(rows)).unionByName(in_several(rows))
+    out = violations(rows, "seg_id", named).unionByName(duplicate_ids(rows, "seg_id")).unionByName(gaps(rows)).unionByName(in_several(rows)).unionByName(in_several(rows, value="fold"))
+    at = F.format_string("%s@%s", F.col("meeting"), F.col("position").cast("string"))
+    out = out.unionByName(duplicate_ids(rows.select(at.alias("at")), "at", "two rows at one position"))
     own = rows.groupBy("meeting").agg(F.min("split").alias("own_split"), F.min("fold").alias("own_fold"), F.lit(1).alias("r"))
     both = own.join(splits.withColumn("s", F.lit(1)), "meeting", "full_outer")
     agree = {"a declared meeting has no rows": F.col("r").isNotNull(), "rows of an undeclared meeting": F.col("s").isNotNull()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ERROR_FLAGS
 from .batching import before_after, flag_counts, markdown_table
-from .links import nearest_reply
+from .links import nearest_reply, notes
 
 
 def _count(rows: DataFrame, section: str, item) -> DataFrame:
@@ -61,3 +61,30 @@ def cleaning_counts(annotated: DataFrame, links: DataFrame, cleaned: DataFrame,
 def render(title: str, counts: DataFrame) -> str:
     """Markdown, in order of sections and items, hence the same for the same counts."""
     return f"# {title}\n\n" + markdown_table(counts, "Counts")
+
+
+def reach(counts: DataFrame) -> DataFrame:
+    """replies, within (those no more than five rows after their proposal) and share, null where there are no replies, from annotation_counts."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    found = counts.filter("section = 'distance'").agg(n(F.lit(True)).alias("replies"), n(F.col("item") == "<=5").alias("within"))
+    return found.withColumn("share", F.col("within") / F.nullif("replies", F.lit(0)))
+
+
+def annotation_report(rows: DataFrame, links: DataFrame, expected: dict[str, int] | None = None) -> str:
+    """Markdown: counts, what a model that sees the next five rows can reach, notes on pairs, and how counts compare with those expected.
+
+    expected names a section, or a section and an item with a slash between them, and the number that belongs there.
+    """
+    counts = annotation_counts(rows, links).cache()  # a row for each label, status and the like
+    out = [render("Annotation", counts)]
+    r = reach(counts).first()
+    out.append(f"## Reach\n\n{r['within']} of {r['replies']} replies come within five rows" + ("" if r["share"] is None else f", {100 * r['share']:.1f} %") + ".\n")
+    out.append("## Notes on pairs\n\n" + "".join(f"- {k}: {v}\n" for k, v in sorted(notes(rows).first().asDict().items())))
+    if expected:
+        found: dict[str, int] = {}
+        for row in counts.collect():
+            for name in (row["section"], f"{row['section']}/{row['item']}"):
+                found[name] = found.get(name, 0) + row["n"]
+        out.append("## Against what was expected\n\n" + "".join(f"- {k}: {found.get(k, 0)}, expected {n}: {'the same' if found.get(k, 0) == n else 'OTHER'}\n" for k, n in sorted(expected.items())))
+    counts.unpersist()
+    return "\n".join(out)

@@ -40,6 +40,29 @@ def is_bad(strict: bool = False) -> Column:
     return F.col("v").isNull() & ~blank
 
 
+def _pattern(kind: DataType) -> str:
+    """What schema_of_variant says of values of a type, as a pattern; null fits every type."""
+    if isinstance(kind, StructType):
+        return "VOID|OBJECT<" + ", ".join(f"{f.name}: (?:{_pattern(f.dataType)})" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
+    if isinstance(kind, ArrayType):
+        return f"VOID|ARRAY<(?:{_pattern(kind.elementType)})>"
+    names = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "bigint": "BIGINT", "double": r"BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\)"}
+    return f"VOID|{names[kind.simpleString()]}"
+
+
+def fits(schema: str) -> Column:
+    """Whether a line of read_lines is an object of exactly the schema's fields and types: text is no number, true is no time, nothing is left out or added."""
+    whole = _pattern(StructType.fromDDL(schema)).removeprefix("VOID|")
+    return F.coalesce(F.schema_of_variant("v").rlike(f"^{whole}$"), F.lit(False))
+
+
+def read_exact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Typed rows and their line: raises for the first line, by file and number, that is blank, no JSON, or not exactly of the schema. Triggers a job for the check."""
+    lines = read_lines(spark, path)
+    raise_bad(lines, is_bad(strict=True) | ~fits(schema))
+    return line_numbers(lines, lines).select(F.from_json("value", schema).alias("r"), "line").select("r.*", "line")
+
+
 def bad_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """file, line and value of each bad line."""
     return line_numbers(lines.filter(is_bad(strict)), lines).select("file", "line", "value")

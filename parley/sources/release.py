@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batching, checks, metrics
 from ..schemas import LABELS, LINK, RELEASED, SPLITS, STATUSES
-from .jsonl import raise_bad, read_jsonl, read_lines, to_lines, what_is_wrong
+from .jsonl import raise_bad, read_exact, read_jsonl, read_lines, to_lines, what_is_wrong
 
 CONTENT = ("links.jsonl", "metadata.json", "rows.jsonl", "splits.json")
 VERSION = r"v[1-9][0-9]*"
@@ -44,6 +44,20 @@ def compare_hashes(found: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select("name", F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("want"), "matches").otherwise("DIFFERS").alias("state"))
 
 
+def compare_manifests(found: Mapping, expected: Mapping) -> dict[str, str]:
+    """matches, DIFFERS or missing for each file that an expected manifest names, and for the archive and the release as a whole."""
+    state = lambda got, want: "missing" if got is None else "matches" if got == want else "DIFFERS"
+    out = {name: state(found["files"].get(name, {}).get("sha256"), entry["sha256"]) for name, entry in expected["files"].items()}
+    return {**{k: state(found.get(k), expected[k]) for k in ("source_archive_sha256", "release_fingerprint") if k in expected}, **out}
+
+
+def require_same(found: Mapping, expected: Mapping) -> None:
+    """Raises unless a build gave what the expected manifest records."""
+    other = {k: v for k, v in compare_manifests(found, expected).items() if v != "matches"}
+    if other:
+        raise ValueError("the build is not the recorded one: " + ", ".join(f"{k} {v}" for k, v in sorted(other.items())))
+
+
 def release_counts(rows: DataFrame, links: DataFrame) -> dict:
     """The counts of a release's metadata; every label, split and status is there, absent ones with 0."""
     as_dict = lambda df: {r[0]: r[1] for r in df.collect()}  # noqa: E731  a row for each label, split, status or flag
@@ -123,8 +137,9 @@ def load_release(spark: SparkSession, folder: str) -> dict:
     if not re.fullmatch(VERSION, str(metadata.get("data_version"))):
         raise ValueError("metadata.data_version must be a version such as v1")
     checks.check_split_file(splits_file)
-    rows = read_jsonl(spark, f"{folder}/rows.jsonl", RELEASED, strict=True)
-    links = read_jsonl(spark, f"{folder}/links.jsonl", LINK, strict=True)
+    rows, links = read_exact(spark, f"{folder}/rows.jsonl", RELEASED), read_exact(spark, f"{folder}/links.jsonl", LINK).drop("line")
+    checks.raise_first(checks.check_arrival(rows, ("meeting", "position"), "line"))
+    rows = rows.drop("line")
     splits = spark.createDataFrame([(m, x["split"], x["fold"]) for m, x in splits_file["meetings"].items()], "meeting string, split string, fold int")
     checks.raise_first(checks.check_release_rows(rows, splits, splits_file["k"]).unionByName(checks.check_links(rows, links)))
     return {"rows": rows, "links": links, "splits": splits, "metadata": metadata}

@@ -1,11 +1,14 @@
 """From a corpus of files to a release: two builds are the same to the byte, and what is broken is refused."""
 
 import hashlib
+import json
+import shutil
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from parley import __main__ as command
 from parley.operators import checks, reports, splits
 from parley.plans import corpus
 from parley.sources import annotations, release
@@ -144,3 +147,71 @@ def test_provenance_and_meeting_ids(spark, tmp_path):
     p.write_text('<c><observations><observation name="a"/><observation name="a"/></observations></c>')
     with pytest.raises(Exception, match="occurs twice"):
         annotations.read_meeting_ids(spark, str(p)).collect()
+
+
+def rewritten(built, tmp_path, name, change):
+    """A copy of the release with one file's lines changed and its checksums made anew."""
+    folder = shutil.copytree(built[0] / "v1", tmp_path / "v1")
+    lines = (folder / name).read_text().splitlines()
+    (folder / name).write_text("".join(x + "\n" for x in change(lines)))
+    (folder / "checksums.sha256").write_text("".join(f"{release.file_sha256(folder / n)}  {n}\n" for n in release.CONTENT))
+    return str(folder)
+
+
+def fields(n, **values):
+    def change(lines):
+        row = json.loads(lines[n])
+        lines[n] = json.dumps({k: v for k, v in (row | values).items() if v != "GONE"})
+        return lines
+
+    return change
+
+
+FILE_CASES = [
+    ("rows.jsonl", fields(2, comment="GONE"), "rows.jsonl:3: not as expected"), ("rows.jsonl", fields(0, more=1), "rows.jsonl:1: not as expected"), ("rows.jsonl", fields(4, start=True), "rows.jsonl:5: not as expected"),
+    ("rows.jsonl", fields(0, general_tags="x"), "rows.jsonl:1: not as expected"), ("rows.jsonl", fields(0, words=[{"text": "a"}]), "rows.jsonl:1: not as expected"), ("rows.jsonl", fields(0, text=5), "rows.jsonl:1: not as expected"), ("rows.jsonl", fields(0, position=1.5), "rows.jsonl:1: not as expected"),
+    ("rows.jsonl", lambda x: [x[1], x[0], *x[2:]], "2: rows arrive out of order"), ("rows.jsonl", fields(1, position=0), "out of order|one position"), ("rows.jsonl", fields(1, fold=1), "more than one fold|fold must be"), ("rows.jsonl", lambda x: [x[0], "", *x[1:]], "rows.jsonl:2: a blank line"),
+    ("links.jsonl", fields(1, adjacency_tokens="1a"), "links.jsonl:2: not as expected"), ("links.jsonl", fields(0, pair_group=5), "links.jsonl:1: not as expected"), ("links.jsonl", fields(0, status="GONE"), "links.jsonl:1: not as expected"), ("links.jsonl", fields(0, responder_chains=[["a", 1]]), "links.jsonl:1: not as expected"),
+    ("links.jsonl", lambda x: [*x, x[0]], "not unique|a chain is out of order"), ("links.jsonl", lambda x: x[1:], "a proposal has no link"), ("splits.json", lambda x: ['{"k": 2,', *x[1:2], *x[1:]], "splits.json: the key 'k' occurs twice"),
+]
+
+
+@pytest.mark.parametrize("name,change,said", FILE_CASES)
+def test_releases_that_are_refused(spark, built, tmp_path, name, change, said):
+    """Exact fields and types, order and repeats, found when a release is read, whatever its checksums say."""
+    with pytest.raises(ValueError, match=said):
+        release.load_release(spark, rewritten(built, tmp_path, name, change))
+
+
+def test_an_untouched_copy_is_read(spark, built, tmp_path):
+    assert release.load_release(spark, rewritten(built, tmp_path, "rows.jsonl", lambda x: x))["rows"].count() == 24
+
+
+def test_report_of_annotations(spark, built):
+    out, _ = built
+    table = lambda name: spark.read.parquet(str(out / "work" / name))
+    text = reports.annotation_report(table("annotated"), table("links"), {"label/cs": 6, "several targets": 9, "status/ok": 6})
+    assert "6 of 6 replies come within five rows, 100.0 %." in text and "- numbering_restarts: 0" in text
+    assert "- label/cs: 6, expected 6: the same" in text and "- several targets: 0, expected 9: OTHER" in text
+    assert reports.reach(reports.annotation_counts(table("annotated"), table("links").limit(0))).first()["share"] is None
+
+
+def test_manifests_are_compared(built):
+    _, found = built
+    release.require_same(found, found)
+    other = {**found, "files": {**found["files"], "rows.jsonl": {"sha256": "0"}, "more.jsonl": {"sha256": "0"}}, "release_fingerprint": "0"}
+    assert {k: v for k, v in release.compare_manifests(found, other).items() if v != "matches"} == {"release_fingerprint": "DIFFERS", "rows.jsonl": "DIFFERS", "more.jsonl": "missing"}
+    with pytest.raises(ValueError, match="more.jsonl missing, release_fingerprint DIFFERS, rows.jsonl DIFFERS"):
+        release.require_same(found, other)
+
+
+def test_command_line(spark, root, built, tmp_path, capsys):
+    """The build by command equals the build by call; a wrong hash or another manifest ends with 1 and the reason."""
+    sha = hashlib.sha256((root / "a.zip").read_bytes()).hexdigest()
+    args = ["build", "--raw-root", str(root), "--archive", str(root / "a.zip"), "--version", "v1", "--counts", '{"train": 4, "val": 1, "test": 1}', "--folds", "2"]
+    (tmp_path / "m.json").write_text(json.dumps(built[1]))
+    done = [*args, "--sha256", sha, "--work", str(tmp_path / "w"), "--target", str(tmp_path / "v1"), "--expect", str(tmp_path / "m.json"), "--manifest", str(tmp_path / "own.json")]
+    assert command.run(spark, done) == 0 and json.loads((tmp_path / "own.json").read_text()) == built[1] and capsys.readouterr().out.strip() == built[1]["release_fingerprint"]
+    assert command.run(spark, [*args, "--sha256", "0" * 64, "--work", str(tmp_path / "x"), "--target", str(tmp_path / "v2")]) == 1 and "not the recorded archive" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        command.run(spark, ["build"])
