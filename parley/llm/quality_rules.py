@@ -32,8 +32,9 @@ PRIOR_ROWS = 50  # ten for each feature
 BINS = 16  # distance bins to each doubling
 FEATURES = ("f_length", "f_symbol", "f_upper", "f_lines", "f_repeat")
 P = len(FEATURES)
-#: Standard deviations added to each feature's own, under half of what clean text shows over all: most texts have no symbol and repeat
-#: nothing, and where the central rows are alike no covariance could be inverted.
+#: Standard deviations added to each feature's own, set by hand: most texts have no symbol and repeat nothing, and where the central rows are alike
+#: no covariance could be inverted. For symbols, repeated lines and repeated words the central rows of clean text have no spread at all, so that these
+#: floors, and not an estimate, decide how far such a text may be from its group; for length and capitals they are about as large as the estimates.
 FLOORS = (0.03, 0.05, 0.03, 0.05, 0.06)
 #: The 0.9999999 and 0.975 quantiles of the chi-squared distribution with five degrees of freedom.
 CUTOFF, REWEIGHT = 40.863, 12.8325
