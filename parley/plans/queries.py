@@ -822,7 +822,7 @@ def transcript_problems(spark, sf_dir):
     return parse.transcript_problems(*_two_part_acts(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s|]+'), lambda x: x <> '') AS w FROM conversations), p AS (SELECT *, len(w) // 2 AS half, turn % 5 IN (0, 4) AS fits FROM t)
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\\s|]+'), lambda x: x <> '') AS w FROM conversations), p AS (SELECT *, len(w) // 2 AS half, turn % 5 IN (0, 4) AS fits FROM t)
 SELECT conv_id || '-c' || turn % 3 || format('_{:07d}_{:07d}_p{}', turn * 10000, turn * 10000 + 9000, i + 1) AS seg_id, (CASE WHEN NOT fits THEN '' WHEN i = 0 THEN array_to_string(w[1:half], ' ') ELSE array_to_string(w[half + 1:], ' ') END) AS text,
  CASE WHEN fits THEN 'transcript_word_boundary' ELSE 'transcript_proportional' END AS timing_method, NOT fits AS unresolved FROM p, (SELECT unnest([0, 1]) AS i)""")
 def split_by_transcripts(spark, sf_dir):
