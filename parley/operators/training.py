@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import LABELS, TARGETS
+from ..sources.shared import written
 from . import batching, metrics
 
 BLOCK = 4096  # numbers of one partial sum; a row of the aggregation
@@ -229,3 +231,22 @@ def train(steps: DataFrame, validation: DataFrame, size: int, classes: Sequence[
             best = {"epoch": epoch, "score": score, "model": model}
         log({"type": "epoch", "epoch": epoch, "train_loss": loss_sum / sum(batches_in.values()), "macro_f1": score, "per_class_f1": by_class, "is_best": best["epoch"] == epoch})
     return {"model": model, "best_model": best["model"], "epoch": best["epoch"], "score": best["score"], "history": history}
+
+
+def two_stages(rows: DataFrame, validation: DataFrame, size: int, plan: Plan, key: str = "seg_id") -> dict:
+    """Train a model of target or other and one of the six targets, and combine their scores on validation to seven labels.
+
+    rows and validation have key, label, columns, weights and chars. The second model learns from targets only and is scored on them only. Returns both
+    runs (first, second), combined (key, scores, label) and macro_f1 over the six targets.
+    """
+    other = LABELS[-1]
+    is_target = F.col("label") != other
+    first_steps = step_table(rows.withColumn("y", is_target.cast("int")), plan, key)
+    first = train(written(first_steps, "steps", "step"), validation.withColumn("label", F.when(is_target, "target").otherwise(other)), size, (other, "target"), plan, key, ("target",))
+    own = rows.filter(is_target).withColumn("y", F.array_position(F.array(*map(F.lit, TARGETS)), F.col("label")).cast("int") - 1)
+    second = train(written(step_table(own, plan, key), "steps", "step"), validation.filter(is_target), size, TARGETS, plan, key)
+    one = predict(validation, first["best_model"], (other, "target"), key).select(key, F.col("scores")[other].alias("p_other"), F.col("scores")["target"].alias("p_target"))
+    two = predict(validation, second["best_model"], TARGETS, key).select(key, F.transform(F.array(*map(F.lit, TARGETS)), lambda x: F.element_at("scores", x)).alias("p"))
+    combined = metrics.combine_stages(one, two, key)
+    classes = metrics.per_class(metrics.pair_counts(validation.select(key, "label"), combined, key))
+    return {"first": first, "second": second, "combined": combined, "macro_f1": metrics.macro_f1(classes, TARGETS).first()["macro_f1"]}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import training as M
+from parley.schemas import LABELS
 from parley.sources.shared import written
 
 CLASSES = ("a", "b", "c")
@@ -126,3 +127,18 @@ def test_gradient_of_no_rows(spark):
     df = rows(spark).withColumn("share", F.lit(1.0)).limit(0)
     up, loss = M.gradient(df, np.ones((13, 3)))
     assert not up.any() and up.shape == (13, 3) and loss == 0
+
+
+def test_two_stages(spark):
+    """Both models learn, the second from targets only, and each row's seven scores are those of the two stages."""
+    rng = np.random.default_rng(6)
+    out = []
+    for i in range(240):
+        y = int(rng.integers(7))
+        out.append((i, LABELS[y], sorted({y, int(rng.integers(7, 12))}), len(LABELS)))
+    df = spark.createDataFrame(out, "seg_id long, label string, columns array<int>, chars int").withColumn("weights", F.transform("columns", lambda _: F.lit(1.0)))
+    found = M.two_stages(df.filter("seg_id >= 60"), df.filter("seg_id < 60"), 12, M.Plan(epochs=6, batch_size=16, rate=0.3))
+    rows = found["combined"].collect()
+    assert sorted(r["seg_id"] for r in rows) == list(range(60)) and all(sum(r["scores"]) == pytest.approx(1) and len(r["scores"]) == 7 for r in rows)
+    assert all(r["label"] == LABELS[int(np.argmax(r["scores"]))] for r in rows) and found["macro_f1"] > 0.9
+    assert found["first"]["model"].shape == (13, 2) and found["second"]["model"].shape == (13, 6) and found["second"]["score"] > 0.9
