@@ -174,6 +174,10 @@ _AT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?")
 _DOT = re.compile(r"(?i)[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?|(?<=[0-9])[\x20]++dot[\x20]++(?=[0-9])")
 _LABEL = r"[A-Za-z0-9-]++"
 _SAID = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[\x20]++at[\x20]++|@){_LABEL}(?:(?:[\x20]++dot[\x20]++|\.){_LABEL})*(?:[\x20]++dot[\x20]++|\.)(?:{'|'.join(LAST_LABELS)})\b")
+# evidence that is sought in lower-case text before a pattern is: what every match of it must show
+_NEXT_UNIT = re.compile(rf"[\x20,-]++(?:{'|'.join(REPEATS)}|{_WORD}|[0-9])")
+_ENDING = re.compile(rf"\.(?=[a-z])(?:{'|'.join(LAST_LABELS)})\b")
+_CASE_ODD = "\u017f\u0130\u0131\u212a"  # they match s, i and k without regard to case, but their lower-case text has other characters
 # only the first of a run of spaces starts a gap, so that a run is read once
 _GAP_AT, _GAP_DOT = re.compile(r"(?i)(?<!\x20)[\x20]++at[\x20]++"), re.compile(r"(?i)(?<!\x20)[\x20]++dot[\x20]++")
 
@@ -200,6 +204,24 @@ def _has_odd(text: str) -> bool:
     return "\u00ad" in text
 
 
+def _spelled_evidence(low: str) -> bool:
+    """Whether some digit word has a unit after it, or is preceded by a digit; one of a run of units must."""
+    for word in DIGIT_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+                if low[end : end + 1] in (" ", ",", "-") and _NEXT_UNIT.match(low, end):
+                    return True
+                before = at
+                while before and low[before - 1] in " ,-":
+                    before -= 1
+                if before and low[before - 1] in "0123456789":
+                    return True
+            at = low.find(word, end)
+    return False
+
+
 def normalise(text: str) -> Tape | None:
     """The last tape of the cascade, or None where no transducer has anything to rewrite."""
     odd = _has_odd(text)
@@ -207,8 +229,9 @@ def normalise(text: str) -> Tape | None:
     # each first test is one that the pattern's matches pass
     brackets = any(map(text.__contains__, "[({<")) and bool(_AT.search(text) or _DOT.search(text))
     dotted = " dot " in low and _DOT.search(text) is not None
-    spelled = any(map(low.__contains__, DIGIT_WORDS)) and any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(text))
-    said = (" at " in low or " dot " in low) and _SAID.search(text) is not None
+    unsure = any(map(text.__contains__, _CASE_ODD))
+    spelled = (unsure or _spelled_evidence(low)) and any(_DIGIT_WORD.search(m[0]) for m in _SPELLED.finditer(text))
+    said = (" dot " in low or " at " in low and (unsure or _ENDING.search(low) is not None)) and _SAID.search(text) is not None
     if not (odd or brackets or dotted or spelled or said):
         return None
     tape = Tape(text.translate(_ONE_FOR_ONE) if odd else text)  # this keeps all places
