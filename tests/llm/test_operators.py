@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parley.llm import bpe, common, components, exact_dedup, lm_score, minhash, packing, pii, quality_classifier, quality_rules, simhash, url_filter, warc
 
@@ -440,6 +441,60 @@ def test_near_stage_links_similarity_of_four_fifths(spark, corpus):
     assert Counter(r["doc_id"] for r in got) == Counter(None if none else doc for none, doc in least.values())
 
 
+def template_pages(n, rng):
+    """n sets of 500 shingles of a template and 60 to 80 own ones: similar by less than 0.8 but for the few with least own ones."""
+    template = np.arange(500, dtype=np.uint64)
+    return {i: np.concatenate([template, np.arange(10**6 + 1000 * i, 10**6 + 1000 * i + rng.randint(60, 80), dtype=np.uint64)]) for i in range(n)}
+
+
+def test_near_stage_pairs_of_template_pages_do_not_grow_with_the_square(spark):
+    met = []
+    for n in (60, 120):
+        sets = template_pages(n, random.Random(13))
+        members = [(i, len(x), i if len(x) > 562 else -1) for i, x in sets.items()]  # up to 562 and 562 are linked
+        classes = spark.createDataFrame(members, "fp long, n long, root long")
+        table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "fp long, shingles binary")
+        small, large = minhash._sides(minhash._prefixes(classes, table))
+        keys = ["shingle", "size"]
+        met.append(small.select(*keys, "root").distinct().join(large.select(*keys, F.col("root").alias("other")).distinct(), keys).filter("root <> other").count())
+    assert met[1] <= 2.5 * met[0] + 100, met
+
+
+def test_near_links_of_sets_of_all_sizes(spark):
+    """One bucket of sets that share a template, parts of each other or nothing; components as those of all pairs."""
+    rng = random.Random(14)
+    sets = template_pages(40, rng)
+    for i in range(40, 120):
+        base = sets[rng.randrange(i)]
+        kept = base[[rng.random() < rng.choice([0.85, 0.92, 0.99]) for _ in base]]
+        sets[i] = np.unique(np.concatenate([kept, np.arange(10**7 + 1000 * i, 10**7 + 1000 * i + rng.randint(0, len(base) // 4), dtype=np.uint64)]))
+    sets |= {200 + i: np.arange(5 * 10**8 + 3 * i, 5 * 10**8 + 3 * i + rng.randint(1, 9), dtype=np.uint64) for i in range(40)}
+    sets = {i: x for i, x in sets.items() if len(x)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and minhash.similar(sets[i], sets[j]):
+                root[find(j)] = find(i)
+    wanted = {i: find(i) for i in sets}
+    members = spark.createDataFrame([(0, 7, i, len(x), len(sets)) for i, x in sets.items()], "t int, key long, fp long, n long, k long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "fp long, shingles binary")
+    found = {r["node"]: r["root"] for r in components.connected_components(minhash.links(members, table)).collect()}
+    got = {}
+    for i in sets:
+        got.setdefault(found.get(i, i), set()).add(i)
+    same = {}
+    for i in sets:
+        same.setdefault(wanted[i], set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, same.values()))
+    assert len(same) > 20 and max(map(len, same.values())) > 10
+
+
 def test_near_pairs_across_components_are_compared(spark):
     """A chain in one bucket: neither the least nor the greatest class is similar to all."""
     sets = {i: np.arange(10 * i, 10 * i + 100, dtype=np.uint64) for i in range(12)}
@@ -475,6 +530,22 @@ def test_pii_each_disguise_alone(text):
     assert pii.redact_text(f"write: {text}") in ("write: [EMAIL]", "write: [PHONE]")
 
 
+def test_pii_evidence_is_in_whatever_the_patterns_match():
+    rng = random.Random(11)
+    units = [*pii.DIGIT_WORDS, *pii.REPEATS, "plus", "4", "7", "55", "phone", "someone", "Nine", "ONE", "\u017fix", "\u0130", "n\u0131ne", "_one", "dot", "at", "com", "ann", ".com", ".io", "@", "x.de"]
+    seen = 0
+    for _ in range(30_000):
+        text = "".join(rng.choice(units) + rng.choice([" ", " ", "  ", "-", ", ", "", "."]) for _ in range(rng.randint(1, 7)))
+        low, odd = text.lower(), any(c in text for c in pii._CASE_ODD)
+        if any(pii._DIGIT_WORD.search(m[0]) for m in pii._SPELLED.finditer(text)):
+            seen += 1
+            assert odd or pii._spelled_evidence(low), text
+        if (" at " in low or " dot " in low) and pii._SAID.search(text):
+            seen += 1
+            assert odd or " dot " in low or pii._ENDING.search(low), text
+    assert seen > 1000
+
+
 def test_pii_tapes_map_back():
     rng = random.Random(13)
     for _ in range(300):
