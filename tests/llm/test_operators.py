@@ -530,6 +530,26 @@ def test_pii_each_disguise_alone(text):
     assert pii.redact_text(f"write: {text}") in ("write: [EMAIL]", "write: [PHONE]")
 
 
+def test_pii_query_returns_the_columns_of_the_contract(spark, tmp_path):
+    rows = [(1, "mail a@b.co or 10.0.0.300 or 10.0.0.1"), (2, None), (3, ""), (4, "call +49 30 1234567, ann at host dot com"), (4, "call +49 30 1234567, ann at host dot com"), (None, "4111 1111 1111 1111 \u6f22 x@y.z")]
+    make(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    patterns = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 16 <= len(d := re.sub("[^0-9]", "", x)) <= 19 and pii.luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(re.sub("[^0-9]", "", x)) <= 15),
+    }
+    wanted = Counter()
+    for doc, text in rows:
+        base = [(kind, m.start(), m.end()) for kind, (pattern, holds) in patterns.items() for m in re.finditer(pattern, text or "") if holds(m[0])]
+        added = [("email", 21, 40)] if doc == 4 else []
+        join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1])))
+        wanted[(doc, *[sum(k == kind for k, _, _ in base) for kind in patterns], hashlib.sha256(join(base).encode()).hexdigest(), join(base + added))] += 1
+    out = pii.op3_pii(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert Counter(map(tuple, out.collect())) == wanted
+
+
 def test_pii_evidence_is_in_whatever_the_patterns_match():
     rng = random.Random(11)
     units = [*pii.DIGIT_WORDS, *pii.REPEATS, "plus", "4", "7", "55", "phone", "someone", "Nine", "ONE", "\u017fix", "\u0130", "n\u0131ne", "_one", "dot", "at", "com", "ann", ".com", ".io", "@", "x.de"]
