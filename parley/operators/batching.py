@@ -28,6 +28,11 @@ def eval_batches(items: DataFrame, batch_size: int, key: str, length: str = "cha
     return ranked.withColumns({"batch": F.floor(F.col("rank") / batch_size), "place": (F.col("rank") % batch_size).cast("int")}).drop("rank")
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has so few rows, of a few numbers each; a join on few keys then moves none of the other side's rows. Triggers a job."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with its rank from 0 in a total order, without a single-partition window."""
     columns = df.columns
@@ -48,13 +53,16 @@ def train_batches(items: DataFrame, batch_size: int, chunk_batches: int, key: st
     if batch_size < 1 or chunk_batches < 1:
         raise ValueError("batch_size and chunk_batches are at least 1")
     drawn = lambda start, *by: F.sha2(F.concat_ws(":", F.lit(str(start)), *by), 256)
+    size = batch_size * chunk_batches
     ranked = global_rank(items.withColumn("_h", drawn(seed, F.col(key).cast("string"))), [F.col("_h"), F.col(key)])
-    chunked = ranked.withColumn("_chunk", F.floor(F.col("rank") / (batch_size * chunk_batches)))
-    w = Window.partitionBy("_chunk").orderBy(length, "_h", key)
-    cut = chunked.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_b": F.floor(F.col("_i") / batch_size), "place": (F.col("_i") % batch_size).cast("int")})
+    chunked = ranked.withColumn("_chunk", F.floor(F.col("rank") / size)).drop("rank")
+    # all chunks but the last are full, so that places within them follow from places in all rows, and a chunk may be larger than a task
+    placed = global_rank(chunked, [F.col("_chunk"), F.col(length), F.col("_h"), F.col(key)], "_j")
+    i = F.col("_j") - F.col("_chunk") * size
+    cut = placed.withColumns({"_b": F.floor(i / batch_size), "place": (i % batch_size).cast("int")})
     names = cut.select("_chunk", "_b").distinct().withColumn("_o", drawn(seed + 1, F.col("_chunk").cast("string"), F.col("_b").cast("string")))
     order = global_rank(names, [F.col("_o"), F.col("_chunk"), F.col("_b")], "batch")
-    return cut.join(order.select("_chunk", "_b", "batch"), ["_chunk", "_b"]).drop("_h", "rank", "_chunk", "_i", "_b")
+    return cut.join(small(order.select("_chunk", "_b", "batch")), ["_chunk", "_b"]).drop("_h", "_j", "_chunk", "_b")
 
 
 def collate(batched: DataFrame, tokenize: Callable[[list[str]], list[list[int]]], text: str = "rendered", max_tokens: int = 512, pad_id: int = 0, label: str | None = "label_index") -> DataFrame:

@@ -1,9 +1,12 @@
 """What shows only on large tables: names of six letters, chunks larger than a task, long chains, plans without needless shuffles."""
 
+import hashlib
+import re
+
 import duckdb
-import pytest
 
 from parley.functions import text as T
+from parley.operators import batching, training
 from parley.plans.queries import QUERIES, SQL
 
 
@@ -26,3 +29,45 @@ def test_names_of_six_letters(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = [tuple(r) for r in QUERIES["window_letters"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(con.sql(SQL["window_letters"]).fetchall())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_may_be_larger_than_a_task(spark):
+    """Places in a chunk come from ranges of rows: no window over a whole chunk, and the batches of a plain Python version."""
+    sha = lambda start, *by: hashlib.sha256(":".join(map(str, (start, *by))).encode()).hexdigest()
+    data = [(i, (i * 37) % 11) for i in range(203)]
+    got = batching.train_batches(spark.createDataFrame(data, "id long, chars int"), 8, 6, "id", seed=5)
+    assert not re.search(r"windowspecdefinition\(_chunk", plan_of(got))
+    drawn = sorted((sha(5, i), i, n) for i, n in data)
+    places = {}
+    for chunk in range(0, len(drawn), 48):
+        for k, (_, i, _) in enumerate(sorted(drawn[chunk : chunk + 48], key=lambda x: (x[2], x[0], x[1]))):
+            places[i] = (chunk // 48, k // 8, k % 8)
+    order = {b: n for n, b in enumerate(sorted({p[:2] for p in places.values()}, key=lambda b: (sha(6, *b), b)))}
+    assert {r["id"]: (r["batch"], r["place"]) for r in got.collect()} == {i: (order[p[:2]], p[2]) for i, p in places.items()}
+
+
+def test_terms_are_counted_where_rows_are_read(spark):
+    """No shuffle of terms where keys are unique; rows of one key, null too, are one text."""
+    rows = [(1, "Ab ab c"), (2, ""), (3, "c"), (3, "c d"), (None, "x"), (None, "x y")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    alone = training.term_counts(df.filter("k < 3"), "k")
+    assert "Exchange" not in plan_of(training.weighted(alone, training.vocabulary(alone, 2, 5), "k"))
+    counts = training.term_counts(df, "k")
+    got = {r["k"]: dict(zip(r["terms"], r["tfs"])) for r in counts.collect() if r["terms"]}
+    assert got == {1: {"ab": 2, "c": 1}, 3: {"c": 2, "d": 1}, None: {"x": 2, "y": 1}}
+    assert {r["term"]: r["df"] for r in training.vocabulary(counts, 6, 5).collect()} == {"ab": 1, "c": 2, "d": 1, "x": 1, "y": 1}
+
+
+def test_few_steps_are_many_files(spark):
+    """Rows of a step are dealt out by size, not by the number of its batches."""
+    df = spark.range(40_000).selectExpr("id", "id % 2 AS step", "sha2(cast(id AS string), 256) AS x")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        steps = training.written_steps(df.repartition(8))
+        assert len(steps.inputFiles()) > 6 and steps.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
