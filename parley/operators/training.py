@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace  # noqa: F401  replace is for
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +30,83 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) to (key, terms, tfs)."""
+    for batch in batches:
+        sizes, said = _lists(batch.column(1))
+        coded = said.dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        at, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+        ends = np.searchsorted(at, np.arange(len(sizes) + 1) * width).astype(np.int32)
+        terms = coded.dictionary.take(pa.array(at % width))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], names=[batch.schema.names[0], "terms", "tfs"])
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The sizes of lists, and all their values."""
+    return np.diff(column.offsets.to_numpy()), column.flatten()
+
+
 def term_counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term and tf: a row for each distinct term of each key."""
-    return rows.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, terms and tfs: a row for each key, its distinct terms and how often each occurs; keys without a term may be absent.
+
+    A row's terms are counted where it is read. Only rows that share their key are dealt out. Triggers a job that looks for such rows.
+    """
+    kind = dict(rows.dtypes)[key]
+    counted = lambda df: df.select(key, words(F.col(text)).alias("words")).mapInArrow(_bags, f"`{key}` {kind}, terms array<string>, tfs array<long>")
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_k"))
+    if not many.limit(1).count():
+        return counted(rows)
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    each = counted(rows.join(many, same, "left_semi")).select(key, F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf")).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    merged = each.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("x")).select(key, F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
+    return counted(rows.join(many, same, "left_anti")).unionByName(merged)
 
 
 def vocabulary(counts: DataFrame, n_rows: int, size: int, least: int = 1) -> DataFrame:
     """term, column (from 0), df and idf of the terms of the most rows, ties to the smaller term: at most size rows."""
-    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(size)
+    found = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(size)
     idf = F.log((1 + F.lit(n_rows)) / (1 + F.col("df"))) + 1
     order = Window.orderBy(F.desc("df"), "term")  # over size rows at most
     return found.select("term", (F.row_number().over(order) - 1).alias("column"), "df", idf.alias("idf"))
 
 
+def weighted(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """key, columns and weights, arrays in order of column: tf times idf, each key's weights of length one. No row leaves its task.
+
+    The vocabulary goes through the driver, as the model does: it is bounded by its size.
+    """
+    known, kind = terms.select("term", "column", "idf").orderBy("column").collect(), dict(counts.dtypes)[key]
+    shared = counts.sparkSession.sparkContext.broadcast(([r["term"] for r in known], np.array([r["column"] for r in known], np.int32), np.array([r["idf"] for r in known])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, columns, idf = shared.value
+        names = pa.array(names, pa.string())
+        for batch in batches:
+            sizes, said = _lists(batch.column(1))
+            place = pc.index_in(said, value_set=names).fill_null(-1).to_numpy()
+            held = place >= 0
+            row, place = np.repeat(np.arange(len(sizes)), sizes)[held], place[held]
+            w = _lists(batch.column(2))[1].to_numpy()[held] * idf[place]
+            order = np.lexsort((place, row))
+            row, place, w = row[order], place[order], w[order]
+            w = w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
+            ends = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(columns[place])), pa.ListArray.from_arrays(ends, pa.array(w))], names=[key, "columns", "weights"])
+
+    return counts.select(key, "terms", "tfs").mapInArrow(run, f"`{key}` {kind}, columns array<int>, weights array<double>")
+
+
 def tf_idf(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """key, term, column and weight: tf times idf, each key's weights of length one."""
-    weighted = counts.join(F.broadcast(terms), "term").withColumn("w", F.col("tf") * F.col("idf"))  # the vocabulary is bounded by its size
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", "column", (F.col("w") / length).alias("weight"))
+    pairs = weighted(counts, terms, key).select(key, F.inline(F.arrays_zip("columns", "weights")).alias("column", "weight"))
+    return pairs.join(F.broadcast(terms.select("term", "column")), "column").select(key, "term", "column", "weight")  # the vocabulary is bounded by its size
 
 
 def features(rows: DataFrame, counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """rows with columns and weights, arrays in order of column; both empty where a row has no term of the vocabulary."""
-    pairs = tf_idf(counts, terms, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("column", "weight"))).alias("_p"))
-    got = rows.join(pairs, key, "left").withColumn("_p", F.coalesce("_p", F.expr("cast(array() as array<struct<column:int,weight:double>>)")))
-    return got.withColumns({"columns": F.transform("_p", lambda p: p["column"]), "weights": F.transform("_p", lambda p: p["weight"])}).drop("_p")
+    got = rows.join(weighted(counts, terms, key), key, "left")
+    return got.withColumns({"columns": F.coalesce("columns", F.expr("cast(array() as array<int>)")), "weights": F.coalesce("weights", F.expr("cast(array() as array<double>)"))})
 
 
 @dataclass(frozen=True)
