@@ -177,8 +177,7 @@ def probabilities(columns: pa.ListArray, weights: pa.ListArray, model: np.ndarra
     """(row, column and value of each entry; class probabilities of each row). The model's last row is the intercepts."""
     sizes = np.diff(columns.offsets.to_numpy())
     row, column, value = np.repeat(np.arange(len(sizes)), sizes), columns.flatten().to_numpy(), weights.flatten().to_numpy()
-    z = np.zeros((len(sizes), model.shape[1])) + model[-1]
-    np.add.at(z, row, model[column] * value[:, None])
+    z = np.stack([np.bincount(row, model[column, k] * value, len(sizes)) for k in range(model.shape[1])], axis=1) + model[-1]
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return row, column, value, p / p.sum(axis=1, keepdims=True)
 
@@ -196,7 +195,8 @@ def _partial(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             loss -= float((share * np.log(np.maximum(p[at, y], 1e-300))).sum())
             p[at, y] -= 1
             p *= share[:, None]
-            np.add.at(total, column, p[row] * value[:, None])
+            for k in range(p.shape[1]):
+                total[:, k] += np.bincount(column, p[row, k] * value, len(total))
             total[-1] += p.sum(axis=0)
             seen = True
         if seen:
