@@ -56,13 +56,15 @@ def renumber(rows: DataFrame, by: str = "meeting", position: str = "position") -
 def prune_chains(links: DataFrame, dropped: DataFrame) -> DataFrame:
     """links (proposal_id, responder_chains, ..) without the segments that dropped (seg_id) names, and without links of dropped proposals.
 
-    Chains keep their order and empty ones go; an ok link without any becomes no_pair.
+    Chains keep their order and empty ones go; an ok link without any becomes no_pair. Links stay whole: only members are dealt out by segment, and what
+    is dropped of a link's members comes back to it.
     """
     kept = links.join(dropped.select(F.col("seg_id").alias("proposal_id")), "proposal_id", "left_anti")
-    members = kept.select("proposal_id", F.posexplode("responder_chains").alias("i", "chain")).select("proposal_id", "i", F.posexplode("chain").alias("j", "seg_id"))
-    left = members.join(dropped.select("seg_id"), "seg_id", "left_anti")
-    chains = left.groupBy("proposal_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "seg_id"))), lambda x: x["seg_id"]).alias("chain"))
-    lists = chains.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "chain"))), lambda x: x["chain"]).alias("_chains"))
-    out = kept.join(lists, "proposal_id", "left").withColumn("responder_chains", F.coalesce("_chains", F.expr("cast(array() as array<array<string>>)")))
+    members = kept.select("proposal_id", F.explode(F.flatten(F.array_compact("responder_chains"))).alias("seg_id"))
+    gone = members.join(dropped.select("seg_id"), "seg_id", "left_semi").groupBy(F.col("proposal_id").alias("_of")).agg(F.collect_set("seg_id").alias("_gone"))
+    out = kept.join(gone, F.col("proposal_id").eqNullSafe(F.col("_of")), "left")
+    is_gone = lambda s: F.coalesce(F.array_contains("_gone", s), F.lit(False))
+    left = F.filter(F.transform("responder_chains", lambda c: F.filter(c, lambda s: ~is_gone(s))), lambda c: F.size(c) > 0)
+    out = out.withColumn("responder_chains", F.coalesce(F.when(F.col("_gone").isNull(), F.filter("responder_chains", lambda c: F.size(c) > 0)).otherwise(left), F.expr("cast(array() as array<array<string>>)")))
     has = F.size("responder_chains") > 0
     return out.withColumns({"has_response": has, "status": F.when((F.col("status") == "ok") & ~has, "no_pair").otherwise(F.col("status"))}).select(*links.columns)

@@ -123,20 +123,21 @@ def check_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     return out.unionByName(violations(first, "proposal_id", {"chains are not ordered by first position": F.col("_head").isNull() | F.col("position").isNull() | (F.col("_head") <= F.col("position"))})).distinct()
 
 
-def row_differences(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+def row_differences(a: DataFrame, b: DataFrame, *columns: str, by: str | None = None) -> DataFrame:
     """The rows that one side has more often than the other, and n: how often a has it more (under 0: b). Nulls are values, repeats count.
 
-    Each side is summed where it is read, so that one shuffle of distinct rows decides.
+    Each side is summed where it is read, so that one shuffle of distinct rows decides. With by, one of the columns, rows are dealt out by it alone, so that
+    what is grouped by it next needs no further shuffle.
     """
     names = list(columns or a.columns)
     both = a.select(*names, F.lit(1).alias("n")).unionByName(b.select(*names, F.lit(-1).alias("n")))
-    return both.groupBy(*names).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return (both.repartition(by) if by else both).groupBy(*names).agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def check_pruned(wanted: DataFrame, got: DataFrame) -> DataFrame:
     """Where links differ from those wanted, as wholes: fields, the order of chains and of their members, missing, added and repeated links."""
     fields = ("responder_chains", "has_response", "status", "adjacency_tokens", "pair_group")
-    odd = row_differences(wanted, got, "proposal_id", *fields)
+    odd = row_differences(wanted, got, "proposal_id", *fields, by="proposal_id")
     side = lambda sign, name: F.max(F.when(F.col("n") * sign > 0, F.struct(*fields))).alias(name)
     both = odd.groupBy("proposal_id").agg(side(1, "w"), side(-1, "g"))
     same = lambda *names: reduce(Column.__and__, [F.col(f"w.{c}").eqNullSafe(F.col(f"g.{c}")) for c in names])

@@ -6,7 +6,7 @@ import re
 import duckdb
 
 from parley.functions import text as T
-from parley.operators import batching, training
+from parley.operators import annotate, batching, training
 from parley.plans.queries import QUERIES, SQL
 
 
@@ -71,3 +71,12 @@ def test_few_steps_are_many_files(spark):
         assert len(steps.inputFiles()) > 6 and steps.count() == 40_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_links_are_pruned_whole(spark):
+    """Chains are not taken apart and put together again: links meet what they lose in one join. Links of one id stay apart; nulls in a chain stay."""
+    rows = [("a", [["b", "c", "b"], ["d"]], "ok"), ("a", [["d", "e"]], "ok"), ("f", [["d"], []], "ok"), ("g", [["x", None, "d"]], "ambiguous"), ("h", None, "no_pair"), ("d", [["a"]], "ok")]
+    links = spark.createDataFrame([(i, c, bool(c), s) for i, c, s in rows], "proposal_id string, responder_chains array<array<string>>, has_response boolean, status string")
+    got = annotate.prune_chains(links, spark.createDataFrame([("d",), ("c",)], "seg_id string"))
+    wanted = [("a", [["b", "b"]], True, "ok"), ("a", [["e"]], True, "ok"), ("f", [], False, "no_pair"), ("g", [["x", None]], True, "ambiguous"), ("h", [], False, "no_pair")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
