@@ -51,22 +51,30 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def pipe_boundaries(words: str, rendering: Column, parts: Column) -> Column:
+def lexical_text(words: str) -> Column:
+    """The words' letters and digits in one text, and ends: its length after each number of words, from none to all."""
+    lexical = F.transform(F.col(words), lambda w: F.coalesce(F.when(w["kind"] == "w", T.alignment_text(w["text"])), F.lit("")))
+    ends = lambda lex: F.aggregate(lex, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    return let(lexical, lambda lex: F.struct(F.array_join(lex, "").alias("whole"), ends(lex).alias("ends")))
+
+
+def pipe_boundaries(words: str, rendering: Column, parts: Column, lexical: Column | None = None) -> Column:
     """For each pipe of a rendering the count of words before it, null where the rendering does not align.
 
-    The words' lexical text up to a boundary equals the rendering's up to the pipe, letters and digits only; of equal places the last counts.
+    The words' lexical text up to a boundary equals the rendering's up to the pipe, letters and digits only; of equal places the last counts. So the whole
+    text begins with the rendering's, and a number of words ends there. lexical is lexical_text(words), where it is at hand.
     """
-    joined = lambda array, n: F.array_join(F.slice(array, F.lit(1), n), "")
-    lexical = F.transform(F.col(words), lambda w: F.when(w["kind"] == "w", T.alignment_text(w["text"])).otherwise(""))
 
     def aligned(pieces):
-        # place 0 counts only for an empty prefix, which is what the text of no words equals
-        prefixes = let(lexical, lambda lex: F.transform(F.sequence(F.lit(0), F.size(lex)), lambda i: joined(lex, i)))
-        wanted = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: joined(pieces, i + 1))
-        last = lambda ps, prefix: F.array_max(F.filter(F.transform(ps, lambda p, i: F.when(p == prefix, i)), lambda i: i.isNotNull()))
-        found = let(prefixes, lambda ps: F.transform(wanted, lambda prefix: last(ps, prefix)))
+        def place(said, prefix):
+            ending = F.filter(F.transform(said["ends"], lambda e, i: F.when(e == F.length(prefix), i)), lambda i: i.isNotNull())
+            return F.when(said["whole"].startswith(prefix), F.array_max(ending))
+
+        prefixes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))
+        found = let(lexical_text(words) if lexical is None else lexical, lambda said: F.transform(prefixes, lambda p: let(p, lambda prefix: place(said, prefix))))
         ordered = lambda f: f == F.array_sort(f)
-        return let(found, lambda f: F.when((F.size(pieces) == parts) & ~F.exists(f, lambda x: x.isNull()) & ordered(f), f))
+        fits = let(found, lambda f: F.when(~F.exists(f, lambda x: x.isNull()) & ordered(f), f))
+        return F.when(F.size(pieces) == parts, fits)
 
     return let(F.transform(F.split(rendering, "[|]"), T.alignment_text), aligned)
 
@@ -133,8 +141,9 @@ def locate(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFra
     df = df.withColumns({"ms0": F.when(~bad_time, T.milliseconds(F.col("start_raw"))), "ms1": F.when(~bad_time, T.milliseconds(F.col("end_raw")))})
     df = df.withColumn("key", T.transcript_key(F.col("meeting"), F.col("channel"), F.col("ms0"), F.col("ms1"))).join(transcripts, "key", "left")
     df = df.withColumns({"renderings": F.coalesce("renderings", F.expr("cast(array() as array<string>)")), "multi": (F.col("n_parts") > 1) & ~F.array_contains("ref_flags", "no_word_ref")})
-    tried = F.filter(F.transform("renderings", lambda r: pipe_boundaries("words", r, F.col("n_parts"))), lambda x: x.isNotNull())
-    return bind(df, boundaries=F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(F.col("multi"), F.get(tried, F.lit(0))))
+    df = bind(df, _said=F.when(F.col("multi") & (F.size("renderings") > 0), lexical_text("words")))
+    tried = F.filter(F.transform("renderings", lambda r: pipe_boundaries("words", r, F.col("n_parts"), F.col("_said"))), lambda x: x.isNotNull())
+    return bind(df, boundaries=F.when(F.col("n_parts") == 1, F.expr("cast(array() as array<int>)")).when(F.col("multi"), F.get(tried, F.lit(0)))).drop("_said")
 
 
 def transcript_problems(acts: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ import hashlib
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators import annotate, batching, training
+from parley.operators import annotate, batching, parse, training
 from parley.plans.queries import QUERIES, SQL
 
 
@@ -80,3 +81,14 @@ def test_links_are_pruned_whole(spark):
     got = annotate.prune_chains(links, spark.createDataFrame([("d",), ("c",)], "seg_id string"))
     wanted = [("a", [["b", "b"]], True, "ok"), ("a", [["e"]], True, "ok"), ("f", [], False, "no_pair"), ("g", [["x", None]], True, "ambiguous"), ("h", [], False, "no_pair")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_pipes_in_a_long_act(spark):
+    """The words' text is read once, not once for each number of words: the text of all prefixes of this act would be 250 MB."""
+    said = [f"w{i:05d}" for i in range(9000)]
+    df = spark.createDataFrame([(1, said), (2, ["a", None, "-", "b"])], "k int, w array<string>")
+    df = df.select("k", F.transform("w", lambda x: F.struct(x.alias("text"), F.lit("w").alias("kind"))).alias("words"))
+    given = F.when(F.col("k") == 1, F.lit(" ".join(said[:7000]) + " | " + " ".join(said[7000:]))).otherwise("A. | B")
+    plan = df.select("k", parse.pipe_boundaries("words", given, F.lit(2)).alias("b"), parse.pipe_boundaries("words", F.lit("a | x | b"), F.lit(3)).alias("none"))
+    assert {r["k"]: (r["b"], r["none"]) for r in plan.collect()} == {1: ([7000], None), 2: ([3], None)}
+    assert df.select(parse.lexical_text("words").alias("x")).selectExpr("size(x.ends) AS n", "length(x.whole) AS c").collect()[0] == (9001, 54000)
