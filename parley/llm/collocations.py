@@ -2,16 +2,20 @@
 
 Texts are lower-cased (A-Z), parted into pieces at punctuation and line ends, and pieces into words at spaces and tabs. Everything is counted by language.
 
-1. Words are counted. Each gram of two words is hashed to a cell of a sketch (one row of a count-min sketch: a cell's count is an upper bound of each of its
-   grams' counts); then, in a second sketch, grams of three to five words whose pairs' cells all reach the threshold. Sketches are summed by Spark as
-   rows (cell, count), already summed within a task; what goes to the tasks of the next step is a bitmap of the cells that reach the threshold.
-2. Candidates are the distinct grams all of whose inner grams have such cells. The bounds are upper bounds, so no phrase that reaches the threshold is missed.
-   All lines are read for them; a share of the lines is read first, and what it shows (a bounded set) is broadcast so that tasks need not list it again.
-3. Candidates are dealt out into parts of about PART_BYTES of text. Each part becomes one Aho-Corasick automaton a language, its phrases guarded by spaces on
-   both sides; shards of documents are scanned for overlapping matches and the counts of all shards summed. Thresholds apply to these exact counts.
+1. Words are counted. Texts are then encoded once: each word that may reach the threshold becomes its 64-bit hash, runs of others a gap, and blocks of them are
+   written as numbers. No word is parted or looked up again after that. Should two words share a hash, all are hashed anew with another salt.
+2. Each gram of two words is hashed to a cell of a sketch (one row of a count-min sketch: a cell's count is an upper bound of each of its grams' counts); then,
+   in a second sketch, grams of three to five words whose pairs' cells all reach the threshold. Sketches are summed by Spark as rows (cell, count), already
+   summed within CELLS of them; what goes to the tasks of the next step is a bitmap of the cells that reach the threshold.
+3. The grams all of whose inner grams have such cells are counted by their words' hashes, within tasks and then by bucket. The bounds are upper bounds, so no
+   phrase that reaches the threshold is missed; thresholds apply to these exact counts. Words give the phrases that reach it their text.
 
-Memory: bitmaps of up to 2^SKETCH_BITS bits (64 MiB), by the amount of text; a part's automata; a block of BLOCK_CHARS of text, or one line. In a
-larger corpus the sketches let more candidates through, which costs further parts, each a scan of the texts; results are exact all the same.
+The texts are read twice and the numbers three times, however many phrases there are. A task hands on each of its grams
+once, or once in LEXICON_WORDS of them, so what is counted grows no faster than the texts; buckets grow in number with the texts, not in size. In a larger
+corpus the sketches let more grams through, and results are exact all the same.
+
+Memory: bitmaps of up to 2^SKETCH_BITS bits (64 MiB), by the amount of text; LEXICON_WORDS words; a block of BLOCK_CHARS of text, or one line; a part of
+about PART_BYTES of hashes, or one block.
 
 Defined results: null texts are empty, a null language is und; empty texts, and an empty table, give no rows; repeated rows each count; texts and words of
 any length are read whole; only the columns text and lang are read; ties in rank go to the greater count, then the phrase first in UTF-8 byte order.
@@ -20,26 +24,24 @@ any length are read whole; only the columns text and lang are read; ties in rank
 from __future__ import annotations
 
 import math
-import uuid
-import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, table, worker_cache
+from .common import BROADCAST_ROWS, materialize, skew_join, table
 
 LEAST_COUNT, LONGEST, TOP = 100, 5, 2000
 SKETCH_BITS = 29
 PART_BYTES = 4 << 20
 BLOCK_CHARS = 1 << 20
-LEXICON_WORDS = 100_000  # whose counts a task holds before it hands them on
-KNOWN_LINES, KNOWN, KNOWN_BYTES = 32, 150_000, 200  # one line in so many shows candidates that need not be listed by each task; how many, and of what length
-SUMMED = 4096  # counts of a row of the sums
+LEXICON_WORDS = 300_000  # whose counts a task holds before it hands them on; as many grams
+CELLS = 1 << 22  # of a sketch that a task holds before it sums them
 WORD_SLOTS = 15  # a bitmap's rows hold 2^15 cells
 
 END = b"."  # stands between pieces: a full stop is never part of a word
@@ -51,18 +53,24 @@ def spaced(text: str) -> bytes:
     return text.encode().lower().translate(_TABLE).replace(b"\n", b" . ")  # bytes.lower changes A-Z only
 
 
+def hash_seed(lang: str, salt: int) -> int:
+    """What a language's words are hashed with: xxhash64(salt, lang, word) in Spark."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(str(salt).encode(), 42))
+
+
 class Lexicon(dict):
-    """Words to ids from 1 on, in order of appearance; 0 is END. Hashes and counts by id."""
+    """Words to ids from 1 on, in order of appearance; 0 is END. Hashes by id."""
 
-    def __init__(self, lang: str):
+    def __init__(self, lang: str, salt: int = 0):
         super().__init__({END: 0})
-        self.seed, self.words, self.hashes, self.counts = zlib.crc32(lang.encode()), [END], array("Q", [0]), np.zeros(0, np.int64)
+        self.seed, self.hashes = hash_seed(lang, salt), array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self[word] = out = len(self.words)
-        self.words.append(word)
+        self[word] = out = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return out
 
@@ -101,14 +109,10 @@ def reaches(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The grams of a block: of each length the places where all inner grams reach the threshold by the bitmaps given."""
+    """The grams of a part's hashes: of each length the places where all inner grams reach the threshold by the bitmaps given."""
 
-    def __init__(self, lexicon: Lexicon, words: list[bytes], bits: int):
-        self.ids, self.bits = lexicon.read(words), bits
-        self.hashes = np.frombuffer(lexicon.hashes, np.uint64)[self.ids]
-
-    def of_words(self, word_map: np.ndarray) -> np.ndarray:
-        return (self.ids > 0) & reaches(word_map, cells(self.hashes, 1, self.bits))
+    def __init__(self, hashes: np.ndarray, bits: int):
+        self.hashes, self.bits = hashes, bits
 
     def longer(self, inner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cells) of grams of n words both of whose grams of n - 1 words are marked by inner."""
@@ -118,139 +122,172 @@ class Grams:
             sums += self.hashes[at + j] * _ODD[j]
         return at, cells(sums, n, self.bits)
 
-    def marks(self, at: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(size, bool)
+    def marks(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.hashes), bool)
         out[at] = True
         return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Lexicon] = {}
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, lexicon in known.items():
-            used = np.flatnonzero(lexicon.counts[1:]) + 1
-            for low in range(0, len(used), 50_000):
-                part = used[low : low + 50_000]
-                at = cells(np.frombuffer(lexicon.hashes, np.uint64)[part], 1, bits)
-                words = [lexicon.words[i].decode() for i in part]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(words), pa.array(at), pa.array(lexicon.counts[part])], names=["lang", "word", "cell", "n"])
+        for lang, counts in known.items():
+            counts.pop(END, None)
+            words, n = pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())
+            for low in range(0, len(words), 50_000):
+                part = words[low : low + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, n[low : low + 50_000]], names=["lang", "word", "n"])
         known.clear()
 
     for lang, words in blocks(batches):
-        lexicon = known[lang] if lang in known else known.setdefault(lang, Lexicon(lang))
-        found = np.bincount(lexicon.read(words), minlength=len(lexicon.words))
-        found[: len(lexicon.counts)] += lexicon.counts
-        lexicon.counts = found
+        known.setdefault(lang, Counter()).update(words)
         if sum(map(len, known.values())) > LEXICON_WORDS:
             yield from flush()
     yield from flush()
 
 
-def _lexicon(known: dict[str, Lexicon], lang: str) -> Lexicon:
+def _lexicon(known: dict[str, Lexicon], lang: str, salt: int) -> Lexicon:
     if sum(map(len, known.values())) > LEXICON_WORDS:
         known.clear()
-    return known[lang] if lang in known else known.setdefault(lang, Lexicon(lang))
+    return known[lang] if lang in known else known.setdefault(lang, Lexicon(lang, salt))
+
+
+def hashed(words: DataFrame) -> tuple[DataFrame, int]:
+    """(words with hash, salt): no two words of any language share a hash, and none is 0."""
+    for salt in count():
+        out = words.withColumn("hash", F.xxhash64(F.lit(str(salt)), "lang", "word"))
+        if not out.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR hash = 0").limit(1).count():
+            return out, salt
 
 
-def _sketch(maps: list[np.ndarray], longest: int, bits: int):
-    """Cells of pairs of frequent words, or, given the pairs' bitmap as well, of longer grams of frequent pairs; counts summed within a block."""
+def _word_cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _encode(word_map, salt: int, bits: int):
+    """A row for each block: the hashes of its frequent words, with 0 first, and places in them. Other words, and those without a frequent neighbour, are gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Lexicon] = {}
         for lang, words in blocks(batches):
-            grams = Grams(_lexicon(known, lang), words, bits)
-            inner, found = grams.of_words(maps[0].value), []
-            for n in range(2, longest + 1):
-                at, cell = grams.longer(inner, n)
-                if n == 2 and len(maps) > 1:
-                    at = at[reaches(maps[1].value, cell)]
-                else:
-                    found.append(cell)
-                inner = grams.marks(at, len(inner))
-            cell, n = np.unique(np.concatenate(found), return_counts=True)
-            for low in range(0, len(cell), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(cell[low : low + 100_000]), pa.array(n[low : low + 100_000])], names=["cell", "n"])
+            lexicon = _lexicon(known, lang, salt)
+            ids = lexicon.read(words)
+            used = np.flatnonzero(np.bincount(ids))
+            own = np.frombuffer(lexicon.hashes, np.uint64)[used]
+            held = (used > 0) & reaches(word_map.value, _word_cells(own, bits))
+            place = np.zeros(len(lexicon.hashes), np.uint32)
+            place[used[held]] = np.arange(1, held.sum() + 1)
+            at = np.concatenate([[0], place[ids], [0]]).astype(np.uint32)
+            beside = np.zeros(len(at), bool)
+            beside[1:-1] = (at[1:-1] > 0) & ((at[:-2] > 0) | (at[2:] > 0))
+            at[~beside] = 0
+            at = at[1:][beside[1:] | beside[:-1]]  # one gap after each run
+            if len(at):
+                hashes = np.concatenate([np.zeros(1, np.uint64), own[held]])
+                yield pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()]), pa.array([at.tobytes()])], names=["hashes", "places"])
 
     return run
 
 
-def _list_candidates(maps: list, known: object, longest: int, bits: int):
-    """The distinct grams of a task all of whose cells reach the threshold, but for those that known (a broadcast set, or None) has."""
+def _parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[np.ndarray]:
+    """The hashes of blocks, gaps as 0, some blocks at a time; a gap ends each block."""
+    held, size = [], 0
+    for batch in batches:
+        for hashes, places in zip(batch.column("hashes"), batch.column("places")):
+            held.append(np.frombuffer(hashes.as_buffer(), np.uint64)[np.frombuffer(places.as_buffer(), np.uint32)])
+            size += held[-1].nbytes
+            if size >= part_bytes:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _sketch(pair_map, longest: int, bits: int, part_bytes: int):
+    """Cells of pairs, or, given the pairs' bitmap, of longer grams of frequent pairs; counts summed within CELLS of them."""
+
+    def summed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, n = np.unique(np.concatenate(found), return_counts=True)
+        for low in range(0, len(cell), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[low : low + 100_000]), pa.array(n[low : low + 100_000])], names=["cell", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicons: dict[str, Lexicon] = {}
-        listed, seen = known.value if known else frozenset(), set()
-        for lang, words in blocks(batches):
-            lexicon = _lexicon(lexicons, lang)
-            grams = Grams(lexicon, words, bits)
-            inner, names, new = grams.of_words(maps[0].value), grams.ids, []
+        found: list[np.ndarray] = []
+        for hashes in _parts(batches, part_bytes):
+            grams, inner = Grams(hashes, bits), hashes > 0
             for n in range(2, longest + 1):
                 at, cell = grams.longer(inner, n)
-                at = at[reaches(maps[1 if n == 2 else 2].value, cell)]
-                # grams are told apart by the numbers of both their inner grams, so equal numbers are equal words
-                _, first, number = np.unique(names[at] << 32 | names[at + 1], return_index=True, return_inverse=True)
-                for i in at[first].tolist():
-                    phrase = b" ".join(words[i : i + n]).decode()
-                    key = f"{phrase}\n{lang}"  # no phrase holds a line end
-                    if key not in listed and key not in seen:
-                        seen.add(key)
-                        new.append((lang, phrase))
-                inner, names = grams.marks(at, len(inner)), np.zeros(len(inner), np.int64)
-                names[at] = number
-            for low in range(0, len(new), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*new[low : low + 50_000])], names=["lang", "phrase"])
-            if len(seen) > LEXICON_WORDS:
-                seen.clear()
+                if n == 2 and pair_map:
+                    at = at[reaches(pair_map.value, cell)]
+                else:
+                    found.append(cell.astype(np.int32))
+                inner = grams.marks(at)
+            if sum(map(len, found)) >= CELLS:
+                yield from summed(found)
+                found = []
+        if found:
+            yield from summed(found)
 
     return run
 
 
-def automata(phrases: list[tuple[str, str]]) -> dict:
-    """An automaton for each language; a phrase's value is its place in the list. Guards of one space part words from each other."""
-    import ahocorasick
+def _names(longest: int) -> list[str]:
+    return [f"w{j}" for j in range(longest)]
 
-    out: dict = {}
-    for i, (lang, phrase) in enumerate(phrases):
-        out.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", i)
-    for a in out.values():
-        a.make_automaton()
-    return out
 
+def _count_grams(maps: list, longest: int, bits: int, part_bytes: int, buckets: int):
+    """The grams all of whose cells reach the threshold, as their words' hashes (0 beyond the last), and how often a task has them: a row for each bucket of grams."""
 
-def _scan(shared, key: str):
-    """Matches of a part's phrases, overlapping ones too: a task's counts of SUMMED phrases a row."""
+    def rows(held: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        grams, n = np.frombuffer(b"".join(held), np.uint64).reshape(-1, longest), np.fromiter(held.values(), np.int64)
+        bucket = sum((grams[:, j] * _ODD[j] for j in range(longest)), np.zeros(len(n), np.uint64)) >> np.uint64(32)
+        bucket %= np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        grams, n, bucket = grams[order], n[order], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+        ends = [*starts[1:], len(n)]
+        packed = [[x[i:j].tobytes() for i, j in zip(starts, ends)] for x in (grams, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, cache = shared.value, worker_cache("collocations")
-        if key not in cache:
-            cache.clear()
-            cache[key] = automata(phrases)
-        counts = np.zeros(len(phrases), np.int64)
-        for lang, words in blocks(batches):
-            if lang in cache[key]:
-                text = f" {b' '.join(words).decode()} "
-                counts += np.bincount(np.fromiter(map(itemgetter(1), cache[key][lang].iter(text)), np.int64), minlength=len(phrases))
-        if counts.any():
-            parts = [counts[low : low + SUMMED].tobytes() for low in range(0, len(counts), SUMMED)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts)], names=["block", "counts"])
+        held: dict[bytes, int] = {}
+        for hashes in _parts(batches, part_bytes):
+            grams, inner = Grams(hashes, bits), hashes > 0
+            names = np.unique(hashes, return_inverse=True)[1]
+            for n in range(2, longest + 1):
+                at, cell = grams.longer(inner, n)
+                at = at[reaches(maps[n > 2].value, cell)]
+                # grams are told apart by the numbers of both their inner grams, so equal numbers are equal words
+                _, first, number, times = np.unique(names[at] << 32 | names[at + 1], return_index=True, return_inverse=True, return_counts=True)
+                keys = np.zeros((len(first), longest), np.uint64)
+                for j in range(n):
+                    keys[:, j] = hashes[at[first] + j]
+                for key, k in zip(keys.view(f"V{8 * longest}").ravel().tolist(), times.tolist()):
+                    held[key] = held.get(key, 0) + k
+                inner, names = grams.marks(at), np.zeros(len(inner), np.int64)
+                names[at] = number
+            if len(held) > LEXICON_WORDS:
+                yield from rows(held)
+                held = {}
+        if held:
+            yield from rows(held)
 
     return run
 
 
-def _added(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
-    return pa.table({"block": group.column("block")[:1], "counts": pa.array([total.tobytes()])})
-
-
-def _named(shared, least: int):
-    """The phrases of a block that occur at least so often, from the sums of its counts."""
+def _summed(longest: int, least: int):
+    """The grams of a bucket that occur at least so often in all tasks."""
 
     def run(group: pa.Table) -> pa.Table:
-        block, total = group.column("block")[0].as_py(), sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
-        found = np.flatnonzero(total >= max(1, least))
-        chosen = [shared.value[block * SUMMED + i] for i in found.tolist()]
-        return pa.table({"lang": pa.array([x for x, _ in chosen], pa.string()), "phrase": pa.array([x for _, x in chosen], pa.string()), "n": pa.array(total[found])})
+        grams, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column(c)]) for c in ("grams", "counts"))
+        grams = grams.reshape(-1, longest)
+        order = np.lexsort(grams.T)
+        grams, n = grams[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
+        total = np.add.reduceat(n, starts)
+        held = total >= max(1, least)
+        return pa.table([*[pa.array(grams[starts[held], j]) for j in range(longest)], pa.array(total[held])], names=[*_names(longest), "n"])
 
     return run
 
@@ -273,36 +310,26 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(sketch_bits, max(16, math.ceil(math.log2(size / 8 + 1))))
-    words = texts.mapInArrow(lambda batches: _count_words(batches, bits), "lang string, word string, cell long, n long")
-    words = materialize(words.groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")), "words")
     share = spark.sparkContext.broadcast
-    maps = [share(_bitmap(words.filter(F.col("n") >= least).select("cell"), bits))]
-    for to in (2, longest):
-        cells_ = texts.mapInArrow(_sketch(list(maps), to, bits), "cell long, n long") if to > len(maps) else None
-        reached = cells_.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("cell") if cells_ else words.limit(0).select("cell")
-        maps.append(share(_bitmap(reached, bits)))
-    # Most candidates occur in every task. Those that a sample of lines shows are known to all tasks, which then list the others only.
-    names = "lang string, phrase string"
-    sample = texts.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(KNOWN_LINES)) == 0).mapInArrow(_list_candidates(maps, None, longest, bits), names)
-    shown = materialize(sample.distinct().filter(F.octet_length("phrase") + F.octet_length("lang") <= KNOWN_BYTES).limit(KNOWN), "shown")
-    known = share(frozenset(f"{r['phrase']}\n{r['lang']}" for r in shown.toLocalIterator()))  # KNOWN strings of KNOWN_BYTES at most
-    others = texts.mapInArrow(_list_candidates(maps, known, longest, bits), names).distinct()
-    candidates = materialize(shown.unionByName(others), "candidates")
-    known.unpersist()
-    total = candidates.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    parts = -(-total // part_bytes)
-    dealt = candidates.withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, parts))))
-    counted = spark.createDataFrame([], "lang string, phrase string, n long")
-    groups = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # tasks' counts are summed in two levels
-    for part in range(parts):
-        chosen = share([tuple(r) for r in dealt.filter(F.col("part") == part).select("lang", "phrase").collect()])  # about part_bytes of text
-        found = texts.mapInArrow(_scan(chosen, uuid.uuid4().hex), "block long, counts binary").withColumn("g", F.spark_partition_id() % groups)
-        sums = found.groupBy("g", "block").applyInArrow(_added, "block long, counts binary").groupBy("block").applyInArrow(_named(chosen, least), "lang string, phrase string, n long")
-        counted = counted.unionByName(materialize(sums, "phrases"))
-        chosen.unpersist()
-    for m in maps:
+    words = materialize(texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    known, salt = hashed(words)
+    known = known.filter(F.col("n") >= least).select("hash", "lang", "word")
+    word_map = share(_bitmap(known.select(F.shiftrightunsigned("hash", 64 - bits).alias("cell")), bits))
+    encoded = materialize(texts.mapInArrow(_encode(word_map, salt, bits), "hashes binary, places binary"), "encoded", codec="zstd")
+    maps = []
+    for to in dict.fromkeys((2, longest)):
+        summed = encoded.mapInArrow(_sketch(maps[0] if maps else None, to, bits, part_bytes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        maps.append(share(_bitmap(summed.filter(F.col("n") >= least).select("cell"), bits)))
+    columns = _names(longest)
+    counts = encoded.mapInArrow(_count_grams(maps, longest, bits, part_bytes, max(1, size // part_bytes)), "bucket long, grams binary, counts binary")
+    grams = materialize(counts.groupBy("bucket").applyInArrow(_summed(longest, least), ", ".join(f"{c} long" for c in [*columns, "n"])), "grams")
+    # each word of a frequent phrase is frequent
+    each = skew_join(grams.select("*", F.posexplode(F.array(*columns)).alias("i", "hash")).filter("hash <> 0"), known, ["hash"], "inner")
+    named = each.groupBy(*columns, "n").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("w"))
+    phrases = materialize(named.select("lang", F.array_join("w.word", " ").alias("phrase"), "n"), "phrases")
+    for m in (word_map, *maps):
         m.unpersist()
-    return words.select("lang", F.col("word").alias("phrase"), "n"), counted
+    return words.select("lang", F.col("word").alias("phrase"), "n"), phrases
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, top: int = TOP, sketch_bits: int = SKETCH_BITS, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -92,3 +92,31 @@ def test_query_same_as_sql(spark):
     wanted, got = con.sql(C.OP11_SQL), C.op11_collocations(spark, SF)
     assert got.columns == wanted.columns and [t for _, t in got.dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
     assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
+
+
+def test_the_texts_are_read_as_often_however_many_phrases_there_are(spark, monkeypatch):
+    """No scan for each part of the phrases: as many tables and mapped reads for thousands of phrases in tiny parts as for one."""
+    runs = []
+    plain, own = C.materialize, type(spark.range(1))
+    mapped = own.mapInArrow
+    monkeypatch.setattr(C, "materialize", lambda df, *a, **k: runs.append(a) or plain(df, *a, **k))
+    monkeypatch.setattr(own, "mapInArrow", lambda df, *a, **k: runs.append("read") or mapped(df, *a, **k))
+    made = []
+    for docs in ([("en", "p q")] * 3, texts(13)):
+        runs.clear()
+        found = run(spark, docs, least=3, part_bytes=60)
+        made.append((len(runs), len(found)))
+    assert made[0][0] == made[1][0] and made[1][1] > 100 * made[0][1]
+
+
+def test_words_with_equal_hashes_are_hashed_anew(spark, monkeypatch):
+    words = spark.createDataFrame([("en", "p", 4), ("en", "q", 4), ("fr", "p", 4)], "lang string, word string, n long")
+    plain = C.F.xxhash64
+    clash = lambda salt, *columns: C.F.lit(7).cast("long") if str(salt) == str(C.F.lit("0")) else plain(salt, *columns)
+    monkeypatch.setattr(C.F, "xxhash64", clash)
+    out, salt = C.hashed(words)
+    assert salt == 1
+    for r in out.collect():
+        lexicon = C.Lexicon(r["lang"], salt)
+        lexicon.read([r["word"].encode()])
+        assert lexicon.hashes[1] == r["hash"] % (1 << 64)
