@@ -142,3 +142,16 @@ def test_two_stages(spark):
     assert sorted(r["seg_id"] for r in rows) == list(range(60)) and all(sum(r["scores"]) == pytest.approx(1) and len(r["scores"]) == 7 for r in rows)
     assert all(r["label"] == LABELS[int(np.argmax(r["scores"]))] for r in rows) and found["macro_f1"] > 0.9
     assert found["first"]["model"].shape == (13, 2) and found["second"]["model"].shape == (13, 6) and found["second"]["score"] > 0.9
+
+
+def test_cross_validation_trains_each_fold_as_the_model(spark, monkeypatch):
+    """All epochs and steps of the plan, on each two of three folds."""
+    from parley.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries.training, "train", lambda steps, aside, size, classes, plan, key: plans.append((plan, steps.select("step").distinct().count())) or {"score": 0.0})
+    rows = queries.cross_validated(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(plans) == 3
+    for (plan, steps), row in zip(plans, rows):
+        assert queries.training.replace(plan, batch_size=1) == queries.training.replace(queries.TRAINING, batch_size=1)
+        assert plan.batch_size == -(-row["rows"] // queries.BATCHES) and steps == plan.steps(-(-row["rows"] // plan.batch_size))
