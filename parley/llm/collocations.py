@@ -104,8 +104,8 @@ def cells(sums: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def reaches(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def reaches(cells_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (cells_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class Grams:
@@ -292,7 +292,7 @@ def _summed(longest: int, least: int):
     return run
 
 
-def _bitmap(reached: DataFrame, bits: int) -> np.ndarray:
+def bitmap(reached: DataFrame, bits: int) -> np.ndarray:
     """The cells of reached as a bitmap: at most 2^(bits - 15) rows of 4 KiB come to the driver, 64 MiB in all."""
     out = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
     rows = reached.groupBy(F.shiftright("cell", WORD_SLOTS).alias("slot")).agg(F.bitmap_construct_agg(F.col("cell") % (1 << WORD_SLOTS)).alias("map"))
@@ -314,12 +314,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     words = materialize(texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     known, salt = hashed(words)
     known = known.filter(F.col("n") >= least).select("hash", "lang", "word")
-    word_map = share(_bitmap(known.select(F.shiftrightunsigned("hash", 64 - bits).alias("cell")), bits))
+    word_map = share(bitmap(known.select(F.shiftrightunsigned("hash", 64 - bits).alias("cell")), bits))
     encoded = materialize(texts.mapInArrow(_encode(word_map, salt, bits), "hashes binary, places binary"), "encoded", codec="zstd")
     maps = []
     for to in dict.fromkeys((2, longest)):
         summed = encoded.mapInArrow(_sketch(maps[0] if maps else None, to, bits, part_bytes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        maps.append(share(_bitmap(summed.filter(F.col("n") >= least).select("cell"), bits)))
+        maps.append(share(bitmap(summed.filter(F.col("n") >= least).select("cell"), bits)))
     columns = _names(longest)
     counts = encoded.mapInArrow(_count_grams(maps, longest, bits, part_bytes, max(1, size // part_bytes)), "bucket long, grams binary, counts binary")
     grams = materialize(counts.groupBy("bucket").applyInArrow(_summed(longest, least), ", ".join(f"{c} long" for c in [*columns, "n"])), "grams")

@@ -504,6 +504,30 @@ def test_near_pairs_across_components_are_compared(spark):
     assert found == dict.fromkeys(range(1, 12), 0)
 
 
+def test_near_pairs_without_a_common_band_are_linked(spark):
+    """Four of five shingles in common and none of 64 bands: found by trying some two million last words."""
+    one = "one two three four five six seven eight"
+    two = one + " w17x49723"
+    sets = [minhash.shingle_set(x) for x in (one, two)]
+    assert minhash.similar(*sets) and not (minhash.band_keys(sets[0]) == minhash.band_keys(sets[1])).any()
+    found = {r["doc_id"]: r["root"] for r in minhash.near_duplicates(make(spark, [(1, one), (2, two), (3, "other words"), (4, "")])).collect()}
+    assert found[1] == found[2] and len(set(found.values())) == 3
+
+
+def test_near_similar_sets_share_a_head():
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(20_000):
+        n, dropped, added = rng.integers(1, 40), rng.integers(0, 6), rng.integers(0, 6)
+        base = rng.integers(0, 1 << 63, n + added, dtype=np.uint64)
+        one, two = np.unique(base[:n]), np.unique(base[min(dropped, n) :])
+        if len(two) and minhash.similar(one, two):
+            seen += 1
+            assert np.intersect1d(minhash.heads(one), minhash.heads(two)).size
+        assert len(minhash.heads(one)) == len(one) - -(-4 * len(one) // 5) + 1
+    assert seen > 3000 and not len(minhash.heads(np.empty(0, np.uint64)))
+
+
 FRAGMENTS = ["jane.d\u043ee@example.com", "john.smith@mail.ex\u0430mple.com", "jo\u200bhn@example.com", "j\u043ehn@example.com"]
 
 
